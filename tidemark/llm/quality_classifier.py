@@ -119,7 +119,7 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     if len(unl) < 8 or len(pos) < 8:
         return {"w": np.r_[np.zeros(DENSE + BUCKETS), 30.0], "mean": mean, "scale": scale, "prior": 1.0}
     prior = prior_of(pos, unl)
-    return {"w": fit(pos, unl, prior), "mean": mean, "scale": scale, "prior": prior}
+    return {"w": fit(pos, unl, prior, decay=max(1e-4, 3 / len(pos))), "mean": mean, "scale": scale, "prior": prior}
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
