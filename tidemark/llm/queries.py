@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, decontamination, language_model, packing, pii, quality_classifier, quality_rules, sharding, token_counts, warc
+from tidemark.llm import common, decontamination, language_model, ngram_join, packing, pii, quality_classifier, quality_rules, sharding, token_counts, warc
 
 TOKENIZER, CAPACITY = "byte_bpe_50k.json", 2048
 
@@ -29,6 +29,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.digest(base_only=True), 256).alias("base_sha256"), pii.digest().alias("spans"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(common.read(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(common.read(spark, sf_dir, "documents"))
 
@@ -68,7 +72,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_model, op2_token_counts, op3_pii, op5_sharding, op6_packing, op7_quality_rules, op8_warc, op9_quality_classifier, op10_decontamination)}
+    return {f.__name__: f for f in (op1_language_model, op2_token_counts, op3_pii, op4_ngram_join, op5_sharding, op6_packing, op7_quality_rules, op8_warc, op9_quality_classifier, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
