@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: list[str] = []
+MODULES: list[str] = ["state"]
 
 
 def load() -> None:
