@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: list[str] = ["state"]
+MODULES: list[str] = ["state", "profiles", "reports", "matching", "network", "forecast"]
 
 
 def load() -> None:
