@@ -155,17 +155,17 @@ class Reader:
 def _hash(x: np.ndarray, salt: int) -> np.ndarray:
     """A row of the table other than the first rows, which hold what needs no history."""
     h = (x.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-    return (CLASSES + (h >> np.uint64(32)) % np.uint64(ROWS - CLASSES)).astype(np.int64)
+    return (CLASSES + (((h >> np.uint64(32)) * np.uint64(ROWS - CLASSES)) >> np.uint64(32))).astype(np.uint16)
 
 
 def class_rows(before: list[np.ndarray]) -> list[np.ndarray]:
     b1, b2, b3 = before
-    return [np.zeros(len(b1), np.int64), _hash(b1, 1 << 20), _hash(b2, 2 << 20), _hash(b3, 3 << 20), _hash(b1 * (START + 1) + b2, 4 << 20)]
+    return [np.zeros(len(b1), np.uint16), _hash(b1, 1 << 20), _hash(b2, 2 << 20), _hash(b3, 3 << 20), _hash(b1 * (START + 1) + b2, 4 << 20)]
 
 
 def word_rows(before: list[np.ndarray], klass: np.ndarray) -> list[np.ndarray]:
     b1, b2, b3 = before
-    return [klass, _hash(b1 * HEADS + klass, 5 << 24), _hash(b2 * HEADS + klass, 6 << 24), _hash(b3 * HEADS + klass, 7 << 24), _hash((b1 * (START + 1) + b2) * HEADS + klass, 8 << 24)]
+    return [klass.astype(np.uint16), _hash(b1 * HEADS + klass, 5 << 24), _hash(b2 * HEADS + klass, 6 << 24), _hash(b3 * HEADS + klass, 7 << 24), _hash((b1 * (START + 1) + b2) * HEADS + klass, 8 << 24)]
 
 
 def start(f: dict) -> dict[str, np.ndarray]:
@@ -190,31 +190,64 @@ def _softmax(table: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.
 
 
 class Trainer:
-    """AdaGrad steps on one table."""
+    """AdaGrad steps on one table, with one accumulator for each row."""
 
     def __init__(self, table: np.ndarray) -> None:
         self.w, self.was = table.copy(), table
-        self.g2 = np.full(table.shape, 1e-2, np.float32)
+        self.g2 = np.full(len(table), 1e-2, np.float32)
         self.met = np.zeros(len(table), np.int64)
 
+    def _update(self, u: np.ndarray, g: np.ndarray, n: np.ndarray) -> None:
+        self.g2[u] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+        g *= (RATE / np.sqrt(self.g2[u]))[:, None]
+        self.w[u] -= g
+        self.met[u] += n
+
     def step(self, rows: list[np.ndarray], target: np.ndarray) -> None:
+        """One step; the last row of ``rows`` refines the second (n-gram and last token), so one order serves both."""
         p, total = _softmax(self.w, rows)
         p /= total[:, None]
         p[np.arange(len(target)), target] -= 1
-        for r in rows:
+        none, last, *skips, both = rows
+        if none[0] == 0 and not none.any():
+            self._update(np.zeros(1, np.int64), p.sum(0, keepdims=True), np.array([len(p)]))
+        else:
+            skips = [none, *skips]
+        key = last.astype(np.uint32) << np.uint32(16) | both
+        order = np.argsort(key)
+        first, n = _starts(key[order])
+        g = _sums(p[order], first, n)
+        upper = last[order][first]
+        top, m = _starts(upper)
+        self._update(upper[top], _sums(g, top, m), np.add.reduceat(n, top))
+        self._update(both[order][first], g, n)
+        for r in skips:
             order = np.argsort(r, kind="stable")
-            s = r[order]
-            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            u, g = s[first], np.add.reduceat(p[order], first, axis=0)
-            self.g2[u] += g * g
-            self.w[u] -= RATE * g / np.sqrt(self.g2[u])
-            self.met[u] += np.diff(np.append(first, len(s)))
+            first, n = _starts(r[order])
+            self._update(r[order][first], _sums(p[order], first, n), n)
 
     def changes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         u = np.flatnonzero(self.met)
         return u, (self.w - self.was)[u], self.met[u]
 
 
+def _starts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values starts, and its length."""
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return first, np.diff(np.append(first, len(x)))
+
+
+def _sums(x: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sum of each run of rows: short runs row by row, all at once; long ones by themselves."""
+    out = x[first]
+    for k in range(1, 8):
+        some = np.flatnonzero((n > k) & (n <= 8))
+        out[some] += x[first[some] + k]
+    for i in np.flatnonzero(n > 8).tolist():
+        out[i] = x[first[i] : first[i] + n[i]].sum(0)
+    return out
+
+
 _CHANGE = "block long, fan int, rows binary, met binary, change binary"
 _BLOCK = 128
 
