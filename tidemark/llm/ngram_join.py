@@ -122,7 +122,7 @@ def hot_tokens(counts: DataFrame, least: int) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, hot: np.ndarray, width: int, percent: int) -> DataFrame:
-    """id, n, digest and prefix of every text."""
+    """id, n, digest, prefix and sketch (tokens in each hashed column) of every text."""
     sent = texts.sparkSession.sparkContext.broadcast(hot)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,22 +132,11 @@ def prefixes(texts: DataFrame, hot: np.ndarray, width: int, percent: int) -> Dat
             first = [_prefix(s, sent.value, percent).astype(np.int64) for s in sets]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*first, np.zeros(0, np.int64)]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), lists], ["id", "n", "digest", "prefix"])
-
-    return texts.mapInArrow(make, f"id {dict(texts.dtypes)['id']}, n long, digest binary, prefix array<long>")
-
-
-def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """id, n, tokens and sketch (tokens in each hashed column) of the texts."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
-        for b in batches:
-            sets = [shingler.tokens(t) for t in common.utf8(b.column("text"))]
             sketch = [np.bincount((s % np.uint64(COLUMNS)).astype(np.int64), minlength=COLUMNS).astype("<u4").tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), pa.array(sketch, pa.binary())], ["id", "n", "tokens", "sketch"])
+            columns = [b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), lists, pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "digest", "prefix", "sketch"])
 
-    return texts.mapInArrow(make, f"id {dict(texts.dtypes)['id']}, n long, tokens binary, sketch binary")
+    return texts.mapInArrow(make, f"id {dict(texts.dtypes)['id']}, n long, digest binary, prefix array<long>, sketch binary")
 
 
 def _streamed(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
@@ -229,16 +218,17 @@ class _Forest:
         return a != b
 
 
-def _links(units: DataFrame, percent: int) -> DataFrame:
-    """a and b: a spanning forest of the links in each unit; columns unit, member, id, tokens."""
+def _links(units: DataFrame, width: int, percent: int) -> DataFrame:
+    """a and b: a spanning forest of the links in each unit; columns unit, member, id, text. Texts travel smaller than their sets."""
     kind = dict(units.dtypes)["id"]
     arrow = units.select("id").limit(0).toArrow().schema.field("id").type
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list = []
         b: list = []
+        shingler = Shingler(width)
         for rows in _streamed(batches, "unit"):
-            sets = {r["id"]: np.frombuffer(r["tokens"], "<u8") for r in rows}
+            sets = {r["id"]: shingler.tokens(r["text"].encode()) for r in rows}
             members = sorted({r["id"] for r in rows if r["member"]})
             if not members:
                 continue
@@ -291,8 +281,8 @@ def joined(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
     rows = docs.count()
     hot = hot_tokens(counts, max(64, rows // 2000))
     made = common.written(prefixes(texts, hot, width, percent), "prefixes")
-    classes = made.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "prefix"), "id").alias("x"), F.count("*").alias("copies"))
-    classes = common.written(classes.select("digest", "rep", "x.n", "x.prefix", "copies"), "classes")
+    classes = made.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "prefix", "sketch"), "id").alias("x"), F.count("*").alias("copies"))
+    classes = common.written(classes.select("digest", "rep", "x.n", "x.prefix", "x.sketch", "copies"), "classes")
     postings = classes.select(F.explode("prefix").alias("token"), F.col("rep").alias("id"), "n")
     shared = common.written(postings.groupBy("token").count().filter("count > 1").select("token"), "shared")
     few = shared.count() <= 1_000_000  # 8 MB
@@ -305,15 +295,15 @@ def joined(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
     crowded = F.broadcast(crowded) if crowded.count() <= 1_000_000 else crowded
     blocks = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1)))
     grouped = common.written(home.join(crowded, "home", "left").select("id", "n", F.concat_ws("-", F.hex("home"), blocks.cast("string")).alias("group")), "grouped")
-    sets = common.written(_sets(texts.join(grouped.select("id"), "id", "left_semi").dropDuplicates(["id"]), width), "sets")
-    unions = common.written(_unions(grouped.join(sets.select("id", "sketch"), "id"), percent), "unions")
+    sketches = classes.select(F.col("rep").alias("id"), "sketch")
+    unions = common.written(_unions(grouped.join(sketches, "id"), percent), "unions")
     # The token-group matrix, and the queries that meet its groups.
     located = common.written(kept.join(grouped.select("id", "group"), "id"), "located")
     matrix = common.written(located.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most")), "matrix")
     mine = located.select("token", "id", "n", F.col("group").alias("own"))
     meet = mine.join(matrix, "token").filter((F.col("own") < F.col("group")) & (100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n")))
     meet = common.written(meet.select("id", "n", "group").distinct(), "meet")
-    bounded = meet.join(sets.select("id", "sketch"), "id").join(unions.drop("inside"), "group")
+    bounded = meet.join(sketches, "id").join(unions.drop("inside"), "group")
     opened = common.written(_qualified(bounded, percent), "opened")
     # Units: an opened group with its members and a chunk of its queries, or with the members that may link inside.
     asked = opened.groupBy("group").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
@@ -322,7 +312,8 @@ def joined(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
     member = grouped.join(asked, "group").select(F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"), "group", "id").select(F.concat_ws("/", "group", F.col("c").cast("string")).alias("unit"), F.lit(True).alias("member"), "id")
     inside = unions.select("group", F.explode("inside").alias("id")).select(F.concat_ws("/", "group", F.lit("own")).alias("unit"), F.lit(True).alias("member"), "id")
     units = common.written(query.unionByName(member).unionByName(inside), "units")
-    links = common.written(_links(units.join(sets.select("id", "tokens"), "id"), percent), "links")
+    few = units.count() <= 500_000  # about 40 MB
+    links = common.written(_links(texts.join(F.broadcast(units) if few else units, "id"), width, percent), "links")
     labels = common.written(components(links), "components")
     rep_label = classes.select("digest", "rep", "copies").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"), "copies")
     rep_label = common.written(rep_label, "labelled")
