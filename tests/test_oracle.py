@@ -12,7 +12,7 @@ import pytest
 
 from tidemark import registry
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
