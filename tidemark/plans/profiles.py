@@ -209,7 +209,7 @@ def timing_confidence(spark: SparkSession, sf: str) -> DataFrame:
     d.with_tables(
         """WITH g AS (SELECT entity_id, direction, amount::DOUBLE AS amount, date - lag(date) OVER (PARTITION BY entity_id, direction ORDER BY date, movement_id) AS gap FROM movements),
 a AS (SELECT entity_id, direction, count(*) AS n, avg(amount) AS mean, stddev_pop(amount) AS sd, avg(gap) AS gap, coalesce(stddev_pop(gap), 0) AS gap_sd FROM g GROUP BY 1, 2)
-SELECT entity_id, direction, n, round(mean, 3) AS mean_amount, round(sd, 3) AS amount_sd, round(gap, 4) AS mean_gap,
+SELECT entity_id, direction, n, round(mean, 6) AS mean_amount, round(sd, 3) AS amount_sd, round(gap, 4) AS mean_gap,
   CASE WHEN gap IS NULL THEN 'unknown' WHEN gap <= 10 THEN 'weekly' WHEN gap <= 18 THEN 'biweekly' WHEN gap <= 45 THEN 'monthly' WHEN gap <= 120 THEN 'quarterly' ELSE 'irregular' END AS recurrence,
   round(greatest(0, 1 - coalesce(gap_sd / nullif(gap, 0), 1)), 4)::DOUBLE AS strength FROM a WHERE n >= 2""",
         "movements",
@@ -223,21 +223,21 @@ def payment_patterns(spark: SparkSession, sf: str) -> DataFrame:
     gap = F.col("gap")
     kind = F.when(gap.isNull(), "unknown").when(gap <= 10, "weekly").when(gap <= 18, "biweekly").when(gap <= 45, "monthly").when(gap <= 120, "quarterly").otherwise("irregular")
     strength = F.greatest(F.lit(0.0), 1 - F.coalesce(F.col("gap_sd") / F.nullif(gap, F.lit(0.0)), F.lit(1.0)))
-    return a.select("entity_id", "direction", "n", F.round("mean", 3).alias("mean_amount"), F.round("sd", 3).alias("amount_sd"), F.round("gap", 4).alias("mean_gap"), kind.alias("recurrence"), F.round(strength, 4).alias("strength"))
+    return a.select("entity_id", "direction", "n", F.round("mean", 6).alias("mean_amount"), F.round("sd", 3).alias("amount_sd"), F.round("gap", 4).alias("mean_gap"), kind.alias("recurrence"), F.round(strength, 4).alias("strength"))
 
 
 @query(
     "peer_statistics",
     d.with_tables(
         """WITH e AS (SELECT entity_id, count(*) AS n, avg(amount::DOUBLE) AS a FROM movements GROUP BY 1)
-SELECT CASE WHEN n >= 10 THEN 'frequent' WHEN n >= 4 THEN 'regular' ELSE 'rare' END AS peer_group, count(*) AS members, round(avg(n), 4) AS avg_count, round(avg(a), 3) AS avg_amount FROM e GROUP BY 1""",
+SELECT CASE WHEN n >= 10 THEN 'frequent' WHEN n >= 4 THEN 'regular' ELSE 'rare' END AS peer_group, count(*) AS members, round(avg(n), 4) AS avg_count, round(avg(a), 5) AS avg_amount FROM e GROUP BY 1""",
         "movements",
     ),
 )
 def peer_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """Means by peer group."""
     e = d.movements(spark, sf).groupBy("entity_id").agg(F.count("*").alias("n"), F.avg(F.col("amount").cast("double")).alias("a"))
-    return e.groupBy(at_least(F.col("n"), [(10, "frequent"), (4, "regular")], "rare").alias("peer_group")).agg(F.count("*").alias("members"), F.round(F.avg("n"), 4).alias("avg_count"), F.round(F.avg("a"), 3).alias("avg_amount"))
+    return e.groupBy(at_least(F.col("n"), [(10, "frequent"), (4, "regular")], "rare").alias("peer_group")).agg(F.count("*").alias("members"), F.round(F.avg("n"), 4).alias("avg_count"), F.round(F.avg("a"), 5).alias("avg_amount"))
 
 
 @query(
