@@ -10,7 +10,8 @@ first (they are the rare ones) and whose other bits are a hash of the words.
    Prefix tokens that no other class has are dropped.
 4. Classes are partitioned into groups of similar texts: those with the same first shared token, in blocks
    of about ``GROUP``. The token-group matrix holds, for each token, the groups that have it; each group stores its tokens'
-   union, as the most tokens that any member has in each of ``COLUMNS`` hashed columns, and its range of sizes.
+   union, as the most tokens that any member has in each hashed column, and its range of sizes. Long sets have more
+   columns; where numbers of columns differ, the longer row is folded to the shorter, which keeps the bound.
 5. A query (class) meets the groups that share a prefix token with it. A group's union bounds the overlap with every member:
    only groups that can qualify are opened, by shipping the query's set to them. Inside a group every query is compared
    with all members at once; a spanning forest of the links leaves the task, never all pairs.
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-GROUP, COLUMNS, CHUNK, HOT_TOKENS = 64, 128, 512, 200_000
+GROUP, CHUNK, HOT_TOKENS = 64, 512, 200_000
+#: Hashed columns of a sketch: a power of two, one for four tokens, within these limits.
+FEWEST, MOST = 64, 8192
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -72,6 +75,26 @@ def _digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def _sketch(tokens: np.ndarray) -> bytes:
+    """Tokens in each hashed column."""
+    columns = FEWEST
+    while columns < MOST and 4 * columns < len(tokens):
+        columns *= 2
+    return np.bincount((tokens % np.uint64(columns)).astype(np.int64), minlength=columns).astype("<u4").tobytes()
+
+
+def _folded(row: np.ndarray, columns: int) -> np.ndarray:
+    """A row of the matrix with fewer columns: column c takes all that agree with it modulo the new number."""
+    return row.reshape(-1, columns).sum(0) if len(row) > columns else row
+
+
+def _rows(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of the same, least, number of columns."""
+    found = [np.frombuffer(x, "<u4").astype(np.int64) for x in sketches]
+    least = min(map(len, found))
+    return np.array([_folded(x, least) for x in found])
+
+
 def _prefix(tokens: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
     n = len(tokens)
     p = n - -(-percent * n // 100) + 1
@@ -132,7 +155,7 @@ def prefixes(texts: DataFrame, hot: np.ndarray, width: int, percent: int) -> Dat
             first = [_prefix(s, sent.value, percent).astype(np.int64) for s in sets]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*first, np.zeros(0, np.int64)]), pa.int64()))
-            sketch = [np.bincount((s % np.uint64(COLUMNS)).astype(np.int64), minlength=COLUMNS).astype("<u4").tobytes() for s in sets]
+            sketch = [_sketch(s) for s in sets]
             columns = [b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), lists, pa.array(sketch, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", "digest", "prefix", "sketch"])
 
@@ -171,7 +194,7 @@ def _unions(members: DataFrame, percent: int) -> DataFrame:
             return b
 
         for rows in _streamed(batches, "group"):
-            s = np.array([np.frombuffer(r["sketch"], "<u4") for r in rows], np.int64)
+            s = _rows([r["sketch"] for r in rows])
             n = np.array([r["n"] for r in rows])
             may = np.zeros(len(rows), bool)
             for i in range(len(rows) - 1):
@@ -194,9 +217,9 @@ def _qualified(pairs: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            q, u = (np.array([np.frombuffer(x, "<u4") for x in b.column(c).to_pylist()], np.int64) for c in ("sketch", "union"))
+            shared = [np.minimum(*_rows(list(x))).sum() for x in zip(b.column("sketch").to_pylist(), b.column("union").to_pylist(), strict=True)]
             n, least = b.column("n").to_numpy(), b.column("least").to_numpy()
-            keep = _can_link(n, np.maximum(least, -(-percent * n // 100)), np.minimum(q, u).sum(1), percent)
+            keep = _can_link(n, np.maximum(least, -(-percent * n // 100)), np.array(shared), percent)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("group")], ["id", "group"]).filter(pa.array(keep))
 
     return pairs.select("id", "n", "sketch", "group", "union", "least").mapInArrow(make, f"id {dict(pairs.dtypes)['id']}, group string")
