@@ -78,9 +78,9 @@ def shared_attribute_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "cluster_patterns",
-    _components_sql("""SELECT component, round(sum(n * a) / sum(n), 6) AS weighted_amount, sum(n)::BIGINT AS payments FROM cc JOIN (SELECT entity_id, count(*) AS n, avg(amount::DOUBLE) AS a FROM (""" + d.SQL["movements"][0].replace("FROM cash_events", "FROM (" + d.SQL["cash_events"][0] + ")") + """) GROUP BY 1) USING (entity_id) GROUP BY 1"""),
+    _components_sql("""SELECT component, floor(sum(t)::DOUBLE / sum(n) * 1000000 + 0.5) / 1000000 AS weighted_amount, sum(n)::BIGINT AS payments FROM cc JOIN (SELECT entity_id, count(*) AS n, sum(amount) AS t FROM (""" + d.SQL["movements"][0].replace("FROM cash_events", "FROM (" + d.SQL["cash_events"][0] + ")") + """) GROUP BY 1) USING (entity_id) GROUP BY 1"""),
 )
 def cluster_patterns(spark: SparkSession, sf: str) -> DataFrame:
     """Payment-weighted means over each cluster."""
-    p = d.movements(spark, sf).groupBy("entity_id").agg(F.count("*").alias("n"), F.avg(F.col("amount").cast("double")).alias("a"))
-    return clusters(spark, sf).join(p, "entity_id").groupBy("component").agg(F.round(F.sum(F.col("n") * F.col("a")) / F.sum("n"), 6).alias("weighted_amount"), F.sum("n").alias("payments"))
+    p = d.movements(spark, sf).groupBy("entity_id").agg(F.count("*").alias("n"), F.sum("amount").alias("t"))
+    return clusters(spark, sf).join(p, "entity_id").groupBy("component").agg((F.floor(F.sum("t").cast("double") / F.sum("n") * 1000000 + 0.5) / 1000000).alias("weighted_amount"), F.sum("n").alias("payments"))
