@@ -190,17 +190,16 @@ def _softmax(table: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.
 
 
 class Trainer:
-    """AdaGrad steps on one table, with one accumulator for each row."""
+    """AdaGrad steps on one table."""
 
     def __init__(self, table: np.ndarray) -> None:
         self.w, self.was = table.copy(), table
-        self.g2 = np.full(len(table), 1e-2, np.float32)
+        self.g2 = np.full(table.shape, 1e-2, np.float32)
         self.met = np.zeros(len(table), np.int64)
 
     def _update(self, u: np.ndarray, g: np.ndarray, n: np.ndarray) -> None:
-        self.g2[u] += np.einsum("ij,ij->i", g, g) / g.shape[1]
-        g *= (RATE / np.sqrt(self.g2[u]))[:, None]
-        self.w[u] -= g
+        self.g2[u] += g * g
+        self.w[u] -= RATE * g / np.sqrt(self.g2[u])
         self.met[u] += n
 
     def step(self, rows: list[np.ndarray], target: np.ndarray) -> None:
