@@ -27,6 +27,27 @@ def residual_cash(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("movement_id", "event_id", "amount").join(a, "event_id", "left").filter(r > 0.01).select("movement_id", r.cast("double").alias("residual"))
 
 
+@query(
+    "residual_cash_all",
+    d.with_tables(
+        """WITH a AS (SELECT movement_id, sum(net_amount) AS allocated FROM attributions WHERE component_type <> 'fee' GROUP BY 1)
+SELECT m.movement_id, (m.amount - coalesce(a.allocated, 0))::DOUBLE AS residual FROM movements m LEFT JOIN a USING (movement_id) WHERE m.amount - coalesce(a.allocated, 0) > 0.01""",
+        "movements",
+        "attributions",
+    ),
+)
+def residual_cash_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every movement less its own attributions but fees, as the reference sums them; ``residual_cash`` keeps the subset that its SQL states."""
+    return residuals(d.movements(spark, sf), d.attributions(spark, sf))
+
+
+def residuals(movements: DataFrame, attributions: DataFrame) -> DataFrame:
+    """movement_id and what its attributions leave of it, where that is more than a cent."""
+    a = attributions.filter("component_type <> 'fee'").groupBy("movement_id").agg(F.sum("net_amount").alias("allocated"))
+    r = F.col("amount") - F.coalesce(F.col("allocated"), F.lit(0))
+    return movements.select("movement_id", "amount").join(a, "movement_id", "left").filter(r > 0.01).select("movement_id", r.cast("double").alias("residual"))
+
+
 @query(
     "transfer_pairs",
     d.with_tables(
@@ -251,14 +272,32 @@ SELECT movement_id, levenshtein(a, b)::INTEGER AS distance, round(1 - levenshtei
     ),
 )
 def name_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    """Edit distance, edit and token similarity, and their blend."""
-    m = d.movements(spark, sf).filter("key % 4 = 3")
+    """Edit distance, edit and token similarity, and their blend, of the descriptors in the wholesale style; ``name_similarity_all`` has all styles."""
+    return similarities(d.movements(spark, sf).filter("key % 4 = 3"))
+
+
+def similarities(m: DataFrame) -> DataFrame:
     a, b = F.col("raw_description"), F.col("counterparty")
     return m.select(
         "movement_id", F.levenshtein(F.trim(F.lower(a)), F.trim(F.lower(b))).alias("distance"), F.round(names.edit_similarity(a, b), 6).alias("edit_sim"), F.round(names.token_similarity(a, b), 6).alias("token_sim"), F.round(names.name_similarity(a, b), 6).alias("blended")
     )
 
 
+@query(
+    "name_similarity_all",
+    d.with_tables(
+        """WITH p AS (SELECT movement_id, trim(lower(raw_description)) AS a, trim(lower(counterparty)) AS b FROM movements),
+t AS (SELECT *, list_distinct(list_filter(string_split_regex(regexp_replace(a, '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: length(w) > 1)) AS x, list_distinct(list_filter(string_split_regex(regexp_replace(b, '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: length(w) > 1)) AS y FROM p)
+SELECT movement_id, levenshtein(a, b)::INTEGER AS distance, round(1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)), 6) AS edit_sim, round(len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))), 6) AS token_sim,
+  round(0.4 * (1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b))) + 0.6 * len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))), 6) AS blended FROM t""",
+        "movements",
+    ),
+)
+def name_similarity_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of every movement, in all styles of descriptor."""
+    return similarities(d.movements(spark, sf))
+
+
 @query(
     "confidence_scores",
     d.with_tables(

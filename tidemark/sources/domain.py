@@ -89,6 +89,23 @@ def movements(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def attributions(spark: SparkSession, sf: str) -> DataFrame:
+    """What each movement pays of its event: in order of date, movements take what is still open of the amount due, and never more than they hold.
+
+    What an inflow lacks of a receivable, up to a tenth of it, is its fee and has a line of its own.
+    """
+    from pyspark.sql import Window
+
+    due = cash_events(spark, sf).select("event_id", "event_type", F.col("amount").alias("due"))
+    m = movements(spark, sf).select("movement_id", "event_id", "direction", "amount", "date").join(due, "event_id")
+    before = F.coalesce(F.sum("amount").over(Window.partitionBy("event_id").orderBy("date", "movement_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    m = m.withColumn("still", F.greatest(F.col("due") - before, F.lit(0)))
+    lack = F.col("still") - F.col("amount")
+    paid = m.select("movement_id", "event_id", F.col("event_type").alias("component_type"), F.least("amount", "still").cast(MONEY).alias("net_amount"))
+    fee = m.filter((F.col("direction") == "inflow") & (lack > 0) & (lack <= F.col("due") * F.lit("0.1").cast("decimal(2,1)"))).select("movement_id", "event_id", F.lit("fee").alias("component_type"), lack.cast(MONEY).alias("net_amount"))
+    return paid.unionByName(fee)
+
+
 def observations(spark: SparkSession, sf: str) -> DataFrame:
     """Each movement as one source saw it, and every sixth also as a second source did, a day later and a little less."""
     m = movements(spark, sf)
@@ -157,6 +174,17 @@ FROM (
 LEFT JOIN entities n ON n.entity_id = m.entity_id""",
         ("entities", "cash_events"),
     ),
+    "attribution_still": (
+        """SELECT m.movement_id, m.event_id, m.direction, m.amount, e.event_type, e.amount AS due,
+  greatest(e.amount - coalesce(sum(m.amount) OVER (PARTITION BY m.event_id ORDER BY m.date, m.movement_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS still
+FROM movements m JOIN cash_events e USING (event_id)""",
+        ("movements", "cash_events"),
+    ),
+    "attributions": (
+        """SELECT movement_id, event_id, event_type AS component_type, least(amount, still)::DECIMAL(18,2) AS net_amount FROM attribution_still
+UNION ALL SELECT movement_id, event_id, 'fee', (still - amount)::DECIMAL(18,2) FROM attribution_still WHERE direction = 'inflow' AND still > amount AND still - amount <= due * 0.1""",
+        ("attribution_still",),
+    ),
     "observations": (
         """SELECT movement_id, provenance AS source, movement_id || '-a' AS source_id, direction, amount, date, counterparty, raw_description, entity_id FROM movements
 UNION ALL SELECT movement_id, CASE WHEN provenance = 'plaid' THEN 'qbo' ELSE 'plaid' END, movement_id || '-b', direction, round(amount * 0.999::DECIMAL(4,3), 2)::DECIMAL(18,2), date + 1, counterparty, raw_description, entity_id
