@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import registry
-from tidemark.plans import matching
+from tidemark.plans import forecast, matching
 from tidemark.sources import domain
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +37,50 @@ def test_residuals_sum_all_lines_but_fees(spark):
     m = spark.createDataFrame([("a", 100), ("b", 100), ("c", 100)], "movement_id string, amount int").withColumn("amount", F.col("amount").cast(money))
     lines = spark.createDataFrame([("a", "ar", 40), ("a", "ar", 60), ("b", "ar", 70), ("b", "fee", 30)], "movement_id string, component_type string, net_amount int").withColumn("net_amount", F.col("net_amount").cast(money))
     assert {tuple(r) for r in matching.residuals(m, lines).collect()} == {("b", 30.0), ("c", 100.0)}
+
+
+def test_every_day_is_forecast(spark):
+    rows = {r["day"]: r for r in registry.queries()["baseline_forecasts_all"](spark, SF).collect()}
+    a, z = domain.movements(spark, SF).agg(F.min("date"), F.max("date")).first()
+    assert len(rows) == (z - a).days + 1
+    assert {d.year for d in rows} == set(range(a.year, z.year + 1))
+    assert sum(r["net"] != 0 for r in rows.values() if r["day"].year != 2000) > 100
+    models = {r["model"]: r["days"] for r in registry.queries()["backtest_scores_all"](spark, SF).collect()}
+    assert set(models) == set(forecast.MODELS)
+    assert min(models.values()) > 366
+
+
+def test_baselines_without_the_year_2000(spark):
+    data = [("2010-01-01", "inflow", 70), ("2010-01-08", "outflow", 30), ("2010-02-10", "inflow", 5)]
+    m = spark.createDataFrame(data, "date string, direction string, amount int").withColumns({"date": F.to_date("date"), "amount": F.col("amount").cast("decimal(18,2)")})
+    b = {str(r["day"]): r for r in forecast.all_baselines(m).collect()}
+    assert len(b) == 41
+    assert b["2010-01-08"]["naive7"] == 10.0
+    assert b["2010-01-29"]["last_cycle"] == 70.0
+    assert b["2010-01-29"]["due_date"] == 0.0
+    assert b["2010-01-01"]["naive7"] is None
+    cut = forecast.all_baselines(m, "2010-01-07", 3).collect()
+    assert [(str(r["day"]), r["net"]) for r in sorted(cut)] == [("2010-01-08", -30.0), ("2010-01-09", 0.0), ("2010-01-10", 0.0)]
+
+
+def test_simulations_are_whole(spark):
+    got = registry.queries()["monte_carlo"](spark, SF).collect()
+    assert all(r["p5"] <= r["p25"] <= r["p50"] <= r["p75"] <= r["p95"] for r in got)
+    assert all(abs(r["negative"] * 500 - round(r["negative"] * 500)) < 1e-6 for r in got)
+    last = {r["day"]: r for r in got}
+    risk = registry.queries()["monte_carlo_risks"](spark, SF).first()
+    assert risk["prob_below_zero_30d"] == pytest.approx(last[30]["negative"], abs=0.0051)
+    assert risk["worst_case_cash_30d"] <= risk["expected_cash_30d"] <= risk["best_case_cash_30d"]
+    found = {r["scenario"]: r for r in registry.queries()["monte_carlo_scenarios"](spark, SF).collect()}
+    assert set(found) == {"base", "conservative", "aggressive"}
+    assert found["conservative"]["cash_30d"] < found["base"]["cash_30d"] < found["aggressive"]["cash_30d"]
+
+
+def test_biases_move_certain_payments(spark):
+    e = spark.createDataFrame([("c", "inflow", 100.0, 1.0, 15), ("v", "outflow", 50.0, 1.0, 15)], "entity_id string, direction string, amount double, probability double, day int")
+    paths = forecast.simulated(e, 400, tuple(forecast.BIASES))
+    assert paths.count() == 3 * 400 * 30
+    end = {r["scenario"]: r["cash"] - forecast.START for r in paths.filter("day = 30").groupBy("scenario").agg(F.avg("cash").alias("cash")).collect()}
+    assert end["base"] == pytest.approx(50, abs=4)
+    assert end["conservative"] == pytest.approx(0.75 * 90 - 55, abs=8)
+    assert end["aggressive"] == pytest.approx(110 - 0.85 * 46, abs=5)

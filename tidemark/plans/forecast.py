@@ -199,6 +199,86 @@ def horizon_errors(spark: SparkSession, sf: str) -> DataFrame:
     return b.groupBy("horizon").agg(F.round(F.abs(F.avg(F.when((ahead > 0) & (ahead <= F.col("horizon")), F.col("net"))) - F.avg(F.when(ahead <= 0, F.col("net")))), 4).alias("mean_gap"))
 
 
+_BASE_ALL = """n AS (SELECT date AS day, sum(CASE WHEN direction = 'inflow' THEN amount ELSE -amount END)::DOUBLE AS net FROM movements WHERE date IS NOT NULL GROUP BY 1),
+f AS (SELECT g.day::DATE AS day, coalesce(net, 0) AS net FROM generate_series((SELECT min(day) FROM n), (SELECT max(day) FROM n), INTERVAL 1 DAY) g(day) LEFT JOIN n ON n.day = g.day::DATE),
+b AS (SELECT day, net, avg(net) OVER (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS naive7, avg(net) OVER (ORDER BY day ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) AS rolling14, lag(net, 28) OVER (ORDER BY day) AS last_cycle, 0.0::DOUBLE AS due_date FROM f)"""
+
+MODELS = ("naive7", "rolling14", "last_cycle", "due_date")
+
+
+def all_baselines(m: DataFrame, cutoff: str | None = None, horizon: int | None = None) -> DataFrame:
+    """Daily net flow from the first to the last date of ``m``, absent days as zero, with the four baselines' predictions.
+
+    The due-date baseline predicts zero, as the reference's does. A row a day, so the window sees as many rows as there are days.
+    With ``cutoff``, only the days after it, and with ``horizon`` only so many of them; days before still serve as history.
+    """
+    n = m.filter("date is not null").groupBy(F.col("date").alias("day")).agg(F.sum(F.when(F.col("direction") == "inflow", F.col("amount")).otherwise(-F.col("amount"))).cast("double").alias("net"))
+    ends = m.agg(F.min("date").alias("a"), F.max("date").alias("b")).filter("a is not null")
+    f = ends.select(F.explode(F.sequence("a", "b")).alias("day")).join(n, "day", "left").fillna(0.0, ["net"])
+    w = Window.orderBy("day")
+    b = f.withColumns({"naive7": F.avg("net").over(w.rowsBetween(-7, -1)), "rolling14": F.avg("net").over(w.rowsBetween(-14, -1)), "last_cycle": F.lag("net", 28).over(w), "due_date": F.lit(0.0)})
+    if cutoff is not None:
+        b = b.filter(F.col("day") > F.lit(cutoff).cast("date"))
+        if horizon is not None:
+            b = b.filter(F.col("day") <= F.date_add(F.lit(cutoff).cast("date"), horizon))
+    return b
+
+
+@query(
+    "baseline_forecasts_all",
+    d.with_tables(f"WITH {_BASE_ALL} SELECT day, round(net, 2) AS net, round(naive7, 4) AS naive7, round(rolling14, 4) AS rolling14, round(last_cycle, 2) AS last_cycle, due_date FROM b", "movements"),
+)
+def baseline_forecasts_all(spark: SparkSession, sf: str, cutoff: str | None = None, horizon: int | None = None) -> DataFrame:
+    """The baselines of every day; null where there is no day before to learn from."""
+    b = all_baselines(d.movements(spark, sf), cutoff, horizon)
+    return b.select("day", F.round("net", 2).alias("net"), F.round("naive7", 4).alias("naive7"), F.round("rolling14", 4).alias("rolling14"), F.round("last_cycle", 2).alias("last_cycle"), "due_date")
+
+
+@query(
+    "backtest_scores_all",
+    d.with_tables(
+        f"""WITH {_BASE_ALL}, u AS (SELECT net, model, p FROM (UNPIVOT b ON naive7, rolling14, last_cycle, due_date INTO NAME model VALUE p) WHERE p IS NOT NULL AND (abs(net) >= 1 OR abs(p) >= 1)),
+s AS (SELECT model, avg(abs(net - p)) AS mae, avg(abs(net)) AS scale, avg(CASE WHEN (net >= 0) = (p >= 0) THEN 1.0 ELSE 0.0 END) AS direction, count(*) AS days FROM u GROUP BY 1)
+SELECT model, days, round(mae, 3) AS mae, round(direction, 6) AS direction_accuracy, floor(greatest(0, least(100, direction * 60 + (1 - least(1, coalesce(mae / nullif(scale, 0), 1))) * 40)) + 0.5)::BIGINT AS score FROM s""",
+        "movements",
+    ),
+)
+def backtest_scores_all(spark: SparkSession, sf: str, cutoff: str | None = None, horizon: int | None = None) -> DataFrame:
+    """The four baselines scored over every day that they predict."""
+    return scored(all_baselines(d.movements(spark, sf), cutoff, horizon))
+
+
+def scored(b: DataFrame) -> DataFrame:
+    x = b.select("net", F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(n).alias("p")) for n in MODELS])).alias("m")).select("net", "m.*")
+    x = x.filter(F.col("p").isNotNull() & ((F.abs("net") >= 1) | (F.abs("p") >= 1)))
+    s = x.groupBy("model").agg(
+        F.avg(F.abs(F.col("net") - F.col("p"))).alias("mae"), F.avg(F.abs("net")).alias("scale"), F.avg(F.when((F.col("net") >= 0) == (F.col("p") >= 0), 1.0).otherwise(0.0)).alias("direction"), F.count("*").alias("days")
+    )
+    missed = F.coalesce(F.col("mae") / F.nullif(F.col("scale"), F.lit(0.0)), F.lit(1.0))
+    raw = F.col("direction") * 60 + (1 - F.least(F.lit(1.0), missed)) * 40
+    return s.select("model", "days", F.round("mae", 3).alias("mae"), F.round("direction", 6).alias("direction_accuracy"), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)) + 0.5).alias("score"))
+
+
+@query(
+    "horizon_errors_all",
+    d.with_tables(
+        f"""WITH {_BASE_ALL}, e AS (SELECT min(day) AS a, max(day) AS z FROM b), h AS (SELECT horizon, z - horizon AS cutoff FROM e, (VALUES (7), (14), (30), (60), (90)) v(horizon) WHERE horizon <= 0.4 * (z - a))
+SELECT horizon, cutoff, round(abs(avg(net) FILTER (WHERE day > cutoff AND day <= cutoff + horizon) - avg(net) FILTER (WHERE day <= cutoff)), 4) AS mean_gap FROM b, h GROUP BY 1, 2""",
+        "movements",
+    ),
+)
+def horizon_errors_all(spark: SparkSession, sf: str, cutoff: str | None = None) -> DataFrame:
+    """The error of the mean of all days before a cutoff, at the horizons of at most 0.4 of the days; the cutoff is as far from the last day as the horizon unless one is given."""
+    b = all_baselines(d.movements(spark, sf))
+    ends = b.agg(F.min("day").alias("a"), F.max("day").alias("z"))
+    h = ends.withColumn("horizon", F.explode(F.array(*map(F.lit, (7, 14, 30, 60, 90))))).filter(F.col("horizon") <= 0.4 * F.datediff("z", "a"))
+    cut = F.date_sub("z", F.col("horizon")) if cutoff is None else F.lit(cutoff).cast("date")
+    x = b.join(F.broadcast(h.select("horizon", cut.alias("cutoff"))))
+    ahead = F.datediff("day", "cutoff")
+    gap = F.abs(F.avg(F.when((ahead > 0) & (ahead <= F.col("horizon")), F.col("net"))) - F.avg(F.when(ahead <= 0, F.col("net"))))
+    return x.groupBy("horizon", "cutoff").agg(F.round(gap, 4).alias("mean_gap"))
+
+
 @query(
     "calibration_error",
     d.with_tables(
@@ -223,26 +303,63 @@ def _uniform(*keys: Column) -> Column:
     return (F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) + 0.5) / float(1 << 40)
 
 
-@query("monte_carlo")
-def monte_carlo(spark: SparkSession, sf: str, simulations: int = 200) -> DataFrame:
-    """Quantiles of simulated daily cash: each event happens with its chance, with noise in amount and day.
+#: What multiplies chance and amount of inflows and outflows, and shifts their days, in each scenario: the reference's calibration.
+BIASES = {"base": (1.0, 1.0, 1.0, 1.0, 0, 0), "conservative": (0.75, 1.0, 0.9, 1.1, 3, -1), "aggressive": (1.0, 0.85, 1.1, 0.92, -2, 1)}
+
+START = 1_000_000.0
+
 
-    Draws depend on (simulation, event) by hash. Simulated flows are summed by (simulation, day) before the
+def simulated(e: DataFrame, simulations: int, scenarios: tuple[str, ...] = ("base",), run: int = 0) -> DataFrame:
+    """scenario, sim, day and cash of each of 30 days: each event happens with its chance, with noise in amount and, drawn apart, in day.
+
+    Draws depend on (run, scenario, simulation, event) by hash. Simulated flows are summed by (scenario, simulation, day) before the
     running balance, so windows see 30 rows for each simulation.
     """
-    e = events(spark, sf)
-    sims = e.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(simulations))))
-    key = lambda k: (F.lit(k), F.col("sim"), F.col("entity_id"), F.col("direction"), F.col("day"))
-    gauss = F.sqrt(-2 * F.log(_uniform(*key(1)))) * F.cos(2 * 3.141592653589793 * _uniform(*key(2)))
-    happens = sims.filter(_uniform(*key(3)) <= F.col("probability"))
-    flow = F.when(F.col("direction") == "inflow", 1).otherwise(-1) * F.col("amount") * F.greatest(F.lit(0.0), 1 + gauss * 0.15)
-    day = F.greatest(F.lit(1), F.least(F.lit(30), F.col("day") + F.round(gauss * 1.5).cast("int")))
-    daily = happens.select("sim", day.alias("day"), flow.alias("flow")).groupBy("sim", "day").agg(F.sum("flow").alias("flow"))
-    grid = spark.range(1, simulations + 1).select(F.col("id").cast("int").alias("sim")).withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(30))))
-    cash = 1000000 + F.sum("flow").over(Window.partitionBy("sim").orderBy("day"))
-    paths = grid.join(daily, ["sim", "day"], "left").fillna(0.0, ["flow"]).withColumn("cash", cash)
+    spark = e.sparkSession
+    rows = [F.struct(F.lit(n).alias("scenario"), *[F.lit(v).cast("double").alias(c) for c, v in zip(("ip", "op", "ia", "oa", "idelay", "odelay"), BIASES[n], strict=True)]) for n in scenarios]
+    sims = e.withColumn("s", F.explode(F.array(*rows))).select("entity_id", "direction", "amount", "probability", "day", "s.*").withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(simulations))))
+    key = lambda k: (F.lit(k), F.lit(run), F.col("scenario"), F.col("sim"), F.col("entity_id"), F.col("direction"), F.col("day"))
+    gauss = lambda k: F.sqrt(-2 * F.log(_uniform(*key(k)))) * F.cos(2 * 3.141592653589793 * _uniform(*key(k + 1)))
+    inflow = F.col("direction") == "inflow"
+    happens = sims.filter(_uniform(*key(1)) <= F.least(F.lit(1.0), F.col("probability") * F.when(inflow, F.col("ip")).otherwise(F.col("op"))))
+    flow = F.when(inflow, F.col("ia")).otherwise(-F.col("oa")) * F.col("amount") * F.greatest(F.lit(0.0), 1 + gauss(2) * 0.15)
+    delay = F.round(gauss(4) * 1.5 + F.when(inflow, F.col("idelay")).otherwise(F.col("odelay"))).cast("int")
+    day = F.greatest(F.lit(1), F.least(F.lit(30), F.col("day") + delay))
+    daily = happens.select("scenario", "sim", day.alias("day"), flow.alias("flow")).groupBy("scenario", "sim", "day").agg(F.sum("flow").alias("flow"))
+    grid = spark.range(1, simulations + 1).select(F.explode(F.array(*map(F.lit, scenarios))).alias("scenario"), F.col("id").cast("int").alias("sim")).withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(30))))
+    cash = START + F.sum("flow").over(Window.partitionBy("scenario", "sim").orderBy("day"))
+    return grid.join(daily, ["scenario", "sim", "day"], "left").fillna(0.0, ["flow"]).select("scenario", "sim", "day", cash.alias("cash"))
+
+
+@query("monte_carlo")
+def monte_carlo(spark: SparkSession, sf: str, simulations: int = 500) -> DataFrame:
+    """Quantiles of simulated daily cash and the chance that it is below zero, by day (those of 14 and 30 days are two of the rows)."""
     q = lambda p: F.round(F.percentile("cash", p), 2)
-    return paths.groupBy("day").agg(q(0.05).alias("p5"), q(0.5).alias("p50"), q(0.95).alias("p95"), F.avg(F.when(F.col("cash") < 0, 1.0).otherwise(0.0)).alias("negative"))
+    return simulated(events(spark, sf), simulations).groupBy("day").agg(
+        q(0.05).alias("p5"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), q(0.95).alias("p95"), F.avg(F.when(F.col("cash") < 0, 1.0).otherwise(0.0)).alias("negative")
+    )
+
+
+@query("monte_carlo_risks")
+def monte_carlo_risks(spark: SparkSession, sf: str, simulations: int = 500) -> DataFrame:
+    """Of the same simulations: chances below zero at 14 and 30 days and above the start at 30, and expected, worst and best cash at 30."""
+    at = lambda day: F.when(F.col("day") == day, F.col("cash"))
+    share = lambda day, hit: F.round(F.avg(F.when(F.col("day") == day, F.when(hit, 1.0).otherwise(0.0))), 2)
+    rank = lambda p: F.round(F.element_at(F.sort_array(F.collect_list(at(30))), simulations * p // 100 + 1), 2)
+    below, above = F.col("cash") < 0, F.col("cash") > START
+    return simulated(events(spark, sf), simulations).agg(
+        share(14, below).alias("prob_below_zero_14d"), share(30, below).alias("prob_below_zero_30d"), share(30, above).alias("prob_above_starting_30d"), F.round(F.avg(at(30)), 2).alias("expected_cash_30d"),
+        rank(5).alias("worst_case_cash_30d"), rank(95).alias("best_case_cash_30d"),
+    )
+
+
+@query("monte_carlo_scenarios")
+def monte_carlo_scenarios(spark: SparkSession, sf: str, simulations: int = 200) -> DataFrame:
+    """For each scenario's own simulations: median cash at 14 and 30 days, and the least of the median path and the start, with its day (0: the start)."""
+    m = simulated(events(spark, sf), simulations, tuple(BIASES), run=1).groupBy("scenario", "day").agg(F.percentile("cash", 0.5).alias("p50"))
+    at = lambda day: F.round(F.max(F.when(F.col("day") == day, F.col("p50"))), 2)
+    low = F.array_min(F.array(F.struct(F.lit(START).alias("cash"), F.lit(0).alias("day")), F.min(F.struct(F.col("p50").alias("cash"), "day"))))
+    return m.groupBy("scenario").agg(at(14).alias("cash_14d"), at(30).alias("cash_30d"), low.alias("low")).select("scenario", "cash_14d", "cash_30d", F.round("low.cash", 2).alias("min_cash"), F.col("low.day").alias("min_cash_day"))
 
 
 @query(
