@@ -84,3 +84,28 @@ def test_biases_move_certain_payments(spark):
     assert end["base"] == pytest.approx(50, abs=4)
     assert end["conservative"] == pytest.approx(0.75 * 90 - 55, abs=8)
     assert end["aggressive"] == pytest.approx(110 - 0.85 * 46, abs=5)
+
+
+@pytest.fixture(scope="module")
+def transfers(spark):
+    data = [
+        ("o1", "outflow", "9999.99", "2024-01-01", "A", "transfer"), ("o2", "outflow", "900.00", "2024-01-01", "A", "vendor_payment"), ("i1", "inflow", "10000.00", "2024-01-04", "A", "customer_receipt"),
+        ("i2", "inflow", "9999.99", "2024-01-03", "B", "transfer"), ("i3", "inflow", "9999.99", "2024-01-05", "B", "transfer"), ("i4", "inflow", "10000.00", "2024-01-02", "B", "transfer"),
+        ("i5", "inflow", "1799.99", "2023-12-29", "A", "customer_receipt"), ("i6", "inflow", "1800.00", "2024-01-01", "A", "customer_receipt"), ("i7", "inflow", "0.01", "2024-01-01", "A", "customer_receipt"), ("i8", "inflow", "9999.99", "2024-01-01", "A", "transfer"),
+    ]
+    m = spark.createDataFrame(data, "movement_id string, direction string, amount string, date string, account string, economic_class string")
+    return m.withColumns({"amount": F.col("amount").cast("decimal(18,2)"), "date": F.to_date("date")})
+
+
+def test_pairs_across_amount_bins(transfers):
+    got = {(r["outflow_id"], r["inflow_id"]) for r in matching.near_pairs(transfers, ["account"], "900", 3).collect()}
+    assert got == {("o1", "i1"), ("o1", "i8"), ("o2", "i5"), ("o2", "i7")}
+
+
+def test_own_transfers(transfers):
+    assert [tuple(r) for r in matching.own_transfers(transfers).collect()] == [("o1", "i2")]
+
+
+def test_more_pairs_than_within_bins(spark):
+    part, whole = (set(map(tuple, registry.queries()[n](spark, SF.replace("0.001", "0.01")).select("outflow_id", "inflow_id").collect())) for n in ("transfer_pairs", "transfer_pairs_all"))
+    assert part < whole, (len(part), len(whole))

@@ -58,13 +58,49 @@ JOIN movements i ON i.direction = 'inflow' AND i.account = o.account AND floor(i
     ),
 )
 def transfer_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Outflows and inflows of near amounts within three days: an equi-join on account, amount bin and date bin, then the exact test."""
+    """Outflows and inflows of one account and one amount bin of 10,000 that differ by less than 900 within three days; ``transfer_pairs_all`` pairs across bins too."""
     m = d.movements(spark, sf).withColumn("bin", F.floor(F.col("amount") / 10000))
     o = m.filter("direction = 'outflow'").select("account", "bin", F.col("movement_id").alias("outflow_id"), F.col("amount").alias("oa"), F.col("date").alias("od"))
     i = m.filter("direction = 'inflow'").select("account", "bin", F.col("movement_id").alias("inflow_id"), F.col("amount").alias("ia"), F.col("date").alias("id"))
     return range_join(o, i, ["account", "bin"], "od", "id", 3).filter(F.abs(F.col("oa") - F.col("ia")) < 900).select("outflow_id", "inflow_id")
 
 
+def near_pairs(m: DataFrame, on: list[str], below: str, days: int) -> DataFrame:
+    """Outflows and inflows of ``m`` with equal ``on`` whose amounts differ by less than ``below`` and dates by at most ``days``.
+
+    An equi-join on amount and date bins: an outflow probes its amount's bin (as wide as ``below``) and both neighbours, then the exact test.
+    """
+    limit = F.lit(below).cast(d.MONEY)
+    bin_of = F.floor(F.col("amount") / limit)
+    keep = [*{*on, "account"}, "movement_id", "amount", "date"]
+    o = m.filter("direction = 'outflow'").select(*keep, F.explode(F.array(bin_of - 1, bin_of, bin_of + 1)).alias("bin")).withColumnsRenamed({"movement_id": "outflow_id", "amount": "oa", "date": "od"})
+    i = m.filter("direction = 'inflow'").select(*keep, bin_of.alias("bin")).withColumnsRenamed({"movement_id": "inflow_id", "amount": "ia", "date": "id"})
+    if "account" not in on:
+        o, i = o.withColumnRenamed("account", "o_account"), i.withColumnRenamed("account", "i_account")
+    return range_join(o, i, [*on, "bin"], "od", "id", days).filter(F.abs(F.col("oa") - F.col("ia")) < limit)
+
+
+@query(
+    "transfer_pairs_all",
+    d.with_tables(
+        """SELECT o.movement_id AS outflow_id, i.movement_id AS inflow_id FROM movements o JOIN movements i ON i.account = o.account AND abs(i.amount - o.amount) < 900 AND abs(i.date - o.date) <= 3
+WHERE o.direction = 'outflow' AND i.direction = 'inflow'""",
+        "movements",
+    ),
+)
+def transfer_pairs_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All outflows and inflows of one account that differ by less than 900 within three days."""
+    return near_pairs(d.movements(spark, sf), ["account"], "900", 3).select("outflow_id", "inflow_id")
+
+
+def own_transfers(m: DataFrame) -> DataFrame:
+    """The reference's pairs: movements of class transfer that differ by less than a cent within three days, between two accounts.
+
+    No query, as no inflow of the test tables is a transfer. The reference also asks that the outflow's id be the smaller, which loses pairs.
+    """
+    return near_pairs(m.filter("economic_class = 'transfer'"), [], "0.01", 3).filter("o_account <> i_account").select("outflow_id", "inflow_id")
+
+
 _DUP = """p AS (SELECT a.source_id AS a_id, b.source_id AS b_id, a.source AS a_source, b.source AS b_source,
   0.5 + CASE WHEN abs(a.amount - b.amount) / greatest(a.amount, b.amount) <= 0.001 THEN 0.2 WHEN abs(a.amount - b.amount) / greatest(a.amount, b.amount) <= 0.01 THEN 0.15 ELSE 0.1 END
   + CASE WHEN a.date = b.date THEN 0.15 WHEN abs(a.date - b.date) <= 3 THEN 0.1 ELSE 0 END + CASE WHEN a.counterparty = b.counterparty THEN 0.15 ELSE 0 END AS score
