@@ -25,11 +25,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links at a Jaccard similarity of 0.8 on five-word shingles: the one of smallest id."""
+    """One document of each group that links at a Jaccard similarity of 0.8 on five-word shingles: the one of smallest id.
+
+    Every row is a document of its own, whatever its id: ids may be null or repeated. A written key stands for the row in the join.
+    In a group the least by id stays, null ids last; of equal ids, the one whose row has the smallest hash, then the smallest key.
+    A null text counts as empty, and documents without shingles link to none; nulls in other columns pass through.
+    """
     common.tune(spark)
-    found = ngram_join.joined(docs.select("doc_id", "text"), width=5, percent=80)
-    kept = common.written(found.filter("doc_id = component_id").select("doc_id").distinct(), "kept")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    keyed = common.written(docs.select(F.monotonically_increasing_id().alias("key"), *COLUMNS), "keyed")
+    found = ngram_join.joined(keyed.select("key", "text"), width=5, percent=80, id_col="key").select("key", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(*COLUMNS).alias("hash"), "key")
+    places = common.written(keyed.select("key", order.alias("place")), "places")
+    kept = found.join(places, "key").groupBy("component_id").agg(F.min("place").alias("place")).select("place.key")
+    return keyed.join(common.written(kept, "kept"), "key", "left_semi").select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

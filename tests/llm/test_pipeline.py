@@ -85,3 +85,28 @@ def test_run(spark, corpus):
     assert out
     assert all(r["offset"] + r["length"] <= 2048 for r in out)
     assert {r["doc_id"] for r in out} < set(range(len(rows)))
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    """Null and repeated ids: each text that has no copy stays, and one row of each group."""
+    rng = random.Random(31)
+    text = lambda: " ".join("".join(rng.choice("abcdefghijklmno") for _ in range(6)) for _ in range(60))
+    alone, other, twin, nulls, shared = text(), text(), text(), text(), text()
+    rows = [
+        (None, alone), (None, nulls), (None, nulls + " tail"), (None, ""), (None, None),
+        (7, other), (7, twin), (8, twin + " tail"), (6, twin),
+        (9, shared), (None, shared), (3, shared + " tail"), (3, shared), (1, None), (1, None),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], schema)
+    for parts in (1, 3):
+        left = [(r["doc_id"], r["text"]) for r in stage("near_duplicates")(spark, docs.repartition(parts), "").collect()]
+        assert (None, alone) in left
+        assert (7, other) in left
+        assert (6, twin) in left
+        assert sum(t is not None and t.startswith(twin) for _, t in left) == 1
+        assert sum(t is not None and t.startswith(nulls) for _, t in left) == 1
+        assert [i for i, t in left if t is not None and t.startswith(shared)] == [3]
+        assert left.count((None, "")) == left.count((None, None)) == 1
+        assert left.count((1, None)) == 2
+        assert len(left) == 5 + 4
