@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if not spark.sparkContext.getCheckpointDir():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -48,10 +50,18 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again, which cuts its lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table of :func:`written` that nothing will read again."""
+    jvm = df.sparkSession._jvm
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that other columns cannot clash with those an operator adds."""
     return df.select(*(F.col(f"`{x}`") for x in names))
