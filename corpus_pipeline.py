@@ -27,17 +27,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links at a Jaccard similarity of 0.8 on five-word shingles: the one of smallest id.
 
-    Every row is a document of its own, whatever its id: ids may be null or repeated. A written key stands for the row in the join.
-    In a group the least by id stays, null ids last; of equal ids, the one whose row has the smallest hash, then the smallest key.
+    Every row is a document of its own, whatever its id: ids may be null or repeated. Its place stands for the row in the join:
+    the id, nulls last, then hashes of the whole row. In a group the least place stays; rows equal in all columns are one document.
     A null text counts as empty, and documents without shingles link to none; nulls in other columns pass through.
+    An empty table gives an empty table; other columns than those of documents are dropped.
     """
     common.tune(spark)
-    keyed = common.written(docs.select(F.monotonically_increasing_id().alias("key"), *COLUMNS), "keyed")
-    found = ngram_join.joined(keyed.select("key", "text"), width=5, percent=80, id_col="key").select("key", "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(*COLUMNS).alias("hash"), "key")
-    places = common.written(keyed.select("key", order.alias("place")), "places")
-    kept = found.join(places, "key").groupBy("component_id").agg(F.min("place").alias("place")).select("place.key")
-    return keyed.join(common.written(kept, "kept"), "key", "left_semi").select(*COLUMNS)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(*COLUMNS).alias("hash"), F.hash(*COLUMNS).alias("more"))
+    placed = docs.select(place.alias("place"), *COLUMNS)
+    found = ngram_join.joined(placed.select("place", "text"), width=5, percent=80, id_col="place")
+    kept = found.filter("place = component_id").groupBy("place").agg(F.count("*").alias("rows"), F.min("n_shingles").alias("n"))
+    kept = common.written(kept.withColumn("several", (F.col("rows") > 1) & (F.col("n") > 0)).select("place", "several"), "kept")
+    common.discard(found)
+    rows = placed.join(kept, "place")
+    once = rows.filter("several").dropDuplicates(["place"])
+    return rows.filter("not several").unionByName(once).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
