@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import common
 
 #: Classes in a group and queries of a chunk, tokens of either, and the frequent tokens: counted at least ``HOT`` times, at most so many (1.6 MB).
-GROUP, CHUNK, UNIT_TOKENS, HOT, HOT_TOKENS = 64, 512, 1 << 21, 64, 200_000
+GROUP, CHUNK, UNIT_TOKENS, HOT, HOT_TOKENS = 64, 128, 1 << 21, 64, 200_000
 #: Columns of a sketch: a power of two, about one for a token, within these limits.
 FEWEST, MOST = 64, 1 << 17
 
