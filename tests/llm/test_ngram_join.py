@@ -63,6 +63,27 @@ def test_edges(spark):
     assert [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in sorted(got)] == [(0, 0, 0), (1, 0, 1), (2, 0, 2)]
 
 
+def test_rows_without_ids_and_with_equal_ids(spark):
+    """Every row links by its own text; a component's id is its smallest id that is not null."""
+    a, b = " ".join("abcdefghij"), " ".join("klmnopqrst")
+    rows = [(None, a, "x"), (7, a, "y"), (3, b, "z"), (3, a, "z"), (9, b, "z"), (None, "u v w x y z", "w"), (4, "", "e"), (4, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.joined(docs, 3, 90).collect()), key=str)
+    assert got == sorted([(None, 8, 3), (7, 8, 3), (3, 8, 3), (3, 8, 3), (9, 8, 3), (None, 4, None), (4, 0, 4), (4, 0, 4)], key=str)
+
+
+def test_a_large_cluster_and_its_outsiders(spark, monkeypatch):
+    """Near copies in many blocks become one component in rounds; a text that links with one member alone joins it."""
+    monkeypatch.setattr(ngram_join, "GROUP", 4)
+    monkeypatch.setattr(ngram_join, "CHUNK", 4)
+    words = [f"w{i}" for i in range(60)]
+    rows = [" ".join([*words, f"x{i}"]) for i in range(70)]
+    edge = [*words[:50], *(f"y{i}" for i in range(6)), "x5"]
+    rows += [" ".join(edge), " ".join(["z", *edge[:-1], "q"]), "unlike all of them in every way it can be"]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.joined(documents(spark, rows), 2, 70).collect()}
+    assert got == brute(rows, 2, 70)
+
+
 def test_components(spark):
     rows = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100)]
     got = {r["id"]: r["component"] for r in ngram_join.components(spark.createDataFrame(rows, "a long, b long")).collect()}

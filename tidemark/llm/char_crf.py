@@ -8,6 +8,8 @@ back-propagation through the forward-backward pass and through time, with Adam s
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 
 #: Characters that are classes of their own; after them digits, a-z, A-Z, other letters, other spaces, the rest.
@@ -36,9 +38,14 @@ _ASCII = _table()
 
 
 def classes(text: str) -> np.ndarray:
-    """The class of each code point."""
+    """The class of each code point; digits and full-width signs of any script have the class of their ASCII form."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(points < 128, _ASCII[np.minimum(points, 127)], len(ALONE) + 3).astype(np.uint8)
+    out = np.where(points < 128, _ASCII[np.minimum(points, 127)], len(ALONE) + 3).astype(np.uint8)
+    for c in np.unique(points[points >= 128]).tolist():
+        plain = unicodedata.normalize("NFKC", chr(c))
+        if chr(c).isdecimal() or len(plain) == 1 and plain < "\x80":
+            out[points == c] = len(ALONE) if chr(c).isdecimal() else _ASCII[ord(plain)]
+    return out
 
 
 def start(hidden: int, tags: int, seed: int = 1) -> dict[str, np.ndarray]:
@@ -122,14 +129,17 @@ def _back(p: dict, d: str, x: np.ndarray, dh_all: np.ndarray, kept: list) -> dic
     """Gradients of one direction; ``dh_all``: (time, batch, hidden) by place."""
     n = p[f"h{d}"].shape[0]
     dh = dc = np.zeros((x.shape[0], n), np.float32)
-    gx, gh = np.zeros_like(p[f"x{d}"]), np.zeros_like(p[f"h{d}"])
+    gh, steps, places = np.zeros_like(p[f"h{d}"]), [], []
     for t, i, f, o, g, was_h, was_c, tc in reversed(kept):
         dh = dh + dh_all[t]
         do, dc = dh * tc, dc + dh * o * (1 - tc * tc)
         da = np.concatenate([dc * g * i * (1 - i), dc * was_c * f * (1 - f), do * o * (1 - o), dc * i * (1 - g * g)], 1)
-        np.add.at(gx, x[:, t], da)
+        steps.append(da)
+        places.append(x[:, t])
         gh += was_h.T @ da
         dh, dc = da @ p[f"h{d}"].T, dc * f
+    one = np.eye(CLASSES, dtype=np.float32)[np.concatenate(places)]
+    gx = one.T @ np.concatenate(steps)
     return {f"x{d}": gx, f"h{d}": gh, f"b{d}": gx.sum(0)}
 
 
@@ -162,33 +172,77 @@ def train(x: np.ndarray, y: np.ndarray, tags: int, hidden: int = 12, steps: int
     return p
 
 
-def joined(p: dict, x: np.ndarray, window: int, batch: int = 1024) -> np.ndarray:
-    """Tag scores of a long stretch of classes: windows overlap by half, and each place takes their mean, weighted by its distance from their edges."""
-    n = len(x)
-    if n <= window:
-        return emissions(p, x[None])[0]
-    step = window // 2
-    starts = np.array(sorted({*range(0, n - window + 1, step), n - window}))
+def _cells(lengths: list[int], most: int) -> list[list[int]]:
+    """Places of stretches in batches of like length, whose padded size stays below ``most`` (a longer stretch stands alone)."""
+    out: list[list[int]] = []
+    for i in sorted(range(len(lengths)), key=lengths.__getitem__):
+        if out and lengths[i] * (len(out[-1]) + 1) <= most and lengths[i] <= 2 * lengths[out[-1][0]]:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
+def joined(p: dict, stretches: list[np.ndarray], window: int, batch: int = 2048) -> list[np.ndarray]:
+    """Tag scores of stretches of classes: windows of all of them run together; they overlap by half, and each place takes their mean, weighted by its distance from their edges."""
+    places: list[tuple[int, int]] = []
+    rows: list[np.ndarray] = []
     weight = (np.minimum(np.arange(window), np.arange(window)[::-1]) + 1.0).astype(np.float32)
-    total, mass = np.zeros((n, len(p["bias"])), np.float32), np.zeros(n, np.float32)
-    for k in range(0, len(starts), batch):
-        some = starts[k : k + batch]
-        e = emissions(p, x[some[:, None] + np.arange(window)])
-        for s, w in zip(some, e, strict=True):
-            total[s : s + window] += w * weight[:, None]
-            mass[s : s + window] += weight
-    return total / mass[:, None]
-
-
-def decode(p: dict, e: np.ndarray) -> np.ndarray:
-    """The best tags of one whole stretch: one Viterbi pass over the reconciled scores."""
-    score, back = p["first"] + e[0], np.empty(e.shape, np.int8)
-    for t in range(1, len(e)):
-        ways = score[:, None] + p["trans"]
-        back[t] = ways.argmax(0)
-        score = ways.max(0) + e[t]
-    tags = np.empty(len(e), np.int8)
-    tags[-1] = (score + p["last"]).argmax()
-    for t in range(len(e) - 1, 0, -1):
-        tags[t - 1] = back[t, tags[t]]
-    return tags
+    total = [np.zeros((len(x), len(p["bias"])), np.float32) for x in stretches]
+    mass = [np.zeros(len(x), np.float32) for x in stretches]
+
+    def run() -> None:
+        for (i, at), e in zip(places, emissions(p, np.array(rows)), strict=True):
+            n = min(window, len(stretches[i]) - at)
+            total[i][at : at + n] += e[:n] * weight[:n, None]
+            mass[i][at : at + n] += weight[:n]
+        places.clear()
+        rows.clear()
+
+    blank = len(ALONE) + 4
+    for i, x in enumerate(stretches):
+        for at in sorted({*range(0, len(x) - window + 1, window // 2), max(0, len(x) - window)}):
+            part = x[at : at + window]
+            places.append((i, at))
+            rows.append(part if len(part) == window else np.concatenate([part, np.full(window - len(part), blank, np.uint8)]))
+            if len(rows) == batch:
+                run()
+    if rows:
+        run()
+    return [t / m[:, None] for t, m in zip(total, mass, strict=True)]
+
+
+def decode(p: dict, scores: list[np.ndarray], cells: int = 1 << 17) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each stretch the best tags, by one Viterbi pass over its reconciled scores, and the probability of each of them at its place."""
+    found: list = [None] * len(scores)
+    for some in _cells([len(x) for x in scores], cells):
+        length = np.array([len(scores[i]) for i in some])
+        e = np.zeros((len(some), length.max(), len(p["bias"])), np.float32)
+        for k, i in enumerate(some):
+            e[k, : length[k]] = scores[i]
+        b, t, n = e.shape
+        best, alpha = np.empty_like(e), np.empty_like(e)
+        back = np.zeros(e.shape, np.int8)
+        best[:, 0] = alpha[:, 0] = p["first"] + e[:, 0]
+        for k in range(1, t):
+            on = (k < length)[:, None]
+            ways = best[:, k - 1, :, None] + p["trans"]
+            back[:, k] = ways.argmax(1)
+            best[:, k] = np.where(on, ways.max(1) + e[:, k], best[:, k - 1])
+            alpha[:, k] = np.where(on, _lse(alpha[:, k - 1, :, None] + p["trans"], 1) + e[:, k], alpha[:, k - 1])
+        tags = np.zeros((b, t), np.int8)
+        rows = np.arange(b)
+        beta = np.broadcast_to(p["last"], (b, n)).astype(np.float32)
+        chance = np.zeros((b, t), np.float32)
+        z = _lse(alpha[:, -1] + p["last"], 1)
+        tag = (best[:, -1] + p["last"]).argmax(1)
+        for k in range(t - 1, -1, -1):
+            if k < t - 1:
+                inner = k + 1 < length
+                tag = np.where(inner, back[rows, k + 1, tag], tag)
+                beta = np.where(inner[:, None], _lse(p["trans"] + (e[:, k + 1] + beta)[:, None, :], 2), beta)
+            tags[:, k] = tag
+            chance[:, k] = np.exp(alpha[rows, k, tag] + beta[rows, tag] - z)
+        for k, i in enumerate(some):
+            found[i] = tags[k, : length[k]], chance[k, : length[k]]
+    return found

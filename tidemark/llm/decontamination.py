@@ -4,11 +4,13 @@ Items become windows of ``size`` consecutive normalised words (an item of fewer
 words, but not none, is one window). The windows of all items form one automaton;
 each text is normalised and scanned once, and what occurs is mapped back to places in
 the original text. There is no shuffle. A benchmark too large for one automaton is
-split into blocks of bounded size and each text passes the automata one after
-another, so that a broadcast never exceeds ``block_bytes`` of item text.
+dealt into blocks by hash, and each text passes the automata one after
+another; the result so far is written after each block, so that driver and broadcasts hold one block at a time, of about
+``block_bytes`` of item text at most (an item longer than that is a block's whole content).
 
 Null, empty and wordless texts have no words and no hits; an item without words has no
-windows; repeated documents each give a row; items that share a window all count.
+windows; repeated documents each give a row; items that share a window all count. An empty table of documents gives an empty table, and
+an empty benchmark hits nothing; columns other than id and text are never read.
 """
 
 from __future__ import annotations
@@ -93,21 +95,16 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
     """Per document: ``id_col``, n_words, n_hit, n_items, items (array), spans (of the original text, in code points)."""
-    blocks = [[]]
-    held = 0
     listed = items.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    for row in listed.toLocalIterator():  # a partition at a time; each block is bounded
-        raw = row["text"].encode()
-        if held and held + len(raw) > block_bytes:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((str(row["item"]), raw))
-        held += len(raw)
+    total = listed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = 1 if total <= block_bytes else -(-2 * total // block_bytes)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(None).cast("array<long>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     kind = dict(rows.dtypes)["id"]
-    for k, block in enumerate(blocks):
-        sent, last, key = spark.sparkContext.broadcast(block), k + 1 == len(blocks), hash((k, size, tuple(block)))
+    of = F.pmod(F.xxhash64("item", "text"), F.lit(count))
+    for k in range(count):
+        block = [(r["item"], r["text"].encode()) for r in listed.filter(of == k).collect()]  # bounded by ``block_bytes``
+        sent, last, key = spark.sparkContext.broadcast(block), k + 1 == count, hash((k, size, tuple(block)))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent, last: bool = last, key: int = key) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             automaton, owners = _automaton(key, sent.value, size)
@@ -127,7 +124,14 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                     ["id", "n_words", "n_hit", "items", "spans"],
                 )
 
-        rows = rows.mapInArrow(scan, f"id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>" if last else f"id {kind}, text string, hits array<long>, items array<string>")
+        if last:
+            rows = rows.mapInArrow(scan, f"id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
+        else:
+            done = common.written(rows.mapInArrow(scan, f"id {kind}, text string, hits array<long>, items array<string>"), "scanned")
+            sent.destroy()
+            if k:
+                common.discard(rows)
+            rows = done
     return rows.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans")
 
 

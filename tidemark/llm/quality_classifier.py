@@ -6,9 +6,11 @@ the documents; the least ratio of the two distributions' upper tails estimates t
 unlabelled rows (the class prior). The final model minimises the non-negative unbiased
 risk: prior x loss(positives, +) + max(0, loss(unlabelled, -) - prior x loss(positives, -)).
 
-Both samples are bounded by ``sampled`` rows (those of the smallest hash); scoring reads every whole text.
-Inputs are the text's bytes alone. A null text counts as empty; repeated rows each give a row. Without any
-positive every document scores 0.5; without unlabelled rows the prior is 1.
+The positives are bounded by ``sampled`` rows and the unlabelled ones by ``unlabelled`` (those of the smallest hash, each a fixed
+parameter of the fit); scoring reads every whole text. Inputs are the text's bytes alone. A null text counts as empty; repeated rows each
+give a row; an empty table gives an empty table; columns to keep may have any name. Fewer positives mean a stronger decay of the
+weights. Without a positive, or without an unlabelled row, nothing can be learned and every document scores 0.5; with one row of either
+the prior cannot be estimated and is 0.5.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-#: Hashed word features, and rows in each training sample at most.
-BUCKETS, SAMPLED = 512, 6000
+#: Hashed word features, and positives and unlabelled rows of the fit at most.
+BUCKETS, SAMPLED, UNLABELLED = 512, 6000, 6000
 
 _KINDS = np.zeros((256, 9), np.float64)
 for _b in range(256):
@@ -86,6 +88,8 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 800, rate:
 
 def prior_of(pos: np.ndarray, unl: np.ndarray) -> float:
     """The class prior: the least ratio of upper tails of a positive-against-unlabelled model's scores, over thresholds that keep half of the positives, on rows that model has not seen."""
+    if min(len(pos), len(unl)) < 2:
+        return 0.5
     half = len(pos) // 2, len(unl) // 2
     w = fit(pos[: half[0]], unl[: half[1]], 0.5, steps=200)
     score = lambda x: np.sort(x @ w[:-1] + w[-1])
@@ -96,28 +100,26 @@ def prior_of(pos: np.ndarray, unl: np.ndarray) -> float:
     return float(np.clip(np.min(above_u / above_p), 0.05, 0.99))
 
 
-def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sampled: int = SAMPLED) -> dict:
+def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sampled: int = SAMPLED, unlabelled: int = UNLABELLED) -> dict:
     """The model: weights, scaling and prior."""
     fold = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)) != 0
     good = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter((F.col("label") == 1) & fold).select("id").distinct()
-    order = lambda df: df.orderBy(F.xxhash64("id"), "id").limit(sampled)
+    order = lambda df, most: df.orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids = [r["id"] for r in order(good).collect()]  # at most ``sampled``
-    others = [r["id"] for r in order(texts.select("id").filter(fold).filter("id is not null").distinct()).collect()]
+    ids = [r["id"] for r in order(good, sampled).collect()]
+    others = [r["id"] for r in order(texts.select("id").filter(fold).filter("id is not null").distinct(), unlabelled).collect()]
     kind = dict(texts.dtypes)["id"]
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(i, i in p, i in u) for p, u in [(set(ids), set(others))] for i in sorted(p | u)], f"id {kind}, good boolean, open boolean")
     drawn = texts.join(F.broadcast(wanted), "id").mapInArrow(_measure, f"id {kind}, good boolean, open boolean, x binary").collect()
-    drawn = sorted({r["id"]: r for r in drawn}.values(), key=lambda r: zlib.crc32(b"%d" % hash(r["id"])))
+    drawn = sorted({r["id"]: r for r in drawn}.values(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
     rows = lambda some: np.array([np.frombuffer(r["x"], np.float16) for r in some], np.float64).reshape(len(some), DENSE + BUCKETS)
     pos, unl = rows([r for r in drawn if r["good"]]), rows([r for r in drawn if r["open"]])
-    if not len(pos):
+    if not len(pos) or not len(unl):
         return {"w": np.zeros(DENSE + BUCKETS + 1), "mean": np.zeros(DENSE + BUCKETS), "scale": np.ones(DENSE + BUCKETS), "prior": 0.5}
     both = np.r_[pos, unl]
     mean, scale = both.mean(0), both.std(0) + 1e-2
     pos, unl = (pos - mean) / scale, (unl - mean) / scale
-    if len(unl) < 8 or len(pos) < 8:
-        return {"w": np.r_[np.zeros(DENSE + BUCKETS), 30.0], "mean": mean, "scale": scale, "prior": 1.0}
     prior = prior_of(pos, unl)
     return {"w": fit(pos, unl, prior, decay=max(1e-4, 3 / len(pos))), "mean": mean, "scale": scale, "prior": prior}
 
