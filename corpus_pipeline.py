@@ -55,7 +55,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Every document, with the kind in brackets in place of each span of personal data."""
     common.tune(spark)
     found = pii.spans(docs, keep=COLUMNS)
-    return found.withColumn("text", pii.redacted(F.col("text"))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return found.withColumn("text", F.coalesce("pii_redacted", "text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
