@@ -35,8 +35,9 @@ def match_key(name: Column) -> Column:
 
 
 def same_entity(a: Column, b: Column, threshold: float = 0.85) -> Column:
-    x, y = match_key(a), match_key(b)
-    return (x == y) | x.contains(y) | y.contains(x) | (name_similarity(a, b) >= threshold)
+    """Whether two names are one: equal or one within the other, whatever the case, or similar enough; an empty name is nobody's."""
+    x, y = F.trim(F.lower(a)), F.trim(F.lower(b))
+    return F.coalesce((a != "") & (b != "") & (x.contains(y) | y.contains(x) | (name_similarity(a, b) >= threshold)), F.lit(False))
 
 
 def family_key(direction: Column, account: Column, text: Column) -> Column:

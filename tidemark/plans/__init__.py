@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: list[str] = ["state", "profiles", "reports", "matching", "network", "forecast", "ingest", "streams"]
+MODULES: list[str] = ["state", "profiles", "reports", "matching", "network", "forecast", "ingest", "streams", "labels"]
 
 
 def load() -> None:

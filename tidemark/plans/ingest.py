@@ -33,8 +33,8 @@ def processor_observations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "storefront_movements",
-    """SELECT 'o' || o_orderkey AS source_id, 'inflow' AS direction, o_orderdate::DATE AS date, round(o_totalprice, 2) AS amount FROM orders WHERE o_orderstatus = 'F'
-UNION ALL SELECT 'r' || o_orderkey, 'outflow', o_orderdate::DATE, round(o_totalprice / 4, 2) FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 7 = 0""",
+    """SELECT 'o' || o_orderkey AS source_id, 'inflow' AS direction, o_orderdate::DATE AS date, round(o_totalprice::DECIMAL(20,4), 2)::DECIMAL(18,2)::DOUBLE AS amount FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT 'r' || o_orderkey, 'outflow', o_orderdate::DATE, round((o_totalprice / 4)::DECIMAL(20,4), 2)::DECIMAL(18,2)::DOUBLE FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 7 = 0""",
 )
 def storefront_movements(spark: SparkSession, sf: str) -> DataFrame:
     """Orders and their nested refunds as movements."""

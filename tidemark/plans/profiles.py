@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rules import at_least
@@ -112,21 +112,21 @@ def seasonality_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "seasonality_weights",
     d.with_tables(
-        """WITH c AS (SELECT direction, month(date)::INTEGER AS month, sum(amount)::DOUBLE AS total FROM movements GROUP BY 1, 2),
-g AS (SELECT DISTINCT direction, unnest(generate_series(1, 12))::INTEGER AS month FROM c), t AS (SELECT direction, sum(total) / 12 AS mean FROM c GROUP BY 1)
-SELECT direction, month, round(coalesce(total, 0) / mean, 6) AS weight, CASE WHEN coalesce(total, 0) / mean > 1.3 THEN 'peak' WHEN coalesce(total, 0) > 0 AND total / mean < 0.7 THEN 'low' ELSE 'normal' END AS kind
-FROM g LEFT JOIN c USING (direction, month) JOIN t USING (direction)""",
+        """WITH c AS (SELECT entity_id, month(date)::INTEGER AS month, count(*) AS n FROM movements GROUP BY 1, 2), t AS (SELECT entity_id, sum(n) / 12.0::DOUBLE AS mean FROM c GROUP BY 1),
+g AS (SELECT entity_id, mean, unnest(generate_series(1, 12))::INTEGER AS month FROM t)
+SELECT entity_id, month, round(coalesce(n, 0) / mean, 6)::DOUBLE AS weight, CASE WHEN coalesce(n, 0) / mean > 1.3 THEN 'peak' WHEN n > 0 AND n / mean < 0.7 THEN 'low' ELSE 'normal' END AS kind FROM g LEFT JOIN c USING (entity_id, month)""",
         "movements",
     ),
 )
 def seasonality_weights(spark: SparkSession, sf: str) -> DataFrame:
-    """Twelve weights for each direction, absent months as zero."""
-    c = d.movements(spark, sf).groupBy("direction", F.month("date").alias("month")).agg(F.sum("amount").cast("double").alias("total"))
-    t = c.groupBy("direction").agg((F.sum("total") / 12).alias("mean"))
-    grid = t.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
-    total = F.coalesce("total", F.lit(0.0))
-    w = total / F.col("mean")
-    return grid.join(c, ["direction", "month"], "left").select("direction", "month", F.round(w, 6).alias("weight"), F.when(w > 1.3, "peak").when((total > 0) & (w < 0.7), "low").otherwise("normal").alias("kind"))
+    """Twelve weights for each entity: the month's count over a twelfth of all; months without transactions weigh nothing and are not low."""
+    months = F.count("*").alias("n")
+    c = d.movements(spark, sf).groupBy("entity_id", F.month("date").alias("month")).agg(months)
+    t = c.groupBy("entity_id").agg((F.sum("n") / F.lit(12.0)).alias("mean"), F.map_from_entries(F.collect_list(F.struct("month", "n"))).alias("by_month"))
+    n = F.coalesce(F.col("by_month")[F.col("month")], F.lit(0))
+    w = n / F.col("mean")
+    kind = F.when(w > 1.3, "peak").when((n > 0) & (w < 0.7), "low").otherwise("normal")
+    return t.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12)))).select("entity_id", "month", F.round(w, 6).alias("weight"), kind.alias("kind"))
 
 
 @query(
@@ -134,8 +134,8 @@ def seasonality_weights(spark: SparkSession, sf: str) -> DataFrame:
     d.with_tables(
         f"""WITH {_GAPS}, {_TX}, a AS (SELECT entity_id, count(*) AS n, coalesce(stddev_samp(gap) / nullif(avg(gap), 0), 0) AS icv, coalesce(stddev_samp(amount) / nullif(avg(amount), 0), 0) AS acv,
   round(count(*) * 30.0 / greatest(1, max(date) - min(date)), 4) AS per_month FROM g GROUP BY 1), o AS (SELECT entity_id, avg(CASE WHEN on_time THEN 1.0 ELSE 0.0 END) AS r, avg(days_to_pay) AS delay FROM tx GROUP BY 1)
-SELECT entity_id, n, round(icv, 4) AS interval_cv, round(acv, 4) AS amount_cv, per_month::DOUBLE AS per_month, round(r, 4) AS on_time_rate, CASE WHEN n < 3 THEN 'low_data' WHEN icv < 0.25 AND acv < 0.3 THEN 'clockwork' WHEN icv > 0.8 THEN 'volatile'
-  WHEN delay > 30 AND icv < 0.5 THEN 'slow_reliable' WHEN icv > 0.5 THEN 'bursty' WHEN n <= 6 AND icv > 0.4 THEN 'episodic' WHEN icv < 0.5 THEN 'clockwork' ELSE 'bursty' END AS archetype
+SELECT entity_id, n, round(icv, 4) AS interval_cv, round(acv, 4) AS amount_cv, per_month::DOUBLE AS per_month, round(r, 4) AS on_time_rate, CASE WHEN n < 3 THEN 'low_data' WHEN icv < 0.3 AND r > 0.85 THEN 'clockwork' WHEN icv < 0.5 AND r > 0.7 AND delay > 20 THEN 'slow_reliable'
+  WHEN icv > 0.7 AND icv < 1.2 AND r > 0.5 THEN 'bursty' WHEN icv > 1.0 OR r < 0.5 THEN 'volatile' ELSE 'bursty' END AS archetype
 FROM a JOIN o USING (entity_id)""",
         "movements",
         "cash_events",
@@ -148,14 +148,18 @@ def behavioural_profiles(spark: SparkSession, sf: str) -> DataFrame:
         F.count("*").alias("n"), cv("gap").alias("icv"), cv("amount").alias("acv"), F.round(F.count("*") * 30.0 / F.greatest(F.lit(1), F.datediff(F.max("date"), F.min("date"))), 4).alias("per_month")
     )
     o = transactions(spark, sf).groupBy("entity_id").agg(F.avg(F.when(F.col("on_time"), 1.0).otherwise(0.0)).alias("r"), F.avg("days_to_pay").alias("delay"))
-    i, v, n = F.col("icv"), F.col("acv"), F.col("n")
-    kind = (
-        F.when(n < 3, "low_data").when((i < 0.25) & (v < 0.3), "clockwork").when(i > 0.8, "volatile").when((F.col("delay") > 30) & (i < 0.5), "slow_reliable")
-        .when(i > 0.5, "bursty").when((n <= 6) & (i > 0.4), "episodic").when(i < 0.5, "clockwork").otherwise("bursty")
-    )
+    kind = archetype(F.col("n"), F.col("icv"), F.col("r"), F.col("delay"))
     return a.join(o, "entity_id").select("entity_id", "n", F.round("icv", 4).alias("interval_cv"), F.round("acv", 4).alias("amount_cv"), "per_month", F.round("r", 4).alias("on_time_rate"), kind.alias("archetype"))
 
 
+def archetype(n: Column, cv: Column, on_time: Column, delay: Column) -> Column:
+    """How an entity pays: by number of transactions, variation of intervals, share paid on time and mean days to pay."""
+    return (
+        F.when(n < 3, "low_data").when((cv < 0.3) & (on_time > 0.85), "clockwork").when((cv < 0.5) & (on_time > 0.7) & (delay > 20), "slow_reliable")
+        .when((cv > 0.7) & (cv < 1.2) & (on_time > 0.5), "bursty").when((cv > 1.0) | (on_time < 0.5), "volatile").otherwise("bursty")
+    )
+
+
 @query(
     "settlement_timing",
     d.with_tables(
@@ -204,40 +208,128 @@ def timing_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return k.agg(F.round(F.sum(F.col("n") * c) / F.sum("n"), 6).alias("confidence"))
 
 
+_PATTERNS = f"""g AS (SELECT entity_id, direction, date, amount::DOUBLE AS amount, date - lag(date) OVER (PARTITION BY entity_id, direction ORDER BY date, movement_id) AS gap FROM movements),
+a AS (SELECT entity_id, direction, count(*) AS n, avg(amount) AS mean, stddev_pop(amount) AS sd, coalesce(avg(gap), 0) AS gap, coalesce(stddev_pop(gap), 0) AS gap_sd, min(amount) AS least, max(amount) AS most, max(date) AS last, min(date) AS first FROM g GROUP BY 1, 2),
+p AS (SELECT *, CASE WHEN n < 3 THEN 0.0 ELSE 0.7 * greatest(0, 1 - CASE WHEN gap > 0 THEN gap_sd / gap ELSE 1 END) + 0.3 * greatest(0, 1 - CASE WHEN mean > 0 THEN sd / mean ELSE 1 END) END AS conf FROM a),
+k AS (SELECT entity_id, direction, n, round(mean, 6) AS mean_amount, round(sd, 3) AS amount_sd, least AS min_amount, most AS max_amount, round(gap, 4)::DOUBLE AS mean_gap, round(gap_sd, 4)::DOUBLE AS gap_sd, round(conf, 4)::DOUBLE AS confidence,
+  CASE WHEN conf > 0.8 AND gap_sd < 0.2 * gap THEN 'clockwork' WHEN conf > 0.5 THEN 'recurring' WHEN n <= 3 THEN 'episodic' ELSE 'bursty' END AS recurrence, round(conf * least(n, 20) / 20, 4)::DOUBLE AS strength,
+  (DATE '{d.AS_OF}' - last)::INTEGER AS last_days_ago, DATE '{d.AS_OF}' - last <= 90 AS is_active, (DATE '{d.AS_OF}' - first)::INTEGER AS days_of_history, conf FROM p)"""
+
+
+def patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """Amount and interval statistics (population deviations) of each entity and direction, the confidence that payments recur, and how."""
+    w = Window.partitionBy("entity_id", "direction").orderBy("date", "movement_id")
+    g = d.movements(spark, sf).select("entity_id", "direction", "date", F.col("amount").cast("double").alias("amount"), F.datediff("date", F.lag("date").over(w)).alias("gap"))
+    a = g.groupBy("entity_id", "direction").agg(
+        F.count("*").alias("n"), F.avg("amount").alias("mean"), F.stddev_pop("amount").alias("sd"), F.coalesce(F.avg("gap"), F.lit(0.0)).alias("gap"), F.coalesce(F.stddev_pop("gap"), F.lit(0.0)).alias("gap_sd"),
+        F.min("amount").alias("min_amount"), F.max("amount").alias("max_amount"), F.max("date").alias("last"), F.min("date").alias("first"),
+    )
+    n, gap, gap_sd, today = F.col("n"), F.col("gap"), F.col("gap_sd"), F.lit(d.AS_OF).cast("date")
+    conf = recurrence_confidence(n, gap, gap_sd, F.col("mean"), F.col("sd"))
+    kind = F.when((F.col("conf") > 0.8) & (gap_sd < 0.2 * gap), "clockwork").when(F.col("conf") > 0.5, "recurring").when(n <= 3, "episodic").otherwise("bursty")
+    return a.withColumn("conf", conf).select(
+        "entity_id", "direction", "n", F.round("mean", 6).alias("mean_amount"), F.round("sd", 3).alias("amount_sd"), "min_amount", "max_amount", F.round(gap, 4).alias("mean_gap"), F.round(gap_sd, 4).alias("gap_sd"), F.round("conf", 4).alias("confidence"),
+        kind.alias("recurrence"), F.round(F.col("conf") * F.least(n, F.lit(20)) / 20, 4).alias("strength"), F.datediff(today, "last").alias("last_days_ago"), (F.datediff(today, "last") <= 90).alias("is_active"), F.datediff(today, "first").alias("days_of_history"), "conf",
+    )
+
+
+def recurrence_confidence(n: Column, gap: Column, gap_sd: Column, mean: Column, sd: Column) -> Column:
+    """0.7 of the steadiness of intervals and 0.3 of that of amounts; nothing below two intervals."""
+    steady = lambda dev, of: F.greatest(F.lit(0.0), 1 - F.when(of > 0, F.try_divide(dev, of)).otherwise(1.0))
+    return F.when(n < 3, 0.0).otherwise(0.7 * steady(gap_sd, gap) + 0.3 * steady(sd, mean))
+
+
+@query("payment_patterns", d.with_tables(f"WITH {_PATTERNS} SELECT * EXCLUDE (conf) FROM k", "movements"))
+def payment_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    return patterns(spark, sf).drop("conf")
+
+
+@query("confident_patterns", d.with_tables(f"WITH {_PATTERNS} SELECT entity_id, direction, n, confidence FROM k WHERE conf >= 0.6 AND n >= 5", "movements"))
+def confident_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """Patterns fit for forecasts: confidence of 0.6 and five payments or more."""
+    return patterns(spark, sf).filter("conf >= 0.6 and n >= 5").select("entity_id", "direction", "n", "confidence")
+
+
+_SIGNALS = f"""{_GAPS}, {_TX}, r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY date DESC, movement_id DESC) AS k, count(*) OVER (PARTITION BY entity_id) AS n FROM tx),
+b AS (SELECT entity_id, max(n) AS n, avg(days_to_pay) AS delay, avg(CASE WHEN on_time THEN 1.0 ELSE 0.0 END)::DOUBLE AS on_time, avg(days_to_pay) FILTER (WHERE k <= 3) AS new_delay, avg(days_to_pay) FILTER (WHERE k > n - 3) AS old_delay,
+  count(*) FILTER (WHERE date > DATE '{d.AS_OF}' - INTERVAL 3 MONTH) AS recent, avg(amount) FILTER (WHERE 2 * k <= n) AS new_amount, avg(amount) FILTER (WHERE 2 * k > n) AS old_amount, count(*) * 30.0 / greatest(1, max(date) - min(date)) AS per_month FROM r GROUP BY 1),
+i AS (SELECT entity_id, coalesce(stddev_samp(gap) / nullif(avg(gap), 0), 0) AS icv, coalesce(avg(gap), 0) AS gap FROM g GROUP BY 1),
+f AS (SELECT b.*, icv, gap, n >= 6 AND new_delay > old_delay + 2 AS f1, n >= 4 AND new_amount < 0.85 * old_amount AS f2, on_time < 0.7 AS f3, icv > 1.0 AS f4, n >= 6 AND recent < 0.5 * (3 * per_month) AS f5 FROM b JOIN i USING (entity_id))"""
+
+
+def signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Each entity's punctuality, variation and frequency, with five warning signs (f1 to f5)."""
+    w = Window.partitionBy("entity_id")
+    r = transactions(spark, sf).withColumns({"k": F.row_number().over(w.orderBy(F.desc("date"), F.desc("movement_id"))), "n": F.count("*").over(w)})
+    k, n = F.col("k"), F.col("n")
+    some = lambda c, x: F.avg(F.when(c, F.col(x)))
+    b = r.groupBy("entity_id").agg(
+        F.max("n").alias("n"), F.avg("days_to_pay").alias("delay"), F.avg(F.when(F.col("on_time"), 1.0).otherwise(0.0)).alias("on_time"), some(k <= 3, "days_to_pay").alias("new_delay"), some(k > n - 3, "days_to_pay").alias("old_delay"),
+        F.count_if(F.col("date") > F.add_months(F.lit(d.AS_OF).cast("date"), -3)).alias("recent"), some(2 * k <= n, "amount").alias("new_amount"), some(2 * k > n, "amount").alias("old_amount"),
+        (F.count("*") * F.lit(30.0) / F.greatest(F.lit(1), F.datediff(F.max("date"), F.min("date")))).alias("per_month"),
+    )
+    i = gaps(spark, sf).groupBy("entity_id").agg(F.coalesce(F.try_divide(F.stddev_samp("gap"), F.avg("gap")), F.lit(0.0)).alias("icv"), F.coalesce(F.avg("gap"), F.lit(0.0)).alias("gap"))
+    c = F.col
+    return b.join(i, "entity_id").withColumns({
+        "f1": (n >= 6) & (c("new_delay") > c("old_delay") + 2), "f2": F.coalesce((n >= 4) & (c("new_amount") < 0.85 * c("old_amount")), F.lit(False)), "f3": c("on_time") < 0.7, "f4": c("icv") > 1.0, "f5": (n >= 6) & (c("recent") < 0.5 * (3 * c("per_month"))),
+    })
+
+
+#: Each warning sign with its weight.
+SIGNS = [("payment_slowing", 0.15), ("amount_declining", 0.1), ("low_on_time_rate", 0.15), ("high_timing_variance", 0.1), ("frequency_dropping", 0.15)]
+
+
 @query(
-    "payment_patterns",
+    "risk_signals",
     d.with_tables(
-        """WITH g AS (SELECT entity_id, direction, amount::DOUBLE AS amount, date - lag(date) OVER (PARTITION BY entity_id, direction ORDER BY date, movement_id) AS gap FROM movements),
-a AS (SELECT entity_id, direction, count(*) AS n, avg(amount) AS mean, stddev_pop(amount) AS sd, avg(gap) AS gap, coalesce(stddev_pop(gap), 0) AS gap_sd FROM g GROUP BY 1, 2)
-SELECT entity_id, direction, n, round(mean, 6) AS mean_amount, round(sd, 3) AS amount_sd, round(gap, 4) AS mean_gap,
-  CASE WHEN gap IS NULL THEN 'unknown' WHEN gap <= 10 THEN 'weekly' WHEN gap <= 18 THEN 'biweekly' WHEN gap <= 45 THEN 'monthly' WHEN gap <= 120 THEN 'quarterly' ELSE 'irregular' END AS recurrence,
-  round(greatest(0, 1 - coalesce(gap_sd / nullif(gap, 0), 1)), 4)::DOUBLE AS strength FROM a WHERE n >= 2""",
+        f"""WITH {_SIGNALS}, s AS (SELECT *, list_filter([{", ".join(f"CASE WHEN f{k} THEN '{name}' END" for k, (name, _) in enumerate(SIGNS, 1))}], lambda x: x IS NOT NULL) AS factors, 0.2{"".join(f" + CASE WHEN f{k} THEN {x} ELSE 0 END" for k, (_, x) in enumerate(SIGNS, 1))} AS score FROM f)
+SELECT entity_id, round(least(1, score), 4)::DOUBLE AS risk_score, factors AS risk_factors, CASE WHEN len(factors) = 0 AND on_time > 0.9 THEN 'improving' WHEN len(factors) >= 2 THEN 'deteriorating' ELSE 'stable' END AS recent_trend FROM s""",
         "movements",
+        "cash_events",
     ),
 )
-def payment_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    """Amount and interval statistics (population deviations) and the recurrence they show."""
-    w = Window.partitionBy("entity_id", "direction").orderBy("date", "movement_id")
-    g = d.movements(spark, sf).select("entity_id", "direction", F.col("amount").cast("double").alias("amount"), F.datediff("date", F.lag("date").over(w)).alias("gap"))
-    a = g.groupBy("entity_id", "direction").agg(F.count("*").alias("n"), F.avg("amount").alias("mean"), F.stddev_pop("amount").alias("sd"), F.avg("gap").alias("gap"), F.coalesce(F.stddev_pop("gap"), F.lit(0.0)).alias("gap_sd")).filter("n >= 2")
-    gap = F.col("gap")
-    kind = F.when(gap.isNull(), "unknown").when(gap <= 10, "weekly").when(gap <= 18, "biweekly").when(gap <= 45, "monthly").when(gap <= 120, "quarterly").otherwise("irregular")
-    strength = F.greatest(F.lit(0.0), 1 - F.coalesce(F.col("gap_sd") / F.nullif(gap, F.lit(0.0)), F.lit(1.0)))
-    return a.select("entity_id", "direction", "n", F.round("mean", 6).alias("mean_amount"), F.round("sd", 3).alias("amount_sd"), F.round("gap", 4).alias("mean_gap"), kind.alias("recurrence"), F.round(strength, 4).alias("strength"))
+def risk_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Warning signs of each entity, their score above a base of 0.2, and the trend they show."""
+    factors = F.array_compact(F.array(*[F.when(F.col(f"f{k}"), name) for k, (name, _) in enumerate(SIGNS, 1)]))
+    score = sum((F.when(F.col(f"f{k}"), x).otherwise(0.0) for k, (_, x) in enumerate(SIGNS, 1)), F.lit(0.2))
+    trend = F.when((F.size("risk_factors") == 0) & (F.col("on_time") > 0.9), "improving").when(F.size("risk_factors") >= 2, "deteriorating").otherwise("stable")
+    s = signals(spark, sf).withColumn("risk_factors", factors)
+    return s.select("entity_id", F.round(F.least(F.lit(1.0), score), 4).alias("risk_score"), "risk_factors", trend.alias("recent_trend"))
+
+
+_QUALITY = "100 * (0.3 * least(n / 50.0::DOUBLE, 1) + 0.3 * least(gap * n / 365, 1) + 0.2 * CASE WHEN on_time > 0 THEN 1 ELSE 0 END + 0.2 * greatest(0, 1 - icv))"
+
+
+@query(
+    "data_quality",
+    d.with_tables(f"WITH {_SIGNALS} SELECT entity_id, round({_QUALITY}, 4)::DOUBLE AS score, CASE WHEN {_QUALITY} >= 70 THEN 'High' WHEN {_QUALITY} >= 40 THEN 'Medium' ELSE 'Low' END AS level FROM f", "movements", "cash_events"),
+)
+def data_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """How much is known of an entity: transactions, span, due dates and steadiness."""
+    s = signals(spark, sf).select("entity_id", quality_score(F.col("n"), F.col("gap"), F.col("on_time"), 100 * F.col("icv")).alias("s"))
+    return s.select("entity_id", F.round("s", 4).alias("score"), at_least(F.col("s"), [(70, "High"), (40, "Medium")], "Low").alias("level"))
+
+
+def quality_score(n: Column, gap: Column, on_time: Column, cv_percent: Column) -> Column:
+    return 100 * (0.3 * F.least(n / F.lit(50.0), F.lit(1.0)) + 0.3 * F.least(gap * n / 365, F.lit(1.0)) + 0.2 * F.when(on_time > 0, 1).otherwise(0) + 0.2 * F.greatest(F.lit(0.0), 1 - cv_percent / 100))
 
 
 @query(
     "peer_statistics",
     d.with_tables(
-        """WITH e AS (SELECT entity_id, count(*) AS n, avg(amount::DOUBLE) AS a FROM movements GROUP BY 1)
-SELECT CASE WHEN n >= 10 THEN 'frequent' WHEN n >= 4 THEN 'regular' ELSE 'rare' END AS peer_group, count(*) AS members, round(avg(n), 4) AS avg_count, round(avg(a), 5) AS avg_amount FROM e GROUP BY 1""",
+        f"""WITH {_SIGNALS}, k AS (SELECT *, CASE WHEN n < 3 THEN 'low_data' WHEN icv < 0.3 AND on_time > 0.85 THEN 'clockwork' WHEN icv < 0.5 AND on_time > 0.7 AND delay > 20 THEN 'slow_reliable'
+  WHEN icv > 0.7 AND icv < 1.2 AND on_time > 0.5 THEN 'bursty' WHEN icv > 1.0 OR on_time < 0.5 THEN 'volatile' ELSE 'bursty' END AS archetype, 0.2{"".join(f" + CASE WHEN f{k} THEN {x} ELSE 0 END" for k, (_, x) in enumerate(SIGNS, 1))} AS risk FROM f)
+SELECT archetype, count(*) AS members, round(avg(on_time), 4) AS avg_reliability, round(avg(least(1, risk)), 4)::DOUBLE AS avg_risk, round(avg(delay), 4) AS avg_days_to_pay, round(avg(per_month), 4)::DOUBLE AS avg_frequency FROM k GROUP BY 1""",
         "movements",
+        "cash_events",
     ),
 )
 def peer_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    """Means by peer group."""
-    e = d.movements(spark, sf).groupBy("entity_id").agg(F.count("*").alias("n"), F.avg(F.col("amount").cast("double")).alias("a"))
-    return e.groupBy(at_least(F.col("n"), [(10, "frequent"), (4, "regular")], "rare").alias("peer_group")).agg(F.count("*").alias("members"), F.round(F.avg("n"), 4).alias("avg_count"), F.round(F.avg("a"), 5).alias("avg_amount"))
+    """Means of the entities of each archetype: reliability (the share on time), risk, days to pay and transactions a month."""
+    risk = F.least(F.lit(1.0), sum((F.when(F.col(f"f{k}"), x).otherwise(0.0) for k, (_, x) in enumerate(SIGNS, 1)), F.lit(0.2)))
+    k = signals(spark, sf).withColumn("archetype", archetype(F.col("n"), F.col("icv"), F.col("on_time"), F.col("delay")))
+    means = {"avg_reliability": F.col("on_time"), "avg_risk": risk, "avg_days_to_pay": F.col("delay"), "avg_frequency": F.col("per_month")}
+    return k.groupBy("archetype").agg(F.count("*").alias("members"), *[F.round(F.avg(c), 4).alias(n) for n, c in means.items()])
 
 
 @query(

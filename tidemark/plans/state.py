@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rules import at_least, half_up
@@ -148,41 +148,87 @@ def account_flows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: A thirty-first of the movements stands as unresolved and a thirty-seventh as the owner's, as the test tables have neither.
+_CLASSED = """c AS (SELECT *, CASE WHEN key % 31 = 0 THEN 'unknown' WHEN key % 37 = 0 THEN CASE direction WHEN 'inflow' THEN 'owner_contribution' ELSE 'owner_draw' END ELSE economic_class END AS cls FROM tagged)"""
+
+
+def classed(spark: SparkSession, sf: str) -> DataFrame:
+    k, owner = F.col("key"), F.when(F.col("direction") == "inflow", "owner_contribution").otherwise("owner_draw")
+    return d.tagged(spark, sf).withColumn("cls", F.when(k % 31 == 0, "unknown").when(k % 37 == 0, owner).otherwise(F.col("economic_class")))
+
+
 @query(
     "state_confidence",
     d.with_tables(
-        """WITH t AS (SELECT CASE WHEN direction = 'inflow' THEN 'revenue' WHEN economic_class = 'transfer' THEN 'liquidity' ELSE 'spend' END AS area, sum(amount)::DOUBLE AS total,
-  coalesce(sum(amount) FILTER (WHERE policy = 'exclude_and_review'), 0)::DOUBLE AS excluded, coalesce(sum(amount) FILTER (WHERE policy = 'include_provisional'), 0)::DOUBLE AS provisional,
-  coalesce(sum(amount) FILTER (WHERE confidence < 0.6), 0)::DOUBLE AS low FROM tagged GROUP BY 1)
-SELECT area, floor(greatest(0, least(CASE WHEN excluded > 0 THEN 0.99 ELSE 1.0 END, 1 - 0.5 * excluded / total - 0.15 * provisional / total - 0.25 * low / total)) * 1000 + 0.5) / 10 AS confidence FROM t""",
+        f"""WITH {_CLASSED}, a AS (SELECT 'revenue' AS area, * FROM c WHERE direction = 'inflow' AND is_operating UNION ALL SELECT 'spend', * FROM c WHERE direction = 'outflow' AND is_operating UNION ALL SELECT 'liquidity', * FROM c WHERE affects_liquidity),
+t AS (SELECT area, sum(amount)::DOUBLE AS total, coalesce(sum(amount) FILTER (WHERE policy = 'exclude_and_review'), 0)::DOUBLE AS excluded,
+  coalesce(sum(amount) FILTER (WHERE cls = 'unknown' OR area = 'liquidity' AND policy = 'exclude_and_review'), 0)::DOUBLE AS unresolved,
+  coalesce(sum(amount) FILTER (WHERE policy = 'include_provisional'), 0)::DOUBLE AS provisional, coalesce(sum(amount) FILTER (WHERE confidence < 0.7), 0)::DOUBLE AS low FROM a GROUP BY 1)
+SELECT area, CASE WHEN total <= 0 THEN 100.0 ELSE floor(least(CASE WHEN excluded > 0 OR unresolved > 0 THEN 0.99 ELSE 1.0 END, 1 - least(1, 0.5 * (excluded / total) + 0.4 * (unresolved / total) + 0.15 * (provisional / total) + 0.25 * (low / total))) * 1000 + 0.5) / 10 END AS confidence FROM t""",
         "tagged",
     ),
 )
 def state_confidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Confidence of each area: penalties for excluded, provisional and uncertain amounts."""
-    area = F.when(F.col("direction") == "inflow", "revenue").when(F.col("economic_class") == "transfer", "liquidity").otherwise("spend")
-    t = d.tagged(spark, sf).groupBy(area.alias("area")).agg(
-        F.sum("amount").cast("double").alias("total"), _sum(F.col("policy") == "exclude_and_review").alias("excluded"), _sum(F.col("policy") == "include_provisional").alias("provisional"), _sum(F.col("confidence") < 0.6).alias("low")
+    """Confidence of revenue, spend and liquidity: penalties for excluded, unresolved, provisional and uncertain amounts; never whole where anything is excluded or unresolved."""
+    op = F.col("is_operating")
+    areas = F.array_compact(F.array(F.when((F.col("direction") == "inflow") & op, "revenue"), F.when((F.col("direction") == "outflow") & op, "spend"), F.when(F.col("affects_liquidity"), "liquidity")))
+    excluded = F.col("policy") == "exclude_and_review"
+    t = classed(spark, sf).withColumn("area", F.explode(areas)).groupBy("area").agg(
+        F.sum("amount").cast("double").alias("total"), _sum(excluded).alias("excluded"), _sum((F.col("cls") == "unknown") | (F.col("area") == "liquidity") & excluded).alias("unresolved"),
+        _sum(F.col("policy") == "include_provisional").alias("provisional"), _sum(F.col("confidence") < 0.7).alias("low"),
     )
-    score = 1 - 0.5 * F.col("excluded") / F.col("total") - 0.15 * F.col("provisional") / F.col("total") - 0.25 * F.col("low") / F.col("total")
-    most = F.when(F.col("excluded") > 0, 0.99).otherwise(1.0)
-    return t.select("area", (F.floor(F.greatest(F.lit(0.0), F.least(most, score)) * 1000 + 0.5) / 10).alias("confidence"))
+    return t.select("area", area_confidence(*map(F.col, ("total", "excluded", "unresolved", "provisional", "low"))).alias("confidence"))
+
+
+def area_confidence(total: Column, excluded: Column, unresolved: Column, provisional: Column, low: Column) -> Column:
+    """In percent, with one decimal; an area without amounts is certain."""
+    penalty = F.least(F.lit(1.0), 0.5 * (excluded / total) + 0.4 * (unresolved / total) + 0.15 * (provisional / total) + 0.25 * (low / total))
+    most = F.when((excluded > 0) | (unresolved > 0), 0.99).otherwise(1.0)
+    return F.when(total <= 0, 100.0).otherwise(F.floor(F.least(most, 1 - penalty) * 1000 + 0.5) / 10)
 
 
 @query(
     "unresolved_impact",
     d.with_tables(
-        f"""SELECT count(*) AS unresolved, sum(amount)::DOUBLE AS total, count(*) FILTER (WHERE amount > 500) AS over_500, coalesce(sum(amount) FILTER (WHERE amount > 500), 0)::DOUBLE AS exposure,
-  count(*) FILTER (WHERE date > DATE '{d.AS_OF}' - 30) AS last_30_days FROM tagged WHERE policy = 'exclude_and_review'""",
+        f"""WITH {_CLASSED}, t AS (SELECT coalesce(sum(amount) FILTER (WHERE u AND i), 0)::DOUBLE AS a, coalesce(sum(amount) FILTER (WHERE u AND NOT i), 0)::DOUBLE AS b, count(*) FILTER (WHERE u) AS n, coalesce(sum(amount) FILTER (WHERE u AND amount > 500), 0)::DOUBLE AS e,
+  coalesce(sum(amount) FILTER (WHERE i), 0)::DOUBLE AS ti, coalesce(sum(amount) FILTER (WHERE i AND is_operating), 0)::DOUBLE AS oi, coalesce(sum(amount) FILTER (WHERE r), 0)::DOUBLE AS tr, coalesce(sum(amount) FILTER (WHERE r AND u), 0)::DOUBLE AS ur
+  FROM (SELECT *, cls = 'unknown' AS u, direction = 'inflow' AS i, date >= DATE '{d.AS_OF}' - 30 AS r FROM c))
+SELECT a AS unresolved_inflow_total, b AS unresolved_outflow_total, n AS unresolved_count, e AS unresolved_operating_exposure, CASE WHEN ti > 0 THEN floor(a / ti * 1000 + 0.5) / 10 ELSE 0.0 END AS unresolved_pct_of_inflows,
+  CASE WHEN oi > 0 THEN floor(a / oi * 1000 + 0.5) / 10 ELSE 0.0 END AS unresolved_pct_of_operating_inflows, CASE WHEN tr > 0 THEN floor(ur / tr * 1000 + 0.5) / 10 ELSE 0.0 END AS unresolved_pct_of_last_30d FROM t""",
         "tagged",
     ),
 )
 def unresolved_impact(spark: SparkSession, sf: str) -> DataFrame:
-    """What waits for review."""
-    recent = F.col("date") > F.date_sub(F.lit(d.AS_OF).cast("date"), 30)
-    return d.tagged(spark, sf).filter("policy = 'exclude_and_review'").agg(
-        F.count("*").alias("unresolved"), F.sum("amount").cast("double").alias("total"), F.count_if(F.col("amount") > 500).alias("over_500"), _sum(F.col("amount") > 500).alias("exposure"), F.count_if(recent).alias("last_30_days")
+    """What is of unknown class: totals by direction, what exceeds 500, and three shares in percent."""
+    u, i, op = F.col("cls") == "unknown", F.col("direction") == "inflow", F.col("is_operating")
+    recent = F.col("date") >= F.date_sub(F.lit(d.AS_OF).cast("date"), 30)
+    t = classed(spark, sf).agg(
+        _sum(u & i).alias("unresolved_inflow_total"), _sum(u & ~i).alias("unresolved_outflow_total"), F.count_if(u).alias("unresolved_count"), _sum(u & (F.col("amount") > 500)).alias("unresolved_operating_exposure"),
+        _sum(i).alias("ti"), _sum(i & op).alias("oi"), _sum(recent).alias("tr"), _sum(recent & u).alias("ur"),
+    )
+    pct = lambda x, of: F.when(F.col(of) > 0, half_up(F.try_divide(F.col(x), F.col(of)) * 100, 1)).otherwise(0.0)
+    shares = {"unresolved_pct_of_inflows": pct("unresolved_inflow_total", "ti"), "unresolved_pct_of_operating_inflows": pct("unresolved_inflow_total", "oi"), "unresolved_pct_of_last_30d": pct("ur", "tr")}
+    return t.withColumns(shares).drop("ti", "oi", "tr", "ur")
+
+
+@query(
+    "owner_dependency",
+    d.with_tables(
+        f"""WITH {_CLASSED}, t AS (SELECT coalesce(sum(amount) FILTER (WHERE cls = 'owner_contribution'), 0)::DOUBLE AS a, coalesce(sum(amount) FILTER (WHERE cls = 'owner_draw'), 0)::DOUBLE AS b, count(*) FILTER (WHERE cls = 'owner_contribution') AS contribution_count,
+  count(*) FILTER (WHERE cls = 'owner_draw') AS draw_count, coalesce(sum(amount) FILTER (WHERE direction = 'inflow' AND policy <> 'exclude_and_review'), 0)::DOUBLE AS ti FROM c)
+SELECT a AS owner_inflow_total, ti AS total_inflow, CASE WHEN ti > 0 THEN floor(a / ti * 1000 + 0.5) / 1000 ELSE 0.0 END AS owner_dependency_ratio, b AS owner_draw_total, round(a - b, 2) AS net_owner_flow, contribution_count, draw_count FROM t""",
+        "tagged",
+    ),
+)
+def owner_dependency(spark: SparkSession, sf: str) -> DataFrame:
+    """What owners put in and drew, against all that came in and is not excluded."""
+    a, b = F.col("cls") == "owner_contribution", F.col("cls") == "owner_draw"
+    t = classed(spark, sf).agg(
+        _sum(a).alias("owner_inflow_total"), _sum(b).alias("owner_draw_total"), F.count_if(a).alias("contribution_count"), F.count_if(b).alias("draw_count"),
+        _sum((F.col("direction") == "inflow") & (F.col("policy") != "exclude_and_review")).alias("total_inflow"),
     )
+    ratio = F.when(F.col("total_inflow") > 0, half_up(F.try_divide("owner_inflow_total", "total_inflow"), 3)).otherwise(0.0)
+    return t.withColumns({"owner_dependency_ratio": ratio, "net_owner_flow": F.round(F.col("owner_inflow_total") - F.col("owner_draw_total"), 2)})
 
 
 @query(

@@ -57,22 +57,27 @@ def processor_observations(records: DataFrame) -> DataFrame:
     )
 
 
+def _money(x: Column) -> Column:
+    return F.round(x.cast("decimal(20,4)"), 2).cast("decimal(18,2)").cast("string")
+
+
 def storefront_records(spark: SparkSession, sf: str) -> DataFrame:
     """Storefront orders with nested refunds, one for each order with status F."""
     o = table(spark, sf, "orders").filter("o_orderstatus = 'F'")
-    refunds = F.when(F.col("o_orderkey") % 7 == 0, F.array(F.struct(F.concat(F.lit("r"), "o_orderkey").alias("id"), F.round(F.col("o_totalprice") / 4, 2).alias("amount")))).otherwise(F.array())
-    data = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.round("o_totalprice", 2).alias("total_price"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"), refunds.alias("refunds")))
+    refunds = F.when(F.col("o_orderkey") % 7 == 0, F.array(F.struct(F.concat(F.lit("r"), "o_orderkey").alias("id"), _money(F.col("o_totalprice") / 4).alias("amount")))).otherwise(F.array())
+    data = F.to_json(F.struct(F.col("o_orderkey").alias("id"), _money(F.col("o_totalprice")).alias("total_price"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"), refunds.alias("refunds")))
     return o.select(F.col("o_orderkey").cast("string").alias("entity_id"), data.alias("data"))
 
 
-STOREFRONT_SCHEMA = "id long, total_price double, created_at date, refunds array<struct<id:string,amount:double>>"
+#: Amounts are decimals written as text, as storefronts send them.
+STOREFRONT_SCHEMA = "id long, total_price string, created_at date, refunds array<struct<id:string,amount:string>>"
 
 
 def storefront_movements(records: DataFrame) -> DataFrame:
     """An inflow for each order and an outflow for each refund."""
     x = records.select(F.from_json("data", STOREFRONT_SCHEMA).alias("x")).select("x.*")
-    paid = x.select(F.concat(F.lit("o"), "id").alias("source_id"), F.lit("inflow").alias("direction"), F.col("created_at").alias("date"), F.col("total_price").alias("amount"))
-    back = x.select("created_at", F.explode("refunds").alias("r")).select(F.col("r.id").alias("source_id"), F.lit("outflow").alias("direction"), F.col("created_at").alias("date"), F.col("r.amount").alias("amount"))
+    paid = x.select(F.concat(F.lit("o"), "id").alias("source_id"), F.lit("inflow").alias("direction"), F.col("created_at").alias("date"), F.col("total_price").cast("decimal(18,2)").cast("double").alias("amount"))
+    back = x.select("created_at", F.explode("refunds").alias("r")).select(F.col("r.id").alias("source_id"), F.lit("outflow").alias("direction"), F.col("created_at").alias("date"), F.col("r.amount").cast("decimal(18,2)").cast("double").alias("amount"))
     return paid.unionByName(back)
 
 
