@@ -141,65 +141,7 @@ def runway(spark: SparkSession, sf: str) -> DataFrame:
     return r.withColumn("first_negative", F.min(F.when(F.col("cash") < 0, F.col("month"))).over(Window.partitionBy()))
 
 
-_BASE = """n AS (SELECT date AS day, sum(CASE WHEN direction = 'inflow' THEN amount ELSE -amount END)::DOUBLE AS net FROM movements WHERE date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31' GROUP BY 1),
-f AS (SELECT g.day::DATE AS day, coalesce(net, 0) AS net FROM generate_series(DATE '2000-01-01', DATE '2000-12-31', INTERVAL 1 DAY) g(day) LEFT JOIN n ON n.day = g.day::DATE),
-b AS (SELECT day, net, avg(net) OVER (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS naive7, avg(net) OVER (ORDER BY day ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) AS rolling14, lag(net, 28) OVER (ORDER BY day) AS last_cycle FROM f)"""
-
-
-def baselines(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily net flow of a year, absent days as zero, with the baselines' predictions; at most 366 rows."""
-    m = d.movements(spark, sf).filter(F.col("date").between("2000-01-01", "2000-12-31"))
-    n = m.groupBy(F.col("date").alias("day")).agg(F.sum(F.when(F.col("direction") == "inflow", F.col("amount")).otherwise(-F.col("amount"))).cast("double").alias("net"))
-    days = spark.range(1).select(F.explode(F.sequence(F.lit("2000-01-01").cast("date"), F.lit("2000-12-31").cast("date"))).alias("day"))
-    f = days.join(n, "day", "left").fillna(0.0, ["net"])
-    w = Window.orderBy("day")
-    return f.withColumns({"naive7": F.avg("net").over(w.rowsBetween(-7, -1)), "rolling14": F.avg("net").over(w.rowsBetween(-14, -1)), "last_cycle": F.lag("net", 28).over(w)})
-
-
-@query("baseline_forecasts", d.with_tables(f"WITH {_BASE} SELECT day, round(net, 2) AS net, round(naive7, 4) AS naive7, round(rolling14, 4) AS rolling14, round(last_cycle, 2) AS last_cycle FROM b WHERE day > DATE '2000-02-01'", "movements"))
-def baseline_forecasts(spark: SparkSession, sf: str) -> DataFrame:
-    return baselines(spark, sf).filter(F.col("day") > "2000-02-01").select("day", F.round("net", 2).alias("net"), F.round("naive7", 4).alias("naive7"), F.round("rolling14", 4).alias("rolling14"), F.round("last_cycle", 2).alias("last_cycle"))
-
-
-def _errors(df: DataFrame) -> DataFrame:
-    x = df.filter(F.col("day") > "2000-02-01").select("net", F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(n).alias("p")) for n in ("naive7", "rolling14", "last_cycle")])).alias("m")).select("net", "m.*")
-    both = (F.abs("net") >= 1) | (F.abs("p") >= 1)
-    return x.filter(both).groupBy("model").agg(F.avg(F.abs(F.col("net") - F.col("p"))).alias("mae"), F.avg(F.abs("net")).alias("scale"), F.avg(F.when((F.col("net") >= 0) == (F.col("p") >= 0), 1.0).otherwise(0.0)).alias("direction"))
-
-
-@query(
-    "backtest_scores",
-    d.with_tables(
-        f"""WITH {_BASE}, u AS (SELECT net, model, p FROM (SELECT net, 'naive7' AS model, naive7 AS p, day FROM b UNION ALL SELECT net, 'rolling14', rolling14, day FROM b UNION ALL SELECT net, 'last_cycle', last_cycle, day FROM b) WHERE day > DATE '2000-02-01' AND (abs(net) >= 1 OR abs(p) >= 1)),
-s AS (SELECT model, avg(abs(net - p)) AS mae, avg(abs(net)) AS scale, avg(CASE WHEN (net >= 0) = (p >= 0) THEN 1.0 ELSE 0.0 END) AS direction FROM u GROUP BY 1)
-SELECT model, round(mae, 3) AS mae, round(direction, 6) AS direction_accuracy, floor(greatest(0, least(100, direction * 60 + (1 - least(1, mae / scale)) * 40)) + 0.5)::BIGINT AS score FROM s""",
-        "movements",
-    ),
-)
-def backtest_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean error, direction accuracy and the score of 60 to 40 between them."""
-    s = _errors(baselines(spark, sf))
-    raw = F.col("direction") * 60 + (1 - F.least(F.lit(1.0), F.col("mae") / F.col("scale"))) * 40
-    return s.select("model", F.round("mae", 3).alias("mae"), F.round("direction", 6).alias("direction_accuracy"), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)) + 0.5).alias("score"))
-
-
-@query(
-    "horizon_errors",
-    d.with_tables(
-        f"""WITH {_BASE} SELECT horizon, round(abs(avg(net) FILTER (WHERE day > DATE '2000-06-30' AND day <= DATE '2000-06-30' + horizon) - avg(net) FILTER (WHERE day <= DATE '2000-06-30')), 4) AS mean_gap
-FROM b, (VALUES (7), (14), (30), (60), (90)) h(horizon) GROUP BY 1""",
-        "movements",
-    ),
-)
-def horizon_errors(spark: SparkSession, sf: str) -> DataFrame:
-    """The mean's error at several horizons from a cutoff."""
-    b = baselines(spark, sf).withColumn("horizon", F.explode(F.array(*map(F.lit, (7, 14, 30, 60, 90)))))
-    cut = F.lit("2000-06-30").cast("date")
-    ahead = F.datediff("day", cut)
-    return b.groupBy("horizon").agg(F.round(F.abs(F.avg(F.when((ahead > 0) & (ahead <= F.col("horizon")), F.col("net"))) - F.avg(F.when(ahead <= 0, F.col("net")))), 4).alias("mean_gap"))
-
-
-_BASE_ALL = """n AS (SELECT date AS day, sum(CASE WHEN direction = 'inflow' THEN amount ELSE -amount END)::DOUBLE AS net FROM movements WHERE date IS NOT NULL GROUP BY 1),
+_BASE = """n AS (SELECT date AS day, sum(CASE WHEN direction = 'inflow' THEN amount ELSE -amount END)::DOUBLE AS net FROM movements WHERE date IS NOT NULL GROUP BY 1),
 f AS (SELECT g.day::DATE AS day, coalesce(net, 0) AS net FROM generate_series((SELECT min(day) FROM n), (SELECT max(day) FROM n), INTERVAL 1 DAY) g(day) LEFT JOIN n ON n.day = g.day::DATE),
 b AS (SELECT day, net, avg(net) OVER (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS naive7, avg(net) OVER (ORDER BY day ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) AS rolling14, lag(net, 28) OVER (ORDER BY day) AS last_cycle, 0.0::DOUBLE AS due_date FROM f)"""
 
@@ -225,25 +167,25 @@ def all_baselines(m: DataFrame, cutoff: str | None = None, horizon: int | None =
 
 
 @query(
-    "baseline_forecasts_all",
-    d.with_tables(f"WITH {_BASE_ALL} SELECT day, round(net, 2) AS net, round(naive7, 4) AS naive7, round(rolling14, 4) AS rolling14, round(last_cycle, 2) AS last_cycle, due_date FROM b", "movements"),
+    "baseline_forecasts",
+    d.with_tables(f"WITH {_BASE} SELECT day, round(net, 2) AS net, round(naive7, 4) AS naive7, round(rolling14, 4) AS rolling14, round(last_cycle, 2) AS last_cycle, due_date FROM b", "movements"),
 )
-def baseline_forecasts_all(spark: SparkSession, sf: str, cutoff: str | None = None, horizon: int | None = None) -> DataFrame:
+def baseline_forecasts(spark: SparkSession, sf: str, cutoff: str | None = None, horizon: int | None = None) -> DataFrame:
     """The baselines of every day; null where there is no day before to learn from."""
     b = all_baselines(d.movements(spark, sf), cutoff, horizon)
     return b.select("day", F.round("net", 2).alias("net"), F.round("naive7", 4).alias("naive7"), F.round("rolling14", 4).alias("rolling14"), F.round("last_cycle", 2).alias("last_cycle"), "due_date")
 
 
 @query(
-    "backtest_scores_all",
+    "backtest_scores",
     d.with_tables(
-        f"""WITH {_BASE_ALL}, u AS (SELECT net, model, p FROM (UNPIVOT b ON naive7, rolling14, last_cycle, due_date INTO NAME model VALUE p) WHERE p IS NOT NULL AND (abs(net) >= 1 OR abs(p) >= 1)),
+        f"""WITH {_BASE}, u AS (SELECT net, model, p FROM (UNPIVOT b ON naive7, rolling14, last_cycle, due_date INTO NAME model VALUE p) WHERE p IS NOT NULL AND (abs(net) >= 1 OR abs(p) >= 1)),
 s AS (SELECT model, avg(abs(net - p)) AS mae, avg(abs(net)) AS scale, avg(CASE WHEN (net >= 0) = (p >= 0) THEN 1.0 ELSE 0.0 END) AS direction, count(*) AS days FROM u GROUP BY 1)
 SELECT model, days, round(mae, 3) AS mae, round(direction, 6) AS direction_accuracy, floor(greatest(0, least(100, direction * 60 + (1 - least(1, coalesce(mae / nullif(scale, 0), 1))) * 40)) + 0.5)::BIGINT AS score FROM s""",
         "movements",
     ),
 )
-def backtest_scores_all(spark: SparkSession, sf: str, cutoff: str | None = None, horizon: int | None = None) -> DataFrame:
+def backtest_scores(spark: SparkSession, sf: str, cutoff: str | None = None, horizon: int | None = None) -> DataFrame:
     """The four baselines scored over every day that they predict."""
     return scored(all_baselines(d.movements(spark, sf), cutoff, horizon))
 
@@ -260,14 +202,14 @@ def scored(b: DataFrame) -> DataFrame:
 
 
 @query(
-    "horizon_errors_all",
+    "horizon_errors",
     d.with_tables(
-        f"""WITH {_BASE_ALL}, e AS (SELECT min(day) AS a, max(day) AS z FROM b), h AS (SELECT horizon, z - horizon AS cutoff FROM e, (VALUES (7), (14), (30), (60), (90)) v(horizon) WHERE horizon <= 0.4 * (z - a))
+        f"""WITH {_BASE}, e AS (SELECT min(day) AS a, max(day) AS z FROM b), h AS (SELECT horizon, z - horizon AS cutoff FROM e, (VALUES (7), (14), (30), (60), (90)) v(horizon) WHERE horizon <= 0.4 * (z - a))
 SELECT horizon, cutoff, round(abs(avg(net) FILTER (WHERE day > cutoff AND day <= cutoff + horizon) - avg(net) FILTER (WHERE day <= cutoff)), 4) AS mean_gap FROM b, h GROUP BY 1, 2""",
         "movements",
     ),
 )
-def horizon_errors_all(spark: SparkSession, sf: str, cutoff: str | None = None) -> DataFrame:
+def horizon_errors(spark: SparkSession, sf: str, cutoff: str | None = None) -> DataFrame:
     """The error of the mean of all days before a cutoff, at the horizons of at most 0.4 of the days; the cutoff is as far from the last day as the horizon unless one is given."""
     b = all_baselines(d.movements(spark, sf))
     ends = b.agg(F.min("day").alias("a"), F.max("day").alias("z"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import names, rules
+from tidemark.functions import labels, names, rules
 from tidemark.operators.joins import first_per_key, range_join
 from tidemark.registry import query
 from tidemark.sources import domain as d
@@ -13,22 +15,6 @@ from tidemark.sources import domain as d
 
 @query(
     "residual_cash",
-    d.with_tables(
-        """WITH a AS (SELECT event_id, sum(amount) AS allocated FROM movements WHERE direction = 'inflow' AND key % 2 = 0 GROUP BY 1)
-SELECT m.movement_id, (m.amount - coalesce(a.allocated, 0))::DOUBLE AS residual FROM movements m LEFT JOIN a USING (event_id) WHERE m.amount - coalesce(a.allocated, 0) > 0.01""",
-        "movements",
-    ),
-)
-def residual_cash(spark: SparkSession, sf: str) -> DataFrame:
-    """Movements less what is allocated, summed before the join."""
-    m = d.movements(spark, sf)
-    a = m.filter("direction = 'inflow' and key % 2 = 0").groupBy("event_id").agg(F.sum("amount").alias("allocated"))
-    r = F.col("amount") - F.coalesce(F.col("allocated"), F.lit(0))
-    return m.select("movement_id", "event_id", "amount").join(a, "event_id", "left").filter(r > 0.01).select("movement_id", r.cast("double").alias("residual"))
-
-
-@query(
-    "residual_cash_all",
     d.with_tables(
         """WITH a AS (SELECT movement_id, sum(net_amount) AS allocated FROM attributions WHERE component_type <> 'fee' GROUP BY 1)
 SELECT m.movement_id, (m.amount - coalesce(a.allocated, 0))::DOUBLE AS residual FROM movements m LEFT JOIN a USING (movement_id) WHERE m.amount - coalesce(a.allocated, 0) > 0.01""",
@@ -36,8 +22,8 @@ SELECT m.movement_id, (m.amount - coalesce(a.allocated, 0))::DOUBLE AS residual
         "attributions",
     ),
 )
-def residual_cash_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every movement less its own attributions but fees, as the reference sums them; ``residual_cash`` keeps the subset that its SQL states."""
+def residual_cash(spark: SparkSession, sf: str) -> DataFrame:
+    """Every movement less its own attributions but fees."""
     return residuals(d.movements(spark, sf), d.attributions(spark, sf))
 
 
@@ -48,23 +34,6 @@ def residuals(movements: DataFrame, attributions: DataFrame) -> DataFrame:
     return movements.select("movement_id", "amount").join(a, "movement_id", "left").filter(r > 0.01).select("movement_id", r.cast("double").alias("residual"))
 
 
-@query(
-    "transfer_pairs",
-    d.with_tables(
-        """SELECT o.movement_id AS outflow_id, i.movement_id AS inflow_id FROM observations oo JOIN movements o ON o.movement_id = oo.movement_id AND o.direction = 'outflow' AND oo.source_id LIKE '%-a'
-JOIN movements i ON i.direction = 'inflow' AND i.account = o.account AND floor(i.amount / 10000) = floor(o.amount / 10000) AND abs(i.amount - o.amount) < 900 AND abs(i.date - o.date) <= 3""",
-        "observations",
-        "movements",
-    ),
-)
-def transfer_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Outflows and inflows of one account and one amount bin of 10,000 that differ by less than 900 within three days; ``transfer_pairs_all`` pairs across bins too."""
-    m = d.movements(spark, sf).withColumn("bin", F.floor(F.col("amount") / 10000))
-    o = m.filter("direction = 'outflow'").select("account", "bin", F.col("movement_id").alias("outflow_id"), F.col("amount").alias("oa"), F.col("date").alias("od"))
-    i = m.filter("direction = 'inflow'").select("account", "bin", F.col("movement_id").alias("inflow_id"), F.col("amount").alias("ia"), F.col("date").alias("id"))
-    return range_join(o, i, ["account", "bin"], "od", "id", 3).filter(F.abs(F.col("oa") - F.col("ia")) < 900).select("outflow_id", "inflow_id")
-
-
 def near_pairs(m: DataFrame, on: list[str], below: str, days: int) -> DataFrame:
     """Outflows and inflows of ``m`` with equal ``on`` whose amounts differ by less than ``below`` and dates by at most ``days``.
 
@@ -81,24 +50,44 @@ def near_pairs(m: DataFrame, on: list[str], below: str, days: int) -> DataFrame:
 
 
 @query(
-    "transfer_pairs_all",
+    "near_amount_pairs",
     d.with_tables(
         """SELECT o.movement_id AS outflow_id, i.movement_id AS inflow_id FROM movements o JOIN movements i ON i.account = o.account AND abs(i.amount - o.amount) < 900 AND abs(i.date - o.date) <= 3
 WHERE o.direction = 'outflow' AND i.direction = 'inflow'""",
         "movements",
     ),
 )
-def transfer_pairs_all(spark: SparkSession, sf: str) -> DataFrame:
+def near_amount_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """All outflows and inflows of one account that differ by less than 900 within three days."""
     return near_pairs(d.movements(spark, sf), ["account"], "900", 3).select("outflow_id", "inflow_id")
 
 
 def own_transfers(m: DataFrame) -> DataFrame:
-    """The reference's pairs: movements of class transfer that differ by less than a cent within three days, between two accounts.
+    """Movements of class transfer that leave one account and reach another with the same amount (less than a cent apart) within three days.
 
-    No query, as no inflow of the test tables is a transfer. The reference also asks that the outflow's id be the smaller, which loses pairs.
+    Money has whole cents, so that amounts are an equality key.
     """
-    return near_pairs(m.filter("economic_class = 'transfer'"), [], "0.01", 3).filter("o_account <> i_account").select("outflow_id", "inflow_id")
+    side = lambda direction, p: m.filter((F.col("economic_class") == "transfer") & (F.col("direction") == direction)).select("amount", F.col("movement_id").alias(f"{direction}_id"), F.col("account").alias(f"{p}_account"), F.col("date").alias(f"{p}_date"))
+    return range_join(side("outflow", "o"), side("inflow", "i"), ["amount"], "o_date", "i_date", 3).filter("o_account <> i_account").select("outflow_id", "inflow_id")
+
+
+@query(
+    "transfer_pairs",
+    d.with_tables(
+        """WITH t AS (SELECT movement_id, direction, account, date, amount FROM movements WHERE economic_class = 'transfer' AND direction = 'outflow'
+  UNION ALL SELECT movement_id || '-leg', 'inflow', 'ACCT' || ((key + CASE WHEN key % 11 = 0 THEN 0 ELSE 1 END) % 4), date + (key % 5)::INTEGER, amount + CASE WHEN key % 7 = 0 THEN 0.01 ELSE 0 END FROM movements WHERE economic_class = 'transfer' AND direction = 'outflow')
+SELECT o.movement_id AS outflow_id, i.movement_id AS inflow_id FROM t o JOIN t i ON o.direction = 'outflow' AND i.direction = 'inflow' AND o.account <> i.account AND abs(o.amount - i.amount) < 0.01 AND abs(o.date - i.date) <= 3""",
+        "movements",
+    ),
+)
+def transfer_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Transfers between own accounts. Each outgoing leg of the test tables has an incoming one drawn from its key: some on the same account, late, or a cent off."""
+    o = d.movements(spark, sf).filter("economic_class = 'transfer' and direction = 'outflow'")
+    k = F.col("key")
+    account = F.concat(F.lit("ACCT"), ((k + F.when(k % 11 == 0, 0).otherwise(1)) % 4).cast("string"))
+    amount = (F.col("amount") + F.when(k % 7 == 0, F.lit("0.01").cast(d.MONEY)).otherwise(F.lit(0).cast(d.MONEY))).cast(d.MONEY)
+    i = o.select(F.concat("movement_id", F.lit("-leg")).alias("movement_id"), F.lit("inflow").alias("direction"), account.alias("account"), F.date_add("date", (k % 5).cast("int")).alias("date"), amount.alias("amount"), "economic_class")
+    return own_transfers(o.select(*i.columns).unionByName(i))
 
 
 _DUP = """p AS (SELECT a.source_id AS a_id, b.source_id AS b_id, a.source AS a_source, b.source AS b_source,
@@ -139,55 +128,95 @@ def duplicate_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return duplicate_pairs(spark, sf).filter("score >= 0.85 - 1e-9").select("a_id", "b_id", F.when(rank("a_source") < rank("b_source"), F.col("a_id")).otherwise(F.col("b_id")).alias("duplicate_id"))
 
 
-_AR = """c AS (SELECT m.movement_id, e.event_id, m.amount::DOUBLE AS a, e.amount::DOUBLE AS b, abs(m.date - e.expected_date) AS days FROM movements m JOIN cash_events e ON e.event_type = 'ar' AND e.entity_id = m.entity_id
-  WHERE m.direction = 'inflow' AND abs(m.date - e.expected_date) <= 45 AND m.amount BETWEEN e.amount * 0.95 AND e.amount * 1.05),
-s AS (SELECT *, ((1 - abs(a - b) / b) + (1 - days / 45.0) + 1) / 3 AS confidence FROM c)"""
+#: A seventh of the movements stands as not yet resolved to an entity.
+_RESOLVED = "CASE WHEN key % 7 <> 0 THEN entity_id END"
 
 
-def ar_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Receipts with the same customer's receivables within 45 days and 5 percent, scored."""
-    m = d.movements(spark, sf).filter("direction = 'inflow'").select("movement_id", "entity_id", "amount", "date")
-    e = d.cash_events(spark, sf).filter("event_type = 'ar'").select("entity_id", "event_id", F.col("amount").alias("due"), "expected_date")
-    j = range_join(m, e, ["entity_id"], "date", "expected_date", 45).filter((F.col("amount") >= F.col("due") * F.lit("0.95").cast("decimal(3,2)")) & (F.col("amount") <= F.col("due") * F.lit("1.05").cast("decimal(3,2)")))
-    a, b = F.col("amount").cast("double"), F.col("due").cast("double")
-    return j.withColumn("confidence", ((1 - F.abs(a - b) / b) + (1 - F.abs(F.datediff("date", "expected_date")) / 45.0) + 1) / 3)
+def _pairs_sql(direction: str, event: str, days: int, names: str) -> str:
+    """Scored pairs: SQL without bins or equalities. Candidates of equal entities or, for unresolved movements, of any."""
+    return f"""p AS (SELECT movement_id, {_RESOLVED} AS entity_id, amount, date, {_plain_sql("counterparty")} AS x FROM movements WHERE direction = '{direction}'),
+q AS (SELECT event_id, entity_id, amount AS due, expected_date, {_plain_sql("display_name")} AS y FROM cash_events JOIN entities USING (entity_id) WHERE event_type = '{event}'),
+c AS (SELECT movement_id, event_id, p.entity_id IS NOT NULL AS known, amount::DOUBLE AS a, due::DOUBLE AS b, abs(date - expected_date) AS days, x, y FROM p JOIN q ON abs(date - expected_date) <= {days} AND amount BETWEEN due * 0.95 AND due * 1.05 AND (p.entity_id IS NULL OR p.entity_id = q.entity_id)),
+s AS (SELECT movement_id, event_id, ((1 - abs(a / b - 1)) + (1 - days / {days}.0::DOUBLE) + CASE WHEN known THEN 1 WHEN {names} THEN 0.85 ELSE 0.5 END) / 3 AS confidence, CASE WHEN a / b BETWEEN 0.99 AND 1.01 AND days <= 3 THEN 'exact' ELSE 'tolerance' END AS method,
+  abs(a / b - 1) < 0.01 AS close, b AS gross, greatest(0, b - a) AS fee FROM c)"""
+
+
+def _plain_sql(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(lower({x}), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+#: Names of the test tables are one word and one number, so that the rules for telling words come down to these.
+_AR = _pairs_sql("inflow", "ar", 45, "x = y OR (length(x) >= 8 AND length(y) >= 8 AND (contains(x, y) OR contains(y, x)))")
+_AP = _pairs_sql("outflow", "ap", 14, "contains(x, y) OR contains(y, x) OR len(list_intersect(string_split(x, ' '), string_split(y, ' '))) >= 2")
+
+
+def scored_pairs(m: DataFrame, e: DataFrame, days: int, names_match) -> DataFrame:  # noqa: ANN001
+    """Payments (movement_id, entity_id, name, amount, date) with expectations (event_id, entity_id, name, due, expected_date) within ``days`` and five percent, scored.
+
+    Resolved payments meet their entity's expectations. Unresolved ones meet all of like amount: an equi-join on bins of five percent
+    (two to either side are probed) and of ``days``. The score is the mean of amount, date and entity (1, by name 0.85, else 0.5).
+    """
+    e = e.withColumnsRenamed({"name": "other", "entity_id": "owner"})
+    known = range_join(m.filter("entity_id is not null"), e.withColumn("entity_id", F.col("owner")), ["entity_id"], "date", "expected_date", days).drop("entity_id").withColumn("who", F.lit(1.0))
+    scale = lambda x: F.floor(F.log(F.col(x).cast("double")) / math.log(1.05))
+    loose = m.filter("entity_id is null and amount > 0").drop("entity_id").withColumn("scale", F.explode(F.transform(F.array(*map(F.lit, (-2, -1, 0, 1, 2))), lambda i: scale("amount") + i)))
+    open_ = range_join(loose, e.filter("due > 0").withColumn("scale", scale("due")), ["scale"], "date", "expected_date", days).drop("scale")
+    open_ = open_.withColumn("who", F.when(names_match(F.col("name"), F.col("other")), 0.85).otherwise(0.5))
+    limit = lambda x: F.col("due") * F.lit(x).cast("decimal(3,2)")
+    both = known.unionByName(open_).filter((F.col("amount") >= limit("0.95")) & (F.col("amount") <= limit("1.05")))
+    ratio, gap = F.col("amount").cast("double") / F.col("due").cast("double"), F.abs(F.datediff("date", "expected_date"))
+    return both.withColumns({
+        "confidence": ((1 - F.abs(ratio - 1)) + (1 - gap / F.lit(float(days))) + F.col("who")) / 3, "method": F.when(ratio.between(0.99, 1.01) & (gap <= 3), "exact").otherwise("tolerance"), "close": F.abs(ratio - 1) < 0.01,
+        "gross": F.col("due").cast("double"), "fee": F.greatest(F.lit(0.0), F.col("due").cast("double") - F.col("amount").cast("double")),
+    })
+
+
+def candidates(spark: SparkSession, sf: str, direction: str, event: str, days: int, names_match) -> DataFrame:  # noqa: ANN001
+    m = d.movements(spark, sf).filter(F.col("direction") == direction).select("movement_id", F.expr(_RESOLVED).alias("entity_id"), F.col("counterparty").alias("name"), "amount", "date")
+    e = d.cash_events(spark, sf).filter(F.col("event_type") == event).select("event_id", "entity_id", F.col("amount").alias("due"), "expected_date")
+    return scored_pairs(m, e.join(d.entities(spark, sf).select("entity_id", F.col("display_name").alias("name")), "entity_id"), days, names_match)
+
+
+_BEST = "QUALIFY row_number() OVER (PARTITION BY movement_id ORDER BY round(confidence, 9) DESC, event_id) = 1"
 
 
 @query(
     "ar_best_match",
-    d.with_tables(f"WITH {_AR} SELECT movement_id, event_id, round(confidence, 6)::DOUBLE AS confidence FROM s WHERE confidence >= 0.7 QUALIFY row_number() OVER (PARTITION BY movement_id ORDER BY round(confidence, 9) DESC, event_id) = 1", "movements", "cash_events"),
+    d.with_tables(f"WITH {_AR} SELECT movement_id, event_id, round(confidence, 6)::DOUBLE AS confidence, gross AS gross_applied, round(fee, 2)::DOUBLE AS fee_amount, method AS match_method FROM s WHERE confidence >= 0.7 {_BEST}", "movements", "cash_events", "entities"),
 )
 def ar_best_match(spark: SparkSession, sf: str) -> DataFrame:
-    """The best receivable of each receipt from 0.7 on."""
-    c = ar_candidates(spark, sf).filter("confidence >= 0.7")
-    return first_per_key(c, ["movement_id"], [F.round("confidence", 9).desc(), F.col("event_id")]).select("movement_id", "event_id", F.round("confidence", 6).alias("confidence"))
+    """The best receivable of each receipt from 0.7 on, with what it applies."""
+    c = candidates(spark, sf, "inflow", "ar", 45, labels.receivable_names_match).filter("confidence >= 0.7")
+    best = first_per_key(c, ["movement_id"], [F.round("confidence", 9).desc(), F.col("event_id")])
+    return best.select("movement_id", "event_id", F.round("confidence", 6).alias("confidence"), F.col("gross").alias("gross_applied"), F.round("fee", 2).alias("fee_amount"), F.col("method").alias("match_method"))
 
 
 @query(
     "ar_suggestions",
-    d.with_tables(f"WITH {_AR} SELECT movement_id, event_id, row_number() OVER (PARTITION BY movement_id ORDER BY round(confidence, 9) DESC, event_id)::INTEGER AS rank FROM s WHERE confidence >= 0.3 QUALIFY rank <= 5", "movements", "cash_events"),
+    d.with_tables(
+        f"""WITH {_AR} SELECT movement_id, event_id, row_number() OVER (PARTITION BY movement_id ORDER BY round(confidence, 9) DESC, event_id)::INTEGER AS rank, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS level
+FROM s WHERE confidence >= 0.3 QUALIFY rank <= 5""",
+        "movements",
+        "cash_events",
+        "entities",
+    ),
 )
 def ar_suggestions(spark: SparkSession, sf: str) -> DataFrame:
     """Up to five suggestions for each receipt."""
     w = Window.partitionBy("movement_id").orderBy(F.round("confidence", 9).desc(), "event_id")
-    return ar_candidates(spark, sf).filter("confidence >= 0.3").withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("movement_id", "event_id", "rank")
+    c = candidates(spark, sf, "inflow", "ar", 45, labels.receivable_names_match).filter("confidence >= 0.3")
+    return c.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("movement_id", "event_id", "rank", rules.at_least(F.col("confidence"), [(0.8, "high"), (0.5, "medium")], "low").alias("level"))
 
 
 @query(
     "ap_best_match",
-    d.with_tables(
-        """SELECT m.movement_id, e.event_id FROM movements m JOIN cash_events e ON e.event_type = 'ap' AND e.entity_id = m.entity_id WHERE m.direction = 'outflow' AND abs(m.date - e.expected_date) <= 14 AND abs(m.amount - e.amount) <= e.amount * 0.05
-QUALIFY row_number() OVER (PARTITION BY m.movement_id ORDER BY abs(m.amount - e.amount), abs(m.date - e.expected_date), e.event_id) = 1""",
-        "movements",
-        "cash_events",
-    ),
+    d.with_tables(f"WITH {_AP} SELECT movement_id, event_id, round(confidence, 6)::DOUBLE AS confidence, CASE WHEN close THEN 'exact' ELSE 'tolerance' END AS match_method FROM s WHERE confidence >= 0.8 {_BEST}", "movements", "cash_events", "entities"),
 )
 def ap_best_match(spark: SparkSession, sf: str) -> DataFrame:
-    """The nearest payable of the same vendor within 14 days and 5 percent."""
-    m = d.movements(spark, sf).filter("direction = 'outflow'").select("movement_id", "entity_id", "amount", "date")
-    e = d.cash_events(spark, sf).filter("event_type = 'ap'").select("entity_id", "event_id", F.col("amount").alias("due"), "expected_date")
-    j = range_join(m, e, ["entity_id"], "date", "expected_date", 14).withColumn("gap", F.abs(F.col("amount") - F.col("due"))).filter(F.col("gap") <= F.col("due") * F.lit("0.05").cast("decimal(3,2)"))
-    return first_per_key(j, ["movement_id"], [F.col("gap"), F.abs(F.datediff("date", "expected_date")), F.col("event_id")]).select("movement_id", "event_id")
+    """The best payable of each payment from 0.8 on."""
+    c = candidates(spark, sf, "outflow", "ap", 14, labels.payable_names_match).filter("confidence >= 0.8")
+    best = first_per_key(c, ["movement_id"], [F.round("confidence", 9).desc(), F.col("event_id")])
+    return best.select("movement_id", "event_id", F.round("confidence", 6).alias("confidence"), F.when(F.col("close"), "exact").otherwise("tolerance").alias("match_method"))
 
 
 @query(
@@ -297,21 +326,6 @@ def alias_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return m.join(k, "key").groupBy("movement_id").agg(F.min("entity_id").alias("resolved"))
 
 
-@query(
-    "name_similarity",
-    d.with_tables(
-        """WITH p AS (SELECT movement_id, trim(lower(raw_description)) AS a, trim(lower(counterparty)) AS b FROM movements WHERE key % 4 = 3),
-t AS (SELECT *, list_distinct(list_filter(string_split_regex(regexp_replace(a, '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: length(w) > 1)) AS x, list_distinct(list_filter(string_split_regex(regexp_replace(b, '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: length(w) > 1)) AS y FROM p)
-SELECT movement_id, levenshtein(a, b)::INTEGER AS distance, round(1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)), 6) AS edit_sim, round(len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))), 6) AS token_sim,
-  round(0.4 * (1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b))) + 0.6 * len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))), 6) AS blended FROM t""",
-        "movements",
-    ),
-)
-def name_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    """Edit distance, edit and token similarity, and their blend, of the descriptors in the wholesale style; ``name_similarity_all`` has all styles."""
-    return similarities(d.movements(spark, sf).filter("key % 4 = 3"))
-
-
 def similarities(m: DataFrame) -> DataFrame:
     a, b = F.col("raw_description"), F.col("counterparty")
     return m.select(
@@ -320,7 +334,7 @@ def similarities(m: DataFrame) -> DataFrame:
 
 
 @query(
-    "name_similarity_all",
+    "name_similarity",
     d.with_tables(
         """WITH p AS (SELECT movement_id, trim(lower(raw_description)) AS a, trim(lower(counterparty)) AS b FROM movements),
 t AS (SELECT *, list_distinct(list_filter(string_split_regex(regexp_replace(a, '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: length(w) > 1)) AS x, list_distinct(list_filter(string_split_regex(regexp_replace(b, '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: length(w) > 1)) AS y FROM p)
@@ -329,8 +343,8 @@ SELECT movement_id, levenshtein(a, b)::INTEGER AS distance, round(1 - levenshtei
         "movements",
     ),
 )
-def name_similarity_all(spark: SparkSession, sf: str) -> DataFrame:
-    """The same of every movement, in all styles of descriptor."""
+def name_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """Edit distance, edit and token similarity, and their blend, of every movement's descriptor and counterparty."""
     return similarities(d.movements(spark, sf))
 
 
