@@ -136,7 +136,8 @@ def _pairs_sql(direction: str, event: str, days: int, names: str) -> str:
     """Scored pairs: SQL without bins or equalities. Candidates of equal entities or, for unresolved movements, of any."""
     return f"""p AS (SELECT movement_id, {_RESOLVED} AS entity_id, amount, date, {_plain_sql("counterparty")} AS x FROM movements WHERE direction = '{direction}'),
 q AS (SELECT event_id, entity_id, amount AS due, expected_date, {_plain_sql("display_name")} AS y FROM cash_events JOIN entities USING (entity_id) WHERE event_type = '{event}'),
-c AS (SELECT movement_id, event_id, p.entity_id IS NOT NULL AS known, amount::DOUBLE AS a, due::DOUBLE AS b, abs(date - expected_date) AS days, x, y FROM p JOIN q ON abs(date - expected_date) <= {days} AND amount BETWEEN due * 0.95 AND due * 1.05 AND (p.entity_id IS NULL OR p.entity_id = q.entity_id)),
+j AS (SELECT p.*, q.* EXCLUDE (entity_id), true AS known FROM p JOIN q USING (entity_id) UNION ALL SELECT p.*, q.* EXCLUDE (entity_id), false FROM p JOIN q ON p.entity_id IS NULL AND date >= expected_date - {days} AND date <= expected_date + {days} AND amount >= due * 0.95 AND amount <= due * 1.05),
+c AS (SELECT movement_id, event_id, known, amount::DOUBLE AS a, due::DOUBLE AS b, abs(date - expected_date) AS days, x, y FROM j WHERE abs(date - expected_date) <= {days} AND amount BETWEEN due * 0.95 AND due * 1.05),
 s AS (SELECT movement_id, event_id, ((1 - abs(a / b - 1)) + (1 - days / {days}.0::DOUBLE) + CASE WHEN known THEN 1 WHEN {names} THEN 0.85 ELSE 0.5 END) / 3 AS confidence, CASE WHEN a / b BETWEEN 0.99 AND 1.01 AND days <= 3 THEN 'exact' ELSE 'tolerance' END AS method,
   abs(a / b - 1) < 0.01 AS close, b AS gross, greatest(0, b - a) AS fee FROM c)"""
 
