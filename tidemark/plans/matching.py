@@ -155,16 +155,17 @@ def scored_pairs(m: DataFrame, e: DataFrame, days: int, names_match) -> DataFram
     """Payments (movement_id, entity_id, name, amount, date) with expectations (event_id, entity_id, name, due, expected_date) within ``days`` and five percent, scored.
 
     Resolved payments meet their entity's expectations. Unresolved ones meet all of like amount: an equi-join on bins of five percent
-    (two to either side are probed) and of ``days``. The score is the mean of amount, date and entity (1, by name 0.85, else 0.5).
+    (and both neighbours) and of ``days``. The score is the mean of amount, date and entity (1, by name 0.85, else 0.5).
     """
     e = e.withColumnsRenamed({"name": "other", "entity_id": "owner"})
     known = range_join(m.filter("entity_id is not null"), e.withColumn("entity_id", F.col("owner")), ["entity_id"], "date", "expected_date", days).drop("entity_id").withColumn("who", F.lit(1.0))
-    scale = lambda x: F.floor(F.log(F.col(x).cast("double")) / math.log(1.05))
-    loose = m.filter("entity_id is null and amount > 0").drop("entity_id").withColumn("scale", F.explode(F.transform(F.array(*map(F.lit, (-2, -1, 0, 1, 2))), lambda i: scale("amount") + i)))
-    open_ = range_join(loose, e.filter("due > 0").withColumn("scale", scale("due")), ["scale"], "date", "expected_date", days).drop("scale")
-    open_ = open_.withColumn("who", F.when(names_match(F.col("name"), F.col("other")), 0.85).otherwise(0.5))
+    scale = lambda x: F.floor(F.log(F.col(x).cast("double")) / -math.log(0.95))
+    loose = m.filter("entity_id is null and amount > 0").drop("entity_id").withColumn("scale", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: scale("amount") + i)))
     limit = lambda x: F.col("due") * F.lit(x).cast("decimal(3,2)")
-    both = known.unionByName(open_).filter((F.col("amount") >= limit("0.95")) & (F.col("amount") <= limit("1.05")))
+    near = (F.col("amount") >= limit("0.95")) & (F.col("amount") <= limit("1.05"))
+    open_ = range_join(loose, e.filter("due > 0").withColumn("scale", scale("due")), ["scale"], "date", "expected_date", days).drop("scale").filter(near)
+    open_ = open_.withColumn("who", F.when(names_match(F.col("name"), F.col("other")), 0.85).otherwise(0.5))
+    both = known.filter(near).unionByName(open_)
     ratio, gap = F.col("amount").cast("double") / F.col("due").cast("double"), F.abs(F.datediff("date", "expected_date"))
     return both.withColumns({
         "confidence": ((1 - F.abs(ratio - 1)) + (1 - gap / F.lit(float(days))) + F.col("who")) / 3, "method": F.when(ratio.between(0.99, 1.01) & (gap <= 3), "exact").otherwise("tolerance"), "close": F.abs(ratio - 1) < 0.01,
