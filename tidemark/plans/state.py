@@ -245,14 +245,15 @@ def settlement_lag(spark: SparkSession, sf: str) -> DataFrame:
     """Days from the last receipt strictly before each settlement.
 
     Days are the keys of the union, so that no window spans the table: the last receipt of
-    earlier days comes from a running maximum over a row for each day.
+    earlier days comes from a window over a row for each day, and meets its day by equality.
     """
     f = d.flows(spark, sf).withColumn("day", F.to_date("ts"))
     r, s = f.filter("flow = 'inflow'").select("day", "ts"), f.filter("flow = 'settlement'").select("day", "ts", "event_id")
     same_day = asof_join(s, r.withColumn("receipt", F.col("ts")), ["day"], "ts", "ts", "receipt", strict=True)
-    last = r.groupBy("day").agg(F.max("ts").alias("last")).withColumn("next_day", F.lead("day").over(Window.orderBy("day")))
-    earlier = F.broadcast(last.select(F.col("day").alias("d0"), F.coalesce("next_day", F.lit("9999-12-31").cast("date")).alias("d1"), "last"))
-    both = same_day.join(earlier, (F.col("day") > F.col("d0")) & (F.col("day") <= F.col("d1")), "left").withColumn("receipt", F.coalesce("asof_receipt", "last"))
+    days = s.select("day").distinct().join(r.groupBy("day").agg(F.max("ts").alias("last")), "day", "full")
+    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = days.select("day", F.last("last", ignorenulls=True).over(before).alias("last"))
+    both = same_day.join(earlier, "day", "left").withColumn("receipt", F.coalesce("asof_receipt", "last"))
     lag = F.floor((F.unix_timestamp("ts") - F.unix_timestamp("receipt")) / 86400.0 + 0.5)
     kept = both.select(lag.alias("lag")).filter("lag between 0 and 365")
     n = F.count("*")
