@@ -112,7 +112,7 @@ def test_unresolved_payments_find_expectations_by_amount_date_and_name(spark):
         "movement_id string, entity_id string, name string, amount string, date string",
     ).withColumns({"amount": F.col("amount").cast("decimal(18,2)"), "date": F.to_date("date")})
     e = spark.createDataFrame([("E1", "C1", "Blue Sky Trading Inc", "100.00", "2024-01-19")], "event_id string, entity_id string, name string, due string, expected_date string").withColumns({"due": F.col("due").cast("decimal(18,2)"), "expected_date": F.to_date("expected_date")})
-    got = {r["movement_id"]: r for r in matching.scored_pairs(m, e, 45, matching.labels.receivable_names_match).collect()}
+    got = {r["movement_id"]: r for r in matching.scored_pairs(m, e, 45, matching.labels.receivable_parts_match).collect()}
     assert set(got) == {"a", "b", "c"}
     assert got["a"]["confidence"] == pytest.approx((0.971 + 0.8 + 0.85) / 3)
     assert got["b"]["confidence"] == pytest.approx((0.971 + 0.8 + 0.5) / 3)

@@ -117,23 +117,35 @@ def _words(plain: Column, longer_than: int, stop: list[str]) -> Column:
     return F.array_except(F.array_distinct(F.filter(F.split(plain, " "), lambda w: F.length(w) > longer_than)), F.array(*map(F.lit, stop)) if stop else F.array().cast("array<string>"))
 
 
-def receivable_names_match(a: Column, b: Column) -> Column:
-    """Equal names, one of eight characters or more within the other, or two telling words and half of the fewer in common."""
-    x, y = _plain(a), _plain(b)
-    u, v = _words(x, 2, STOPWORDS), _words(y, 2, STOPWORDS)
+def name_parts(s: Column) -> Column:
+    """A name without punctuation, its telling words, and all its words of more than a letter: what both rules compare, worked out once a row."""
+    plain = _plain(s)
+    return F.struct(plain.alias("plain"), _words(plain, 2, STOPWORDS).alias("telling"), _words(plain, 1, []).alias("words"))
+
+
+def receivable_parts_match(a: Column, b: Column) -> Column:
+    x, y, u, v = a["plain"], b["plain"], a["telling"], b["telling"]
     both, least = F.size(F.array_intersect(u, v)), F.least(F.size(u), F.size(v))
     within = (F.length(x) >= 8) & (F.length(y) >= 8) & (x.contains(y) | y.contains(x))
     return (x != "") & (y != "") & ((x == y) | within | ((least >= 2) & (both >= 2) & (2 * both >= least)))
 
 
-def payable_names_match(a: Column, b: Column) -> Column:
-    """The looser rule for vendors: one name within the other, or two words in common (all of the fewer, if that is one)."""
-    x, y = _plain(a), _plain(b)
-    u, v = _words(x, 1, []), _words(y, 1, [])
+def receivable_names_match(a: Column, b: Column) -> Column:
+    """Equal names, one of eight characters or more within the other, or two telling words and half of the fewer in common."""
+    return receivable_parts_match(name_parts(a), name_parts(b))
+
+
+def payable_parts_match(a: Column, b: Column) -> Column:
+    x, y, u, v = a["plain"], b["plain"], a["words"], b["words"]
     both = F.size(F.array_intersect(u, v))
     return (x != "") & (y != "") & (x.contains(y) | y.contains(x) | (both >= F.least(F.size(u), F.size(v), F.lit(2))))
 
 
+def payable_names_match(a: Column, b: Column) -> Column:
+    """The looser rule for vendors: one name within the other, or two words in common (all of the fewer, if that is one)."""
+    return payable_parts_match(name_parts(a), name_parts(b))
+
+
 def entity_match(description: Column, name: Column, aliases: Column, threshold: float = 0.80) -> Column:
     """match, score and method: direct similarity, the first alias that reaches the threshold, or one name within the other."""
     direct = name_similarity(description, name)

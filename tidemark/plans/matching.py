@@ -157,7 +157,8 @@ def scored_pairs(m: DataFrame, e: DataFrame, days: int, names_match) -> DataFram
     Resolved payments meet their entity's expectations. Unresolved ones meet all of like amount: an equi-join on bins of five percent
     (and both neighbours) and of ``days``. The score is the mean of amount, date and entity (1, by name 0.85, else 0.5).
     """
-    e = e.withColumnsRenamed({"name": "other", "entity_id": "owner"})
+    m = m.withColumn("name", F.when(F.col("entity_id").isNull(), labels.name_parts(F.col("name"))))
+    e = e.withColumn("name", labels.name_parts(F.col("name"))).withColumnsRenamed({"name": "other", "entity_id": "owner"})
     known = range_join(m.filter("entity_id is not null"), e.withColumn("entity_id", F.col("owner")), ["entity_id"], "date", "expected_date", days).drop("entity_id").withColumn("who", F.lit(1.0))
     scale = lambda x: F.floor(F.log(F.col(x).cast("double")) / -math.log(0.95))
     loose = m.filter("entity_id is null and amount > 0").drop("entity_id").withColumn("scale", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: scale("amount") + i)))
@@ -188,7 +189,7 @@ _BEST = "QUALIFY row_number() OVER (PARTITION BY movement_id ORDER BY round(conf
 )
 def ar_best_match(spark: SparkSession, sf: str) -> DataFrame:
     """The best receivable of each receipt from 0.7 on, with what it applies."""
-    c = candidates(spark, sf, "inflow", "ar", 45, labels.receivable_names_match).filter("confidence >= 0.7")
+    c = candidates(spark, sf, "inflow", "ar", 45, labels.receivable_parts_match).filter("confidence >= 0.7")
     best = first_per_key(c, ["movement_id"], [F.round("confidence", 9).desc(), F.col("event_id")])
     return best.select("movement_id", "event_id", F.round("confidence", 6).alias("confidence"), F.col("gross").alias("gross_applied"), F.round("fee", 2).alias("fee_amount"), F.col("method").alias("match_method"))
 
@@ -206,7 +207,7 @@ FROM s WHERE confidence >= 0.3 QUALIFY rank <= 5""",
 def ar_suggestions(spark: SparkSession, sf: str) -> DataFrame:
     """Up to five suggestions for each receipt."""
     w = Window.partitionBy("movement_id").orderBy(F.round("confidence", 9).desc(), "event_id")
-    c = candidates(spark, sf, "inflow", "ar", 45, labels.receivable_names_match).filter("confidence >= 0.3")
+    c = candidates(spark, sf, "inflow", "ar", 45, labels.receivable_parts_match).filter("confidence >= 0.3")
     return c.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("movement_id", "event_id", "rank", rules.at_least(F.col("confidence"), [(0.8, "high"), (0.5, "medium")], "low").alias("level"))
 
 
@@ -216,7 +217,7 @@ def ar_suggestions(spark: SparkSession, sf: str) -> DataFrame:
 )
 def ap_best_match(spark: SparkSession, sf: str) -> DataFrame:
     """The best payable of each payment from 0.8 on."""
-    c = candidates(spark, sf, "outflow", "ap", 14, labels.payable_names_match).filter("confidence >= 0.8")
+    c = candidates(spark, sf, "outflow", "ap", 14, labels.payable_parts_match).filter("confidence >= 0.8")
     best = first_per_key(c, ["movement_id"], [F.round("confidence", 9).desc(), F.col("event_id")])
     return best.select("movement_id", "event_id", F.round("confidence", 6).alias("confidence"), F.when(F.col("close"), "exact").otherwise("tolerance").alias("match_method"))
 
