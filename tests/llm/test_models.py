@@ -169,10 +169,39 @@ def test_language_model(spark, monkeypatch):
 
 
 def test_language_model_sums_to_one(spark):
+    """Both factors, and the tail classes' shares, at every history."""
     texts_ = ["a b c d", "b c e", "a a f"] * 9
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts_)], "id long, text string")
     f = language_model.frame(language_model.token_counts(docs))
+    shape = f["shape"]
     tables = language_model.trained(docs, f)
-    before = [np.array([x]) for x in (0, 3, language_model.START)]
-    z, total = language_model._softmax(tables["class"], language_model.class_rows(before))
-    assert (z / total[:, None]).sum() == pytest.approx(1, abs=1e-4)
+    before = [np.array([x]) for x in (0, 3, shape.start)]
+    z, total = language_model._softmax(tables["class"], language_model.class_rows(before, shape))
+    p = (z / total[:, None])[0]
+    assert p.sum() == pytest.approx(1, abs=1e-4)
+    for klass in range(shape.side):
+        rows = language_model.word_rows(before, np.array([klass]), shape)
+        logs = [10 ** language_model._logs(tables["word"], rows, np.array([t]))[0] for t in range(shape.side)]
+        assert sum(logs) == pytest.approx(1, abs=1e-4)
+
+
+def test_language_model_grows():
+    """Head tokens, rows and rounds follow the training tokens; the broadcast tables stay within memory at 10^13 tokens."""
+    shapes = [language_model.Shape.of(n) for n in (0, 10**4, 10**6, 10**8, 10**10, 10**13)]
+    for a, b in zip(shapes[1:], shapes[2:], strict=False):
+        assert b.head > a.head and b.rows > a.rows and b.rounds >= a.rounds
+    last = shapes[-1]
+    assert last.rows * (last.classes + last.side) * 4 < 1 << 30 and last.head < language_model.KNOWN and last.rounds > 2
+
+
+def test_language_model_wide_rows(spark, monkeypatch):
+    """Rows beyond 16 bits, and tokens too long for the broadcast counts, give whole results."""
+    monkeypatch.setattr(language_model.Shape, "of", classmethod(lambda cls, n: cls(91, 3)))
+    rows = [f"a b c {'x' * 300} {i % 7}" for i in range(60)]
+    got = {r["doc_id"]: r for r in language_model.scored(documents(spark, rows)).collect()}
+    assert language_model.Shape.of(0).row_type == np.uint32
+    c = Counter(t for i, t_ in enumerate(rows) if zlib.crc32(b"%d" % i) % 5 != 1 for t in [*t_.split(), None])
+    n, v = sum(c.values()), len(c)
+    for i, t in enumerate(rows):
+        assert got[i]["base_score"] == pytest.approx(sum(log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*t.split(), None]), abs=1e-6)
+        assert got[i]["score"] > got[i]["base_score"]

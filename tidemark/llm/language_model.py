@@ -1,8 +1,8 @@
 """Operator 1: a hashed maximum-entropy language model with a class-factored softmax.
 
 Tokens are the words of a text, A-Z lowered, then one end. Counts over all training texts give
-the base score and the model's frame: the ``HEAD`` most frequent tokens form classes of
-``WIDTH`` by rank, every other token belongs to a tail class by its last two bytes. The model is
+the base score and the model's frame (:class:`Shape`): the most frequent tokens, the head, form classes
+by rank, every other token belongs to a tail class by its last two bytes. The model is
 
     p(token | history) = p(class | history) x p(token | class, history)
 
@@ -11,10 +11,15 @@ history: none, the last token, the one before, the one before that (skips), and
 (n-gram). Inside a tail class tokens follow their smoothed counts. Weights are trained by distributed
 gradient updates: in each round every task takes AdaGrad steps over its share of the training
 texts, and the tasks' changes are averaged row by row, weighted by how often each task met the row. A
-round reads a part of the training texts, and all rounds together read each of them once.
+round learns from a part of the training texts, and all rounds together learn from each of them once.
 
-Counts of the ``KNOWN`` most frequent tokens are broadcast (a fixed bound); the counts of all others meet
-their texts in a join on the token, which no frequent token enters.
+The frame grows with the training tokens n: head tokens and rows of the table as n^(1/4), classes, tail
+classes and tokens of a class as n^(1/8), rounds as log10 n, so that a token costs n^(1/8) and the broadcast
+tables n^(3/8). A round has the fewer tasks the more rounds there are, so all rounds together send as
+many tables as there are partitions; the fan of the averaging follows the number of tasks.
+
+Counts of the ``KNOWN`` most frequent tokens of at most ``KNOWN_BYTES`` are broadcast (a fixed bound); the
+counts of all others meet their texts in a join on the token, which no frequent token of usual length enters.
 
 A null text counts as empty and is its end alone. Repeated rows each give a row. Without training texts
 every token is unseen and the model knows no more than the base.
@@ -25,25 +30,56 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from math import log, log10
+from math import isqrt, log, log10
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-#: Tokens in head classes and in one of them, tail classes, tokens whose counts are broadcast, rows of a table, rounds.
-HEAD, WIDTH, TAILS, KNOWN, ROWS, ROUNDS = 1024, 32, 64, 131_072, 8192, 2
-HEADS = HEAD // WIDTH
-CLASSES = HEADS + TAILS
-#: A context symbol: a head token, a tail class, or the text's start.
-START = HEAD + TAILS
+#: Tokens whose counts are broadcast, and their greatest length.
+KNOWN, KNOWN_BYTES = 131_072, 256
 #: The end's token: empty, as no word is.
 END = b""
-FEATURES, STEP, RATE, FLUSH = 5, 4096, 0.15, 200_000
+STEP, RATE, FLUSH = 4096, 0.15, 200_000
+
+
+class Shape(NamedTuple):
+    """What the model's size follows from: ``side`` head classes of ``side`` tokens each, and as many tail classes."""
+
+    side: int
+    rounds: int
+
+    @classmethod
+    def of(cls, n: int) -> Shape:
+        """The shape for ``n`` training tokens."""
+        return cls(max(8, round(4 * n**0.125)), 2 + max(0, round(log10(max(n, 1) / 1e7))))
+
+    @property
+    def head(self) -> int:
+        return self.side**2
+
+    @property
+    def classes(self) -> int:
+        return 2 * self.side
+
+    @property
+    def start(self) -> int:
+        """The context symbol of a text's start, after those of head tokens and tail classes."""
+        return self.head + self.side
+
+    @property
+    def rows(self) -> int:
+        return 8 * self.head
+
+    @property
+    def row_type(self) -> np.dtype:
+        return np.min_scalar_type(self.rows - 1)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -76,30 +112,32 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def _tail_class(last: bytes) -> int:
-    return zlib.crc32(last) % TAILS
+def _tail_class(last: bytes, tails: int) -> int:
+    return zlib.crc32(last) % tails
 
 
 def frame(counts: DataFrame) -> dict:
     """The bounded part of the counts: totals, the known tokens by rank, and the tail classes' totals."""
     scale = F.floor(F.log2("c") * 64)
-    steps = {int(r["s"]): r["n"] for r in counts.groupBy(scale.alias("s")).agg(F.count("*").alias("n")).collect()}  # a row for each 1/64 of an octave
+    short = counts.filter(F.length("token") <= KNOWN_BYTES)
+    steps = {int(r["s"]): r["n"] for r in short.groupBy(scale.alias("s")).agg(F.count("*").alias("n")).collect()}  # a row for each 1/64 of an octave
     most, cut = 0, 1 << 30
     for s in sorted(steps, reverse=True):
         if most + steps[s] > KNOWN:
             break
         most, cut = most + steps[s], s
-    known = sorted(((bytes(r["token"]), r["c"]) for r in counts.filter(scale >= cut).collect()), key=lambda x: (-x[1], x[0]))
+    known = sorted(((bytes(r["token"]), r["c"]) for r in short.filter(scale >= cut).collect()), key=lambda x: (-x[1], x[0]))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    tail_class = F.pmod(F.crc32(F.expr("substring(token, greatest(1, length(token) - 1), 2)")), F.lit(TAILS))
+    shape = Shape.of(int(total["n"]))
+    tail_class = F.pmod(F.crc32(F.expr("substring(token, greatest(1, length(token) - 1), 2)")), F.lit(shape.side))
     tails = {int(r["k"]): (r["n"], r["v"]) for r in counts.groupBy(tail_class.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    n, v = np.zeros(TAILS), np.zeros(TAILS)
+    n, v = np.zeros(shape.side), np.zeros(shape.side)
     for k, (a, b) in tails.items():
         n[k], v[k] = a, b
-    for token, c in known[:HEAD]:  # head tokens are in no tail class
-        k = _tail_class(token[-2:])
+    for token, c in known[: shape.head]:  # head tokens are in no tail class
+        k = _tail_class(token[-2:], shape.side)
         n[k], v[k] = n[k] - c, v[k] - 1
-    return {"n": int(total["n"]), "v": int(total["v"]), "tokens": [t for t, _ in known], "c": np.array([c for _, c in known], np.float64), "tail_n": n, "tail_v": v}
+    return {"shape": shape, "n": int(total["n"]), "v": int(total["v"]), "tokens": [t for t, _ in known], "c": np.array([c for _, c in known], np.float64), "tail_n": n, "tail_v": v}
 
 
 class Words(dict):
@@ -113,17 +151,18 @@ class Reader:
     """Texts to arrays: rank (or -1), class and symbol of each token, and those of its history."""
 
     def __init__(self, f: dict) -> None:
+        self.shape = shape = f["shape"]
         self.rank = Words(zip(f["tokens"], range(len(f["tokens"])), strict=True))
         ranks = np.arange(len(f["tokens"]))
-        tails = np.array([_tail_class(t[-2:]) for t in f["tokens"]], np.int64) if len(ranks) else np.zeros(0, np.int64)
-        self.klass = np.where(ranks < HEAD, ranks // WIDTH, HEADS + tails)
-        self.symbol = np.where(ranks < HEAD, ranks, HEAD + tails)
+        tails = np.array([_tail_class(t[-2:], shape.side) for t in f["tokens"]], np.int64) if len(ranks) else np.zeros(0, np.int64)
+        self.klass = np.where(ranks < shape.head, ranks // shape.side, shape.side + tails)
+        self.symbol = np.where(ranks < shape.head, ranks, shape.head + tails)
         self.last: dict[bytes, int] = {}
 
     def _tail(self, token: bytes) -> int:
         key = token[-2:]
         if key not in self.last:
-            self.last[key] = _tail_class(key)
+            self.last[key] = _tail_class(key, self.shape.side)
         return self.last[key]
 
     def read(self, texts: list[bytes]) -> dict:
@@ -139,43 +178,46 @@ class Reader:
         unknown = [words[i] for i in missing]
         if unknown:
             tails = np.fromiter(map(self._tail, unknown), np.int64, len(unknown))
-            klass[missing], symbol[missing] = HEADS + tails, HEAD + tails
+            klass[missing], symbol[missing] = self.shape.side + tails, self.shape.head + tails
         ends_at = np.array(ends)
         starts = np.concatenate([[0], ends_at[:-1]])
         place = np.arange(len(words)) - np.repeat(starts, ends_at - starts)
         before = []
         for k in (1, 2, 3):
-            s = np.full(len(words), START, np.int64)
+            s = np.full(len(words), self.shape.start, np.int64)
             s[k:] = symbol[:-k]
-            s[place < k] = START
+            s[place < k] = self.shape.start
             before.append(s)
         return {"rank": rank, "class": klass, "before": before, "starts": starts, "ends": ends_at, "missing": missing, "unknown": unknown}
 
 
-def _hash(x: np.ndarray, salt: int) -> np.ndarray:
+def _hash(x: np.ndarray, salt: int, shape: Shape) -> np.ndarray:
     """A row of the table other than the first rows, which hold what needs no history."""
-    h = (x.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-    return (CLASSES + (((h >> np.uint64(32)) * np.uint64(ROWS - CLASSES)) >> np.uint64(32))).astype(np.uint16)
+    h = (x.astype(np.uint64) + np.uint64(salt << 40)) * np.uint64(0x9E3779B97F4A7C15)
+    return (shape.classes + (((h >> np.uint64(32)) * np.uint64(shape.rows - shape.classes)) >> np.uint64(32))).astype(shape.row_type)
 
 
-def class_rows(before: list[np.ndarray]) -> list[np.ndarray]:
+def class_rows(before: list[np.ndarray], shape: Shape) -> list[np.ndarray]:
     b1, b2, b3 = before
-    return [np.zeros(len(b1), np.uint16), _hash(b1, 1 << 20), _hash(b2, 2 << 20), _hash(b3, 3 << 20), _hash(b1 * (START + 1) + b2, 4 << 20)]
+    both = b1 * (shape.start + 1) + b2
+    return [np.zeros(len(b1), shape.row_type), *(_hash(x, k, shape) for k, x in enumerate((b1, b2, b3, both), 1))]
 
 
-def word_rows(before: list[np.ndarray], klass: np.ndarray) -> list[np.ndarray]:
+def word_rows(before: list[np.ndarray], klass: np.ndarray, shape: Shape) -> list[np.ndarray]:
     b1, b2, b3 = before
-    return [klass.astype(np.uint16), _hash(b1 * HEADS + klass, 5 << 24), _hash(b2 * HEADS + klass, 6 << 24), _hash(b3 * HEADS + klass, 7 << 24), _hash((b1 * (START + 1) + b2) * HEADS + klass, 8 << 24)]
+    both = b1 * (shape.start + 1) + b2
+    return [klass.astype(shape.row_type), *(_hash(x * shape.side + klass, k, shape) for k, x in enumerate((b1, b2, b3, both), 5))]
 
 
 def start(f: dict) -> dict[str, np.ndarray]:
     """Tables whose first rows hold the logarithms of the counts."""
-    classes, words = np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, WIDTH), np.float32)
-    head = np.zeros(HEAD)
-    head[: min(HEAD, len(f["c"]))] = f["c"][:HEAD]
-    mass = np.concatenate([head.reshape(HEADS, WIDTH).sum(1), f["tail_n"] + 0.5 * (f["tail_v"] + 1)])
-    classes[0] = np.log(mass + 1e-3)
-    words[:HEADS] = np.log(head.reshape(HEADS, WIDTH) + 1e-3)
+    shape = f["shape"]
+    classes, words = np.zeros((shape.rows, shape.classes), np.float32), np.zeros((shape.rows, shape.side), np.float32)
+    head = np.zeros(shape.head)
+    head[: min(shape.head, len(f["c"]))] = f["c"][: shape.head]
+    head = head.reshape(shape.side, shape.side)
+    classes[0] = np.log(np.concatenate([head.sum(1), f["tail_n"] + 0.5 * (f["tail_v"] + 1)]) + 1e-3)
+    words[: shape.side] = np.log(head + 1e-3)
     return {"class": classes, "word": words}
 
 
@@ -212,7 +254,8 @@ class Trainer:
             self._update(np.zeros(1, np.int64), p.sum(0, keepdims=True), np.array([len(p)]))
         else:
             skips = [none, *skips]
-        key = last.astype(np.uint32) << np.uint32(16) | both
+        wide = np.dtype(f"u{2 * both.itemsize}").type
+        key = last.astype(wide) << wide(8 * both.itemsize) | both
         order = np.argsort(key)
         first, n = _starts(key[order])
         g = _sums(p[order], first, n)
@@ -247,13 +290,17 @@ def _sums(x: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Changes of a block of rows, in half floats: they are small beside the weights that they are added to.
 _CHANGE = "block long, fan int, rows binary, met binary, change binary"
 _BLOCK = 128
 
 
 def _round(texts: DataFrame, f: dict, tables: dict) -> dict:
     """The tables after one round over ``texts``."""
-    spark = texts.sparkSession
+    spark, shape = texts.sparkSession, f["shape"]
+    parts = texts.rdd.getNumPartitions()
+    tasks = max(1, min(parts, max(spark.sparkContext.defaultParallelism, parts // shape.rounds)))
+    fan = isqrt(tasks - 1) + 1
     sent = spark.sparkContext.broadcast((f, tables))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,29 +314,30 @@ def _round(texts: DataFrame, f: dict, tables: dict) -> dict:
                 for a in range(0, len(r["rank"]), STEP):
                     part = slice(a, a + STEP)
                     before, klass, rank = [s[part] for s in r["before"]], r["class"][part], r["rank"][part]
-                    trainers["class"].step(class_rows(before), klass)
-                    head = np.flatnonzero((rank >= 0) & (rank < HEAD))
+                    trainers["class"].step(class_rows(before, shape), klass)
+                    head = np.flatnonzero((rank >= 0) & (rank < shape.head))
                     if len(head):
-                        trainers["word"].step(word_rows([s[head] for s in before], klass[head]), rank[head] % WIDTH)
+                        trainers["word"].step(word_rows([s[head] for s in before], klass[head], shape), rank[head] % shape.side)
                 seen += y - x
         out = []
-        for k, (name, t) in enumerate(trainers.items()):
+        own = TaskContext.get().partitionId() % fan
+        for k, t in enumerate(trainers.values()):
             u, change, met = t.changes()
             for block in np.unique(u // _BLOCK) if seen else []:
                 some = u // _BLOCK == block
-                out.append((int(k * ROWS + block), zlib.crc32(t.met.tobytes()) % 32, u[some].astype("<i4").tobytes(), met[some].astype("<i8").tobytes(), change[some].astype("<f4").tobytes()))
+                out.append((int(k * shape.rows + block), own, u[some].astype("<i4").tobytes(), met[some].astype("<i8").tobytes(), change[some].astype("<f2").tobytes()))
         kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], ["block", "fan", "rows", "met", "change"])
 
-    changes = texts.select("text").mapInArrow(work, _CHANGE)
+    changes = texts.select("text").coalesce(tasks).mapInArrow(work, _CHANGE)
     # Two levels, so that no task gathers the changes of all others.
     once = changes.groupBy("block", "fan").applyInPandas(_averaged, _CHANGE).withColumn("fan", F.lit(0))
     new = {k: t.copy() for k, t in tables.items()}
     names = list(tables)
     for r in once.groupBy("block", "fan").applyInPandas(_averaged, _CHANGE).collect():  # a bounded model
         rows = np.frombuffer(r["rows"], "<i4")
-        t = new[names[r["block"] // ROWS]]
-        t[rows] += np.frombuffer(r["change"], "<f4").reshape(len(rows), -1)
+        t = new[names[r["block"] // shape.rows]]
+        t[rows] += np.frombuffer(r["change"], "<f2").reshape(len(rows), -1)
     return new
 
 
@@ -297,21 +345,22 @@ def _averaged(pdf: pd.DataFrame) -> pd.DataFrame:
     """The mean change of each row of a block, weighted by how often each task met it."""
     rows = [np.frombuffer(x, "<i4") for x in pdf["rows"]]
     low = int(rows[0][0]) // _BLOCK * _BLOCK
-    width = len(pdf["change"].iloc[0]) // 4 // len(rows[0])
+    width = len(pdf["change"].iloc[0]) // 2 // len(rows[0])
     total, met = np.zeros((_BLOCK, width)), np.zeros(_BLOCK, np.int64)
     for r, m, c in zip(rows, pdf["met"], pdf["change"], strict=True):
         m = np.frombuffer(m, "<i8")
-        total[r - low] += np.frombuffer(c, "<f4").reshape(len(r), width) * m[:, None]
+        total[r - low] += np.frombuffer(c, "<f2").reshape(len(r), width) * m[:, None]
         met[r - low] += m
     u = np.flatnonzero(met)
-    change = (total[u] / met[u, None]).astype("<f4")
+    change = (total[u] / met[u, None]).astype("<f2")
     first = pdf.iloc[0]
     return pd.DataFrame({"block": [first["block"]], "fan": [first["fan"]], "rows": [(u + low).astype("<i4").tobytes()], "met": [met[u].astype("<i8").tobytes()], "change": [change.tobytes()]})
 
 
-def trained(texts: DataFrame, f: dict, rounds: int = ROUNDS) -> dict:
+def trained(texts: DataFrame, f: dict) -> dict:
     """The model's tables; ``texts``: id and text of the training documents."""
     tables = start(f)
+    rounds = f["shape"].rounds
     part = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(rounds))
     for k in range(rounds):
         tables = _round(texts.filter(part == k), f, tables)
@@ -337,7 +386,7 @@ def _first_scores(docs: DataFrame, f: dict, tables: dict) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, tables = sent.value
-        reader = Reader(f)
+        reader, shape = Reader(f), f["shape"]
         logs = np.append(np.log10(f["c"] + 0.5), 0.0)  # the last for tokens that the join will add
         tail = np.log10(f["tail_n"] + 0.5 * (f["tail_v"] + 1))
         for b in batches:
@@ -347,12 +396,12 @@ def _first_scores(docs: DataFrame, f: dict, tables: dict) -> DataFrame:
                 r = reader.read(texts[x:y])
                 rank, klass, before = r["rank"], r["class"], r["before"]
                 own = logs[rank]
-                model = _logs(tables["class"], class_rows(before), klass)
-                is_head = (rank >= 0) & (rank < HEAD)
+                model = _logs(tables["class"], class_rows(before, shape), klass)
+                is_head = (rank >= 0) & (rank < shape.head)
                 head = np.flatnonzero(is_head)
-                model[head] += _logs(tables["word"], word_rows([s[head] for s in before], klass[head]), rank[head] % WIDTH)
+                model[head] += _logs(tables["word"], word_rows([s[head] for s in before], klass[head], shape), rank[head] % shape.side)
                 others = np.flatnonzero(~is_head)
-                model[others] += own[others] - tail[klass[others] - HEADS]
+                model[others] += own[others] - tail[klass[others] - shape.side]
                 begin = r["starts"]
                 columns[0] += (r["ends"] - begin).tolist()
                 columns[1] += np.add.reduceat((rank >= 0).astype(np.int64), begin).tolist()
