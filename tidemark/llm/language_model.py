@@ -50,7 +50,7 @@ STEP, RATE, FLUSH = 4096, 0.15, 200_000
 
 
 class Shape(NamedTuple):
-    """What the model's size follows from: ``side`` head classes of ``side`` tokens each, and as many tail classes."""
+    """What the model's size follows from: ``side`` head classes of ``side`` tokens each, and twice as many tail classes."""
 
     side: int
     rounds: int
@@ -58,24 +58,28 @@ class Shape(NamedTuple):
     @classmethod
     def of(cls, n: int) -> Shape:
         """The shape for ``n`` training tokens."""
-        return cls(max(8, round(4 * n**0.125)), 2 + max(0, round(log10(max(n, 1) / 1e7))))
+        return cls(max(8, round(3.5 * n**0.125)), 2 + max(0, round(log10(max(n, 1) / 1e7))))
 
     @property
     def head(self) -> int:
         return self.side**2
 
     @property
-    def classes(self) -> int:
+    def tails(self) -> int:
         return 2 * self.side
 
+    @property
+    def classes(self) -> int:
+        return self.side + self.tails
+
     @property
     def start(self) -> int:
         """The context symbol of a text's start, after those of head tokens and tail classes."""
-        return self.head + self.side
+        return self.head + self.tails
 
     @property
     def rows(self) -> int:
-        return 8 * self.head
+        return 16 * self.head
 
     @property
     def row_type(self) -> np.dtype:
@@ -129,13 +133,13 @@ def frame(counts: DataFrame) -> dict:
     known = sorted(((bytes(r["token"]), r["c"]) for r in short.filter(scale >= cut).collect()), key=lambda x: (-x[1], x[0]))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     shape = Shape.of(int(total["n"]))
-    tail_class = F.pmod(F.crc32(F.expr("substring(token, greatest(1, length(token) - 1), 2)")), F.lit(shape.side))
+    tail_class = F.pmod(F.crc32(F.expr("substring(token, greatest(1, length(token) - 1), 2)")), F.lit(shape.tails))
     tails = {int(r["k"]): (r["n"], r["v"]) for r in counts.groupBy(tail_class.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    n, v = np.zeros(shape.side), np.zeros(shape.side)
+    n, v = np.zeros(shape.tails), np.zeros(shape.tails)
     for k, (a, b) in tails.items():
         n[k], v[k] = a, b
     for token, c in known[: shape.head]:  # head tokens are in no tail class
-        k = _tail_class(token[-2:], shape.side)
+        k = _tail_class(token[-2:], shape.tails)
         n[k], v[k] = n[k] - c, v[k] - 1
     return {"shape": shape, "n": int(total["n"]), "v": int(total["v"]), "tokens": [t for t, _ in known], "c": np.array([c for _, c in known], np.float64), "tail_n": n, "tail_v": v}
 
@@ -154,7 +158,7 @@ class Reader:
         self.shape = shape = f["shape"]
         self.rank = Words(zip(f["tokens"], range(len(f["tokens"])), strict=True))
         ranks = np.arange(len(f["tokens"]))
-        tails = np.array([_tail_class(t[-2:], shape.side) for t in f["tokens"]], np.int64) if len(ranks) else np.zeros(0, np.int64)
+        tails = np.array([_tail_class(t[-2:], shape.tails) for t in f["tokens"]], np.int64) if len(ranks) else np.zeros(0, np.int64)
         self.klass = np.where(ranks < shape.head, ranks // shape.side, shape.side + tails)
         self.symbol = np.where(ranks < shape.head, ranks, shape.head + tails)
         self.last: dict[bytes, int] = {}
@@ -162,7 +166,7 @@ class Reader:
     def _tail(self, token: bytes) -> int:
         key = token[-2:]
         if key not in self.last:
-            self.last[key] = _tail_class(key, self.shape.side)
+            self.last[key] = _tail_class(key, self.shape.tails)
         return self.last[key]
 
     def read(self, texts: list[bytes]) -> dict:
