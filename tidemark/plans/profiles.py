@@ -341,12 +341,21 @@ SELECT entity_id, total, round(100.0 * (rank() OVER (ORDER BY total) - 1) / coun
     ),
 )
 def percentile_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """100 x the share of entities below each. Distinct totals are counted and accumulated first, so the window sees one row for each total."""
+    """100 x the share of entities below each.
+
+    Distinct totals with their counts fall into ranges between 1000 approximate quantiles; each range
+    ranks its own totals and adds the entities of the ranges before, so no task sorts them all.
+    """
     e = d.movements(spark, sf).filter("direction = 'inflow'").groupBy("entity_id").agg(F.sum("amount").cast("double").alias("total"))
     counts = e.groupBy("total").agg(F.count("*").alias("n"))
-    below = counts.withColumn("below", F.coalesce(F.sum("n").over(Window.orderBy("total").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    cuts = counts.agg(F.percentile_approx("total", F.array(*(F.lit(k / 1000) for k in range(1, 1000))), 10_000).alias("cuts"))
+    ranged = counts.join(F.broadcast(cuts)).withColumn("part", F.size(F.filter("cuts", lambda x: x < F.col("total")))).drop("cuts")
+    sizes = ranged.groupBy("part").agg(F.sum("n").alias("size"))  # a row for each range
+    before = lambda x, w: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("part", before("size", Window.orderBy("part")).alias("offset"))
+    below = ranged.withColumn("within", before("n", Window.partitionBy("part").orderBy("total"))).join(F.broadcast(offsets), "part")
     n = e.agg(F.count("*").alias("all"))
-    return e.join(below, "total").join(F.broadcast(n)).select("entity_id", "total", F.round(100.0 * F.col("below") / F.col("all"), 6).alias("pct"))
+    return e.join(below, "total").join(F.broadcast(n)).select("entity_id", "total", F.round(100.0 * (F.col("within") + F.col("offset")) / F.col("all"), 6).alias("pct"))
 
 
 @query(
