@@ -269,14 +269,24 @@ SELECT movement_id, event_id, (least(ee, me) - greatest(ee - e.amount, me - m.am
     ),
 )
 def fifo_application(spark: SparkSession, sf: str) -> DataFrame:
-    """First in, first out in closed form: running sums make intervals, and overlaps are what is applied."""
-    e = d.cash_events(spark, sf).filter("event_type = 'ar'").select("entity_id", "event_id", F.col("amount").alias("ea"), "expected_date")
-    m = d.movements(spark, sf).filter("direction = 'inflow'").select("entity_id", "movement_id", F.col("amount").alias("ma"), "date")
-    run = lambda x, *o: F.sum(x).over(Window.partitionBy("entity_id").orderBy(*o).rowsBetween(Window.unboundedPreceding, 0))
-    e = e.withColumn("ee", run("ea", "expected_date", "event_id")).withColumn("es", F.col("ee") - F.col("ea"))
-    m = m.withColumn("me", run("ma", "date", "movement_id")).withColumn("ms", F.col("me") - F.col("ma"))
-    applied = F.least("ee", "me") - F.greatest("es", "ms")
-    return m.join(e, (m["entity_id"] == e["entity_id"]) & (F.col("es") < F.col("me")) & (F.col("ms") < F.col("ee"))).select("movement_id", "event_id", applied.cast("double").alias("applied")).filter("applied > 0")
+    """First in, first out in closed form: running sums of amounts (none below zero) make intervals, and overlaps are what is applied.
+
+    The ends of both sides' intervals stand in one order, and what lies between two ends goes to the next event and
+    the next movement: one window for each entity, no pairs are formed.
+    """
+    e = d.cash_events(spark, sf).filter("event_type = 'ar'").select("entity_id", "event_id", "amount", F.col("expected_date").alias("date"), F.col("event_id").alias("id"))
+    m = d.movements(spark, sf).filter("direction = 'inflow'").select("entity_id", "movement_id", "amount", "date", F.col("movement_id").alias("id"))
+    entity = Window.partitionBy("entity_id")
+    ends = lambda x: x.withColumn("end", F.sum("amount").over(entity.orderBy("date", "id").rowsBetween(Window.unboundedPreceding, 0))).drop("date", "id")
+    both = ends(e).unionByName(ends(m), allowMissingColumns=True)
+    back = entity.orderBy(F.desc("end"), "amount")  # from the last end on, so that the frame only grows; of equal ends the empty interval comes first
+    grown = back.rowsBetween(Window.unboundedPreceding, 0)
+    parts = both.select(
+        F.last("movement_id", ignorenulls=True).over(grown).alias("movement_id"),
+        F.last("event_id", ignorenulls=True).over(grown).alias("event_id"),
+        (F.col("end") - F.coalesce(F.lead("end").over(back), F.lit(0))).cast("double").alias("applied"),
+    )
+    return parts.filter("applied > 0 AND movement_id IS NOT NULL AND event_id IS NOT NULL")
 
 
 @query(
