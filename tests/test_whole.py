@@ -119,3 +119,31 @@ def test_unresolved_payments_find_expectations_by_amount_date_and_name(spark):
     assert got["c"]["confidence"] == pytest.approx((1 + 0.8 + 1) / 3)
     assert got["a"]["fee"] == pytest.approx(2.9)
     assert got["c"]["method"] == "tolerance"
+
+
+def test_one_entity_meets_without_pairs(spark, monkeypatch):
+    """Ties in date, equal ends, an empty amount and a missing date, all in one entity."""
+    day = lambda k: F.date_add(F.lit("2001-01-01").cast("date"), k)
+    money = lambda x: x.cast("decimal(18,2)")
+    k = F.col("id").cast("int")
+    name = lambda tag: F.format_string(f"{tag}%03d", k)
+    moves = spark.range(60).select(name("m").alias("movement_id"), F.lit("x").alias("entity_id"), F.lit("inflow").alias("direction"), money(F.when(k == 7, 0).otherwise(k % 5 + 1)).alias("amount"), F.when(k != 9, day(k % 11)).alias("date"), name("e").alias("event_id"))
+    events = spark.range(70).select(name("e").alias("event_id"), F.lit("x").alias("entity_id"), F.lit("ar").alias("event_type"), money(k % 4 + 1).alias("amount"), day(k % 13).alias("expected_date"))
+    monkeypatch.setattr(domain, "movements", lambda *_: moves)
+    monkeypatch.setattr(domain, "cash_events", lambda *_: events)
+    ms, es = moves.collect(), events.collect()
+    near = {(m["movement_id"], e["event_id"]) for m in ms if m["date"] for e in sorted(es, key=lambda e: (abs((m["date"] - e["expected_date"]).days), e["event_id"]))[:15]}
+    assert {(r["movement_id"], r["event_id"]) for r in matching.case_candidates(spark, "").collect()} == near
+
+    monkeypatch.setattr(domain, "movements", lambda *_: moves.filter("date IS NOT NULL"))
+    want = {}
+    left = [[e["event_id"], float(e["amount"])] for e in sorted(es, key=lambda e: (e["expected_date"], e["event_id"]))]
+    for m in sorted((m for m in ms if m["date"]), key=lambda m: (m["date"], m["movement_id"])):
+        rest = float(m["amount"])
+        while rest > 0 and left:
+            part = min(rest, left[0][1])
+            want[m["movement_id"], left[0][0]] = part
+            rest, left[0][1] = rest - part, left[0][1] - part
+            if left[0][1] == 0:
+                left.pop(0)
+    assert {(r["movement_id"], r["event_id"]): r["applied"] for r in matching.fifo_application(spark, "").collect()} == want

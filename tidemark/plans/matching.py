@@ -232,10 +232,25 @@ FROM movements m JOIN cash_events e ON e.event_type = 'ar' AND e.entity_id = m.e
     ),
 )
 def case_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """The 15 events of the same entity nearest in date, each with its kind of match."""
-    m = d.movements(spark, sf).filter("direction = 'inflow'").select("movement_id", "entity_id", "amount", "date", F.col("event_id").alias("linked"))
-    e = d.cash_events(spark, sf).filter("event_type = 'ar'").select("entity_id", "event_id", F.col("amount").alias("due"), "expected_date")
-    near = first_per_key(m.join(e, "entity_id"), ["movement_id"], [F.abs(F.datediff("date", "expected_date")), F.col("event_id")], 15)
+    """The 15 events of the same entity nearest in date, each with its kind of match; rows without a date have none.
+
+    Events are numbered by date within their entity, and each movement is told how many lie at or before its
+    date. It then meets by number the 15 before and the 15 after alone, so no entity yields all its pairs.
+    """
+    m = d.movements(spark, sf).filter("direction = 'inflow' AND date IS NOT NULL").select("movement_id", "entity_id", "amount", "date", F.col("event_id").alias("linked"))
+    e = d.cash_events(spark, sf).filter("event_type = 'ar' AND expected_date IS NOT NULL").select("entity_id", "event_id", F.col("amount").alias("due"), "expected_date")
+    entity = Window.partitionBy("entity_id")
+    both = m.withColumn("is_event", F.lit(0)).unionByName(e.select("entity_id", F.col("expected_date").alias("date"), F.lit(1).alias("is_event")), allowMissingColumns=True)
+    told = both.withColumn("upto", F.sum("is_event").over(entity.orderBy("date", F.desc("is_event")).rowsBetween(Window.unboundedPreceding, 0)))
+    told = told.withColumn("of", F.sum("is_event").over(entity)).filter("is_event = 0").drop("is_event")
+    # Of events on one day those of smallest id come first, seen from either side.
+    reach = lambda side, low, high: F.when(low <= high, F.transform(F.sequence(low, high), lambda x: F.struct(F.lit(side).alias("side"), x.cast("long").alias("number")))).otherwise(F.array())
+    before = reach("before", F.greatest(F.lit(1), F.col("upto") - 14), F.col("upto"))
+    after = reach("after", F.col("upto") + 1, F.least("upto", F.col("of") - 15) + 15)
+    wanted = told.withColumn("w", F.explode(F.concat(before, after))).select("*", "w.*").drop("w", "upto", "of")
+    numbered = lambda side, last: e.withColumn("number", F.row_number().over(entity.orderBy("expected_date", last)).cast("long")).withColumn("side", F.lit(side))
+    events = numbered("before", F.desc("event_id")).unionByName(numbered("after", F.asc("event_id")))
+    near = first_per_key(wanted.join(events, ["entity_id", "side", "number"]), ["movement_id"], [F.abs(F.datediff("date", "expected_date")), F.col("event_id")], 15)
     a, b = F.col("amount"), F.col("due")
     kind = F.when(F.col("event_id") == F.col("linked"), "direct").when(F.abs(a - b) < 0.01, "exact").when((a < b) & (a >= b * F.lit("0.92").cast("decimal(3,2)")), "fee").when(a < b, "partial").otherwise("over")
     return near.select("movement_id", "event_id", kind.alias("kind"))
