@@ -96,9 +96,16 @@ def test_stream_upsert(spark, tmp_path):
     from tidemark.streaming import flows
 
     path = str(tmp_path / "t")
-    flows.upsert(spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id int, v string, at int"), path, "id", "at")
-    flows.upsert(spark.createDataFrame([(1, "c", 2), (3, "d", 1)], "id int, v string, at int"), path, "id", "at")
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "c", 2), (2, "b", 1), (3, "d", 1)]
+    first = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id int, v string, at int")
+    second = spark.createDataFrame([(1, "c", 2), (3, "d", 1), (2, "e", 1)], "id int, v string, at int")
+    flows.upsert(first, path, "id", "at", 0)
+    (tmp_path / "t" / "v=1").mkdir()  # what a failure leaves: a version without its mark
+    assert sorted(map(tuple, flows.current(spark, path).collect())) == [(1, "a", 1), (2, "b", 1)]
+    want = [(1, "c", 2), (2, "e", 1), (3, "d", 1)]
+    for _ in range(2):  # the same batch twice
+        flows.upsert(second, path, "id", "at", 1)
+        assert sorted(map(tuple, flows.current(spark, path).collect())) == want
+    assert flows.versions(spark, path) == [0, 1]
 
 
 def test_entry_imports():
