@@ -88,3 +88,35 @@ def test_components(spark):
     rows = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100)]
     got = {r["id"]: r["component"] for r in ngram_join.components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102)}
+
+
+def test_blocks_of_one_home_token(spark):
+    """Production limits: one boilerplate has a component beyond a group and many small ones, whose pairs share a home token and links that no block may hide."""
+    words = [f"w{i}" for i in range(62)]
+    rows = [" ".join([*words[:-1], f"x{i}"]) for i in range(100)]
+    for i in range(60):
+        pair = list(words)
+        for j in range(6):
+            pair[50 + 2 * j] = f"p{i}q{j}"
+        rows += [" ".join(pair), " ".join([*pair[:-1], f"end{i}"])]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.joined(documents(spark, rows), 3, 90).collect()}
+    assert got == brute(rows, 3, 90)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_one_large_component_and_many_small_ones(spark, monkeypatch, seed):
+    """Random corpora of one boilerplate, in blocks so small that pairs of one block are dealt apart in the next."""
+    monkeypatch.setattr(ngram_join, "GROUP", 4)
+    monkeypatch.setattr(ngram_join, "CHUNK", 8)
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(50)]
+    rows = [" ".join([*words[:-1], f"x{i}"]) for i in range(rng.randint(6, 30))]
+    for i in range(25):
+        base = list(words)
+        for j in rng.sample(range(15, 50), rng.randint(4, 9)):
+            base[j] = f"p{i}q{j}"
+        for k in range(rng.randint(1, 3)):
+            rows.append(" ".join([*base[: 49 - k], *(f"e{i}" for _ in range(k)), f"end{i}-{k}"]))
+    rng.shuffle(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.joined(documents(spark, rows), 3, 85).collect()}
+    assert got == brute(rows, 3, 85)

@@ -406,9 +406,10 @@ def _met(located: DataFrame, percent: int) -> DataFrame:
     matrix = common.written(matrix, "matrix")
     mine = located.select("token", "key", "n", F.col("comp").alias("own"), "big", F.col("group").alias("home"))
     sizes = (100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n"))
-    # Members of large components ask all groups of small ones, and those of small ones each other's, once a pair of groups.
+    # Members of large components ask all groups of small ones, and those of small ones each other's, once a pair of groups,
+    # their own included: blocks are dealt anew here, so classes of one group may never have met.
     small = matrix.filter("not of_big")
-    first = mine.join(small, "token").filter(sizes & (F.col("big") | (F.col("home") < F.col("group"))) & ((F.col("lo") != F.col("own")) | (F.col("hi") != F.col("own"))))
+    first = mine.join(small, "token").filter(sizes & (F.col("big") | (F.col("home") <= F.col("group"))) & ((F.col("lo") != F.col("own")) | (F.col("hi") != F.col("own"))))
     # Large components ask each other's groups: components meet by token first, so that none is met with itself.
     large = matrix.filter("of_big").withColumnRenamed("lo", "other")
     both = large.select("token", "other").distinct()
