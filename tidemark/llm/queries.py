@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, decontamination, language_model, ngram_join, packing, pii, quality_classifier, quality_rules, sharding, token_counts, warc
+from tidemark.llm import centroids, common, decontamination, language_model, main_text, ngram_join, packing, pii, quality_classifier, quality_rules, sharding, source_divergence, token_counts, warc
 
 TOKENIZER, CAPACITY = "byte_bpe_50k.json", 2048
 
@@ -71,9 +71,45 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontamination.items_digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audited(common.read(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.clustered(common.read(spark, sf_dir, "embeddings"))
+    return found.withColumn("centroid_sha256", centroids.digest("centroid")).drop("centroid")
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_texts(common.read(spark, sf_dir, "pages"))
+
+
+#: The operators' queries by number.
+ALL = (
+    op1_language_model,
+    op2_token_counts,
+    op3_pii,
+    op4_ngram_join,
+    op5_sharding,
+    op6_packing,
+    op7_quality_rules,
+    op8_warc,
+    op9_quality_classifier,
+    op10_decontamination,
+    op11_source_divergence,
+    op12_centroids,
+    op13_main_text,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_model, op2_token_counts, op3_pii, op4_ngram_join, op5_sharding, op6_packing, op7_quality_rules, op8_warc, op9_quality_classifier, op10_decontamination)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_sharding": sharding.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL}
+    return {
+        "op5_sharding": sharding.ORACLE_SQL,
+        "op8_warc": warc.ORACLE_SQL,
+        "op11_source_divergence": source_divergence.ORACLE_SQL,
+        "op12_centroids": centroids.ORACLE_SQL,
+    }
