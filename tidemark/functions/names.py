@@ -48,3 +48,18 @@ def family_key(direction: Column, account: Column, text: Column) -> Column:
 def vendor_name(text: Column) -> Column:
     """Without wholesale marks, numbers and punctuation."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "^sp | - wholesale$", ""), "[^a-z ]", ""))
+
+
+# What bookkeeping adds to a name (invoice marks, months with a year, dates).
+BOILERPLATE = (
+    r"(?i)\b(?:invoices?inv|oices?inv|inv\.?)\b",
+    r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s*\d{0,4}\b",
+    r"\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}",
+)
+
+
+def vendor_key(name: Column) -> Column:
+    """Letters and digits of a name without bookkeeping's additions, in lower case."""
+    for pattern in BOILERPLATE:
+        name = F.regexp_replace(name, pattern, "")
+    return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")

@@ -205,7 +205,7 @@ WHERE flow IS NOT NULL""",
 
 
 def with_tables(sql: str, *names: str) -> str:
-    """``sql`` after the definitions of the named tables and of what they need."""
+    """``sql`` after the definitions of the named tables and of what they need, each worked out once so that no plan multiplies them."""
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -218,7 +218,7 @@ def with_tables(sql: str, *names: str) -> str:
         add(n)
     rest = sql.strip()
     more = ", " + rest[5:] if rest[:5].upper() == "WITH " else "\n" + rest
-    return "WITH " + ",\n".join(f"{n} AS ({SQL[n][0]})" for n in order) + more
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({SQL[n][0]})" for n in order) + more
 
 
 def tagged(spark: SparkSession, sf: str) -> DataFrame:
@@ -246,3 +246,54 @@ SQL["tagged"] = (
 FROM movements""",
     ("movements",),
 )
+
+
+def bank_legs(spark: SparkSession, sf: str) -> DataFrame:
+    """Movements as the bank saw them, with what one leg of an own transfer looks like: round amounts that repeat, and for every second outflow an inflow on another account up to two days on."""
+    m = movements(spark, sf).filter("direction = 'outflow'").select("movement_id", "key", "account", "date", "amount")
+    k = F.col("key")
+    amount = ((F.floor(F.col("amount") / 250) + 1) * 250).cast(MONEY)
+    own = k % 13 != 0
+    out = m.select("movement_id", F.lit("outflow").alias("direction"), "account", "date", amount.alias("amount"), own.alias("own"))
+    leg = F.concat(F.lit("ACCT"), ((k + k % 3) % 4).cast("string"))
+    back = m.filter(k % 2 == 0).select(F.concat("movement_id", F.lit("-leg")).alias("movement_id"), F.lit("inflow").alias("direction"), leg.alias("account"), F.date_add("date", (k % 3).cast("int")).alias("date"), amount.alias("amount"), own.alias("own"))
+    return out.unionByName(back)
+
+
+SQL["bank_legs"] = (
+    """SELECT movement_id, 'outflow' AS direction, account, date, ((floor(amount / 250) + 1) * 250)::DECIMAL(18,2) AS amount, key % 13 <> 0 AS own FROM movements WHERE direction = 'outflow'
+UNION ALL SELECT movement_id || '-leg', 'inflow', 'ACCT' || ((key + key % 3) % 4), date + (key % 3)::INTEGER, ((floor(amount / 250) + 1) * 250)::DECIMAL(18,2), key % 13 <> 0
+FROM movements WHERE direction = 'outflow' AND key % 2 = 0""",
+    ("movements",),
+)
+
+
+def source_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """What up to three sources say of each movement: equal amounts, a day or two apart, names that differ or lack, some with order ids, some of nothing, some twice."""
+    m = movements(spark, sf)
+    k = F.col("key")
+    signed = F.when(F.col("direction") == "inflow", F.col("amount")).otherwise(-F.col("amount")).cast(MONEY)
+    first = F.element_at(F.split("counterparty", "#"), 1)
+    name = F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, F.upper("counterparty")).when(k % 5 == 2, F.concat(F.col("counterparty"), F.lit(" Inv. Jan 2024"))).when(k % 5 == 3, F.concat(first, F.lit("zz"))).otherwise(F.col("counterparty"))
+    order = F.when(k % 9 == 0, F.concat(F.lit("ord"), k.cast("string")))
+    row = lambda source, days, counterparty, tag: [F.lit(source).alias("source"), F.concat("movement_id", F.lit(tag)).alias("source_id"), signed.alias("amount"), F.date_add("date", days).alias("date"), counterparty.alias("counterparty"), order.alias("order_id"), "account", "raw_description"]
+    bank = m.select(*row("plaid", F.lit(0), F.col("counterparty"), "-p"))
+    books = m.filter(k % 3 != 2).select(*row("qbo", (k % 3).cast("int"), name, "-q"))
+    processor = m.filter(k % 4 == 1).select(*row("stripe", F.lit(-1), F.col("counterparty"), "-s"))
+    again = m.filter(k % 50 == 0).select(*row("plaid", F.lit(0), F.col("counterparty"), "-p"))
+    nothing = m.filter(k % 40 == 0).select(*row("qbo", F.lit(0), F.col("counterparty"), "-z")).withColumn("amount", F.lit(0).cast(MONEY))
+    return bank.unionByName(books).unionByName(processor).unionByName(again).unionByName(nothing)
+
+
+_SIGNED = "CASE WHEN direction = 'inflow' THEN amount ELSE -amount END::DECIMAL(18,2)"
+_ORDER = "CASE WHEN key % 9 = 0 THEN 'ord' || key END"
+
+SQL["source_rows"] = (
+    f"""SELECT 'plaid' AS source, movement_id || '-p' AS source_id, {_SIGNED} AS amount, date, counterparty, {_ORDER} AS order_id, account, raw_description FROM movements
+UNION ALL SELECT 'qbo', movement_id || '-q', {_SIGNED}, date + (key % 3)::INTEGER, CASE key % 5 WHEN 0 THEN NULL WHEN 1 THEN upper(counterparty) WHEN 2 THEN counterparty || ' Inv. Jan 2024' WHEN 3 THEN split_part(counterparty, '#', 1) || 'zz' ELSE counterparty END,
+  {_ORDER}, account, raw_description FROM movements WHERE key % 3 <> 2
+UNION ALL SELECT 'stripe', movement_id || '-s', {_SIGNED}, date - 1, counterparty, {_ORDER}, account, raw_description FROM movements WHERE key % 4 = 1
+UNION ALL SELECT 'plaid', movement_id || '-p', {_SIGNED}, date, counterparty, {_ORDER}, account, raw_description FROM movements WHERE key % 50 = 0
+UNION ALL SELECT 'qbo', movement_id || '-z', 0::DECIMAL(18,2), date, counterparty, {_ORDER}, account, raw_description FROM movements WHERE key % 40 = 0""",
+    ("movements",),
+)
