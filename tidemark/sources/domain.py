@@ -297,3 +297,24 @@ UNION ALL SELECT 'plaid', movement_id || '-p', {_SIGNED}, date, counterparty, {_
 UNION ALL SELECT 'qbo', movement_id || '-z', 0::DECIMAL(18,2), date, counterparty, {_ORDER}, account, raw_description FROM movements WHERE key % 40 = 0""",
     ("movements",),
 )
+
+
+def descriptors(spark: SparkSession, sf: str) -> DataFrame:
+    """movement_id and two texts of each movement: a counterparty as banks spell it (cut, longer, another number, with something before it, or none), and the raw text."""
+    k, name = F.col("key") % 7, F.col("counterparty")
+    spelt = (
+        F.when(k == 1, F.expr("left(counterparty, length(counterparty) - 2)"))
+        .when(k == 2, F.concat(name, F.lit(" LLC")))
+        .when(k == 3, F.concat(F.lit("zz"), name))
+        .when(k == 4, F.upper(name))
+        .when(k == 5, F.concat(F.expr("left(counterparty, length(counterparty) - 1)"), F.lit("x9")))
+        .when(k == 6, F.concat(F.lit("Payment to "), name))
+    )
+    return movements(spark, sf).select("movement_id", spelt.alias("counterparty"), "raw_description")
+
+
+SQL["descriptors"] = (
+    """SELECT movement_id, CASE key % 7 WHEN 1 THEN left(counterparty, length(counterparty) - 2) WHEN 2 THEN counterparty || ' LLC' WHEN 3 THEN 'zz' || counterparty WHEN 4 THEN upper(counterparty)
+  WHEN 5 THEN left(counterparty, length(counterparty) - 1) || 'x9' WHEN 6 THEN 'Payment to ' || counterparty END AS counterparty, raw_description FROM movements""",
+    ("movements",),
+)
