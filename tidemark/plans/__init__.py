@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: list[str] = ["state", "profiles", "reports", "matching", "network", "forecast", "ingest", "streams", "labels", "canonical", "reconcile"]
+MODULES: list[str] = ["state", "profiles", "reports", "matching", "network", "forecast", "ingest", "streams", "labels", "canonical", "reconcile", "priors"]
 
 
 def load() -> None:

@@ -216,20 +216,26 @@ k AS (SELECT entity_id, direction, n, round(mean, 6) AS mean_amount, round(sd, 3
   (DATE '{d.AS_OF}' - last)::INTEGER AS last_days_ago, DATE '{d.AS_OF}' - last <= 90 AS is_active, (DATE '{d.AS_OF}' - first)::INTEGER AS days_of_history, conf FROM p)"""
 
 
-def patterns(spark: SparkSession, sf: str) -> DataFrame:
-    """Amount and interval statistics (population deviations) of each entity and direction, the confidence that payments recur, and how."""
+def pattern_statistics(movements: DataFrame) -> DataFrame:
+    """Amount and interval statistics (population deviations) of each entity and direction, the confidence that payments recur, how, and how strongly."""
     w = Window.partitionBy("entity_id", "direction").orderBy("date", "movement_id")
-    g = d.movements(spark, sf).select("entity_id", "direction", "date", F.col("amount").cast("double").alias("amount"), F.datediff("date", F.lag("date").over(w)).alias("gap"))
+    g = movements.select("entity_id", "direction", "date", F.col("amount").cast("double").alias("amount"), F.datediff("date", F.lag("date").over(w)).alias("gap"))
     a = g.groupBy("entity_id", "direction").agg(
         F.count("*").alias("n"), F.avg("amount").alias("mean"), F.stddev_pop("amount").alias("sd"), F.coalesce(F.avg("gap"), F.lit(0.0)).alias("gap"), F.coalesce(F.stddev_pop("gap"), F.lit(0.0)).alias("gap_sd"),
         F.min("amount").alias("min_amount"), F.max("amount").alias("max_amount"), F.max("date").alias("last"), F.min("date").alias("first"),
     )
-    n, gap, gap_sd, today = F.col("n"), F.col("gap"), F.col("gap_sd"), F.lit(d.AS_OF).cast("date")
-    conf = recurrence_confidence(n, gap, gap_sd, F.col("mean"), F.col("sd"))
-    kind = F.when((F.col("conf") > 0.8) & (gap_sd < 0.2 * gap), "clockwork").when(F.col("conf") > 0.5, "recurring").when(n <= 3, "episodic").otherwise("bursty")
-    return a.withColumn("conf", conf).select(
-        "entity_id", "direction", "n", F.round("mean", 6).alias("mean_amount"), F.round("sd", 3).alias("amount_sd"), "min_amount", "max_amount", F.round(gap, 4).alias("mean_gap"), F.round(gap_sd, 4).alias("gap_sd"), F.round("conf", 4).alias("confidence"),
-        kind.alias("recurrence"), F.round(F.col("conf") * F.least(n, F.lit(20)) / 20, 4).alias("strength"), F.datediff(today, "last").alias("last_days_ago"), (F.datediff(today, "last") <= 90).alias("is_active"), F.datediff(today, "first").alias("days_of_history"), "conf",
+    n, gap, gap_sd, conf = F.col("n"), F.col("gap"), F.col("gap_sd"), F.col("conf")
+    kind = F.when((conf > 0.8) & (gap_sd < 0.2 * gap), "clockwork").when(conf > 0.5, "recurring").when(n <= 3, "episodic").otherwise("bursty")
+    a = a.withColumn("conf", recurrence_confidence(n, gap, gap_sd, F.col("mean"), F.col("sd")))
+    return a.withColumns({"recurrence": kind, "strength": F.round(conf * F.least(n, F.lit(20)) / 20, 4)})
+
+
+def patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """The statistics of all movements, as of today."""
+    today = F.lit(d.AS_OF).cast("date")
+    return pattern_statistics(d.movements(spark, sf)).select(
+        "entity_id", "direction", "n", F.round("mean", 6).alias("mean_amount"), F.round("sd", 3).alias("amount_sd"), "min_amount", "max_amount", F.round("gap", 4).alias("mean_gap"), F.round("gap_sd", 4).alias("gap_sd"), F.round("conf", 4).alias("confidence"),
+        "recurrence", "strength", F.datediff(today, "last").alias("last_days_ago"), (F.datediff(today, "last") <= 90).alias("is_active"), F.datediff(today, "first").alias("days_of_history"), "conf",
     )
 
 
