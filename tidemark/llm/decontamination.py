@@ -94,8 +94,12 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
-    """Per document: ``id_col``, n_words, n_hit, n_items, items (array), spans (of the original text, in code points)."""
-    listed = items.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+    """Per document: ``id_col``, n_words, n_hit, n_items, items (array), spans (of the original text, in code points).
+
+    Items without an id are one item named ''; items that repeat an id are one item with the windows of all. Rows that repeat a document, or lack its id, each give a row.
+    An empty benchmark hits nothing, an empty table gives an empty table, and other columns are never read.
+    """
+    listed = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     total = listed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = 1 if total <= block_bytes else -(-2 * total // block_bytes)
     spark = docs.sparkSession

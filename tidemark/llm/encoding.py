@@ -1,11 +1,12 @@
 """Encoding with a public byte-level BPE vocabulary, in bounded segments.
 
-A long text falls apart at *safe boundaries*: a single space between two
-characters that are not white space. The pre-tokenizer's pattern lets a word
-take one leading space, and its only look-ahead concerns runs of white space,
-so the ids of a text are the ids of its segments, each later one with its
-leading space. Special strings hold no space and are never cut. A stretch
-without a safe boundary stays whole.
+A long text falls apart at *safe boundaries*: a single space, tab or line end
+between two characters that are not white space. The pre-tokenizer's pattern lets a
+word take one leading space, any other single white space is a token of its own, and
+the only look-ahead concerns runs of white space, so the ids of a text are the ids
+of its segments, each later one with its leading character. Special strings hold no
+white space and are never cut. A stretch without a safe boundary stays whole.
+Both libraries are called with batches of segments that are balanced by their bytes.
 
 The tokenizers library is the authority. Texts of plain characters (ASCII and
 Latin letters, where every Unicode table agrees, without a special string) are
@@ -26,7 +27,7 @@ import numpy as np
 #: The pre-token pattern published with the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
+_SAFE = re.compile(r"(?<=\S)[ \t\r\n](?=\S)")
 _ODD = re.compile(r"[^!-;=-~ \t\r\n¡-©«-±´¶-¸»¿-ſ<]|<\|")
 
 #: Characters in a segment, bytes in a call, and texts that a worker compares.
@@ -72,35 +73,40 @@ class Encoder:
         self.special, self.left = special, COMPARED
 
     def _by_tokenizers(self, texts: list[str]) -> list[list[int]]:
-        """Calls balanced by bytes."""
-        out, start, size = [], 0, 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= CALL_BYTES or i + 1 == len(texts):
-                out += [e.ids for e in self.slow.encode_batch_fast(texts[start : i + 1], add_special_tokens=False)]
-                start, size = i + 1, 0
-        return out
+        return [e.ids for e in self.slow.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _by_tiktoken(self, texts: list[str]) -> list[list[int]]:
+        found = self.fast.encode_ordinary_batch(texts, num_threads=1)
+        if self.left:
+            some = texts[: self.left]
+            self.left -= len(some)
+            if found[: len(some)] != self._by_tokenizers(some):
+                raise ValueError("the two libraries disagree on this vocabulary")
+        return found
 
     def plain(self, text: str) -> bool:
         return _ODD.search(text) is None and not any(s in text for s in self.special)
 
-    def segments(self, texts: list[str]) -> Iterator[tuple[int, list[int]]]:
-        """(place of the text, ids of its next segment); texts of odd characters come last."""
-        odd: list[tuple[int, str]] = []
+    def calls(self, texts: list[str]) -> Iterator[tuple[bool, list[tuple[int, str]]]]:
+        """Batches of (place of the text, segment) of about ``CALL_BYTES`` bytes, each of plain texts (true) or of others; the segments of a text stay in order."""
+        held: dict[bool, list[tuple[int, str]]] = {True: [], False: []}
+        size = {True: 0, False: 0}
         for i, t in enumerate(texts):
-            if self.plain(t):
-                for s in segments(t):
-                    ids = self.fast.encode_ordinary(s)
-                    if self.left:
-                        self.left -= 1
-                        if ids != self._by_tokenizers([s])[0]:
-                            raise ValueError("the two libraries disagree on this vocabulary")
-                    yield i, ids
-            else:
-                odd += [(i, s) for s in segments(t)]
-        for k in range(0, len(odd), 256):
-            some = odd[k : k + 256]
-            yield from zip([i for i, _ in some], self._by_tokenizers([s for _, s in some]), strict=True)
+            kind = self.plain(t)
+            for s in segments(t):
+                n = len(s.encode())
+                if held[kind] and size[kind] + n > CALL_BYTES:
+                    yield kind, held[kind]
+                    held[kind], size[kind] = [], 0
+                held[kind].append((i, s))
+                size[kind] += n
+        yield from ((kind, some) for kind, some in held.items() if some)
+
+    def segments(self, texts: list[str]) -> Iterator[tuple[int, list[int]]]:
+        """(place of the text, ids of its next segment)."""
+        for plain, some in self.calls(texts):
+            encode = self._by_tiktoken if plain else self._by_tokenizers
+            yield from zip([i for i, _ in some], encode([s for _, s in some]), strict=True)
 
     def counts(self, texts: list[str]) -> list[int]:
         out = [0] * len(texts)

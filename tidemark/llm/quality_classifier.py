@@ -101,7 +101,10 @@ def prior_of(pos: np.ndarray, unl: np.ndarray) -> float:
 
 
 def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sampled: int = SAMPLED, unlabelled: int = UNLABELLED) -> dict:
-    """The model: weights, scaling and prior."""
+    """The model: weights, scaling and prior.
+
+    Rows without an id teach nothing. Of rows that repeat an id one text counts, whatever the order in which rows are read: that of the greatest features.
+    """
     fold = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)) != 0
     good = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter((F.col("label") == 1) & fold).select("id").distinct()
     order = lambda df, most: df.orderBy(F.xxhash64("id"), "id").limit(most)
@@ -112,7 +115,7 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(i, i in p, i in u) for p, u in [(set(ids), set(others))] for i in sorted(p | u)], f"id {kind}, good boolean, open boolean")
     drawn = texts.join(F.broadcast(wanted), "id").mapInArrow(_measure, f"id {kind}, good boolean, open boolean, x binary").collect()
-    drawn = sorted({r["id"]: r for r in drawn}.values(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
+    drawn = sorted({r["id"]: r for r in sorted(drawn, key=lambda r: bytes(r["x"]))}.values(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
     rows = lambda some: np.array([np.frombuffer(r["x"], np.float16) for r in some], np.float64).reshape(len(some), DENSE + BUCKETS)
     pos, unl = rows([r for r in drawn if r["good"]]), rows([r for r in drawn if r["open"]])
     if not len(pos) or not len(unl):

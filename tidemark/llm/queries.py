@@ -63,7 +63,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_classifier.scored(docs, quality_classifier.trained(docs, common.read(spark, sf_dir, "labels")))
     score = F.col("quality_score")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
-    return found.select("doc_id", fold.alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+    return found.select("doc_id", F.coalesce(fold, F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

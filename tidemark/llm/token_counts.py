@@ -1,7 +1,7 @@
 """Operator 2: token counts, with lengths alone leaving the Arrow functions.
 
 No shuffle: file splits spread the bytes over tasks, Arrow batches are bounded by
-bytes, and encoder calls inside a batch are balanced by bytes. Long texts are encoded
+bytes, and the encoder is called with batches of segments of about equal bytes. Long texts are encoded
 in segments cut at safe boundaries (see :mod:`encoding`), so memory follows the
 Arrow batch. Null and empty texts have 0 bytes and 0 tokens; repeated rows each give a row.
 """

@@ -36,6 +36,10 @@ CLASSES = [(1 << 16, 1000), (1 << 20, 64), (1 << 62, 1)]
 _END = "\r\n"
 
 
+#: What stands for a null id inside archives: it sorts before all others, and null comes back from the index.
+NO_ID = -(1 << 63)
+
+
 def base32_sha1(text: Column) -> Column:
     """Upper-case base32 of the SHA-1: five hexadecimal digits are four letters."""
     digest = F.sha1(text.cast("binary"))
@@ -85,7 +89,7 @@ def _record() -> Column:
 def captures(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """id, url, ts, payload, bytes, digest and response_id of each page; groups too large for a task are met by a broadcast of fewer than 2000 rows."""
     payload = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
+    rows = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod("id", F.lit(1 << 28)))).withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload")))
     groups = common.written(rows.groupBy("digest", "bytes").agg(F.max("id").alias("response_id"), F.count("*").alias("n")), "groups")
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -230,7 +234,8 @@ def merged(index: DataFrame, ranges: int | None = None) -> DataFrame:
         offsets.append((k, n))
         n += counts[k]
     before = spark.createDataFrame(offsets, "range int, before long")
-    return done.join(F.broadcast(before), "range").select(*names, (F.col("place") + F.col("before")).alias("position"))
+    named = [F.when(F.col(c) != NO_ID, F.col(c)).alias(c) if c == "page_id" else F.col(c) for c in names]
+    return done.join(F.broadcast(before), "range").select(*named, (F.col("place") + F.col("before")).alias("position"))
 
 
 def archived(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
