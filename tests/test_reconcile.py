@@ -9,7 +9,7 @@ from decimal import Decimal
 
 import pytest
 
-from tidemark.operators import coalescing, containment, pairing, waterfall
+from tidemark.operators import coalescing, containment, fusion, pairing, waterfall
 
 DAY = datetime.date(2024, 1, 1)
 
@@ -230,3 +230,72 @@ def test_keys_within_keys(spark):
     frame = lambda keys: spark.createDataFrame([(k,) for k in sorted(keys)], "key string")
     got = {(r["a"], r["b"]) for r in containment.within(frame(left), frame(right)).collect()}
     assert got == {(a, b) for a in left for b in right if a == b or min(len(a), len(b)) >= 8 and (a in b or b in a)}
+
+
+def plain_fusion(movements, events):
+    """In order of date and id; money in cents."""
+    book = [dict(e, due=round(e["outstanding"] * 100)) for e in sorted(events, key=lambda e: (e["expected_date"], e["id"]))]
+    out = {}
+    for m in sorted(movements, key=lambda m: (m["date"], m["id"])):
+        cash = round(m["cash"] * 100)
+        kind = "ar" if m["direction"] == "inflow" else "ap"
+        if cash <= 1:
+            continue
+        names = dict(m["names"])
+        link = next((e for e in book if e["id"] == m["link"] and e["event_type"] == kind), None)
+        if link:
+            out[m["id"]] = (link["id"], "direct_link", cash)
+            link["due"] = 0
+            continue
+        found = [e for e in book if e["event_type"] == kind and e["entity_id"] in names and e["due"] > 1]
+        same = next((e for e in found if e["due"] == cash and names[e["entity_id"]] >= 0.95), None)
+        if same:
+            out[m["id"]] = (same["id"], "exact", cash)
+            same["due"] = 0
+            continue
+        near = sorted(found, key=lambda e: abs((e["expected_date"] - m["date"]).days))[:15]
+        strict = sum(e["due"] == cash for e in near) > 1
+        best, top = None, 0
+        for e in near:
+            name, ratio, late = names[e["entity_id"]], cash / e["due"], (m["date"] - e["expected_date"]).days
+            if strict and not (name >= 0.6 and m["known"] == e["entity_id"]):
+                continue
+            math = 0.6 * (1 - abs(ratio - 1) * 5 if 0.92 <= ratio <= 1.08 else 0.1) + 0.25 * max(0, 1 - abs(late) / (90 if kind == "ap" else 45))
+            math += 0.015 * (ratio < 1 and 0.005 <= (e["due"] - cash) / e["due"] <= 0.05) + 0.005 * (0.97 <= ratio <= 0.99 and late <= 10)
+            weights = [0.4 + 0.1 * (math > 0.85), 0.4, 0.2 + 0.05 * (name > 0.85)]
+            apart = abs(math - 0.5) + abs(0.5 - name) + abs(math - name)
+            score = (math * weights[0] + 0.5 * weights[1] + name * weights[2]) / sum(weights) - (0.05 if apart > 1.5 else 0.03 if apart > 1 else 0)
+            if score > top:
+                best, top = e, score
+        if best is None or top < 0.5:
+            out[m["id"]] = (None, "none", 0)
+            continue
+        net = min(cash, best["due"])
+        best["due"] -= net
+        out[m["id"]] = (best["id"], "fusion", net)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_fusion(spark, seed):
+    from tidemark.plans.reconcile import entity_components
+
+    rng = random.Random(seed)
+    movements, events = book(seed)
+    for m in movements:
+        m["names"] = [(e, rng.choice([0.3, 0.6, 0.9, 1.0])) for e in m["entities"]]
+        m["known"] = rng.choice([None, *m["entities"]])
+        m["link"] = m["link"] if rng.random() < 0.3 else None
+    _, e = frames(spark, movements, events)
+    rows = [(m["id"], m["direction"], m["cash"], m["date"], m["known"], m["names"], m["link"], 0.05) for m in movements]
+    df = spark.createDataFrame(rows, "id string, direction string, cash decimal(18,2), date date, known string, names array<struct<entity_id:string,similarity:double>>, link string, most_fee double").repartition(3)
+    connected = spark.createDataFrame([(m["entities"], m["link"]) for m in movements], "entities array<string>, link string")
+    entities = spark.createDataFrame([(x,) for x in ["hot", *"abcdef"]], "entity_id string")
+    got = {r["movement_id"]: (r["event_id"], r["method"], r["net"]) for r in fusion.fused(df, e, entity_components(connected, e, entities)).collect()}
+    assert got == plain_fusion(movements, events)
+    assert {x[1] for x in got.values()} == {"direct_link", "exact", "fusion", "none"}
+    paid = defaultdict(int)
+    for event, method, net in got.values():
+        if method == "fusion":
+            paid[event] += net
+    assert all(n <= 100 * next(x["outstanding"] for x in events if x["id"] == k) for k, n in paid.items())
