@@ -45,3 +45,62 @@ def test_levels(spark):
     got = {r["descriptor_id"]: (r["entity_id"], r["level"], round(r["score"], 3)) for r in resolution.resolve(d, i, o).collect()}
     assert got == {1: ("E0", "exact", 1.0), 2: ("E0", "prefix", round(10 / 11, 3)), 3: ("O1", "owner", 1.0), 4: ("E2", "exact", 1.0), 6: ("E0", "prefix", 0.6)}
     assert resolution.resolve(d.filter("false"), i, o).count() == 0
+
+
+def plain_key(s):
+    return re.sub("[^a-z0-9]", "", re.sub("([a-z])([A-Z])", r"\1 \2", s).lower())
+
+
+def plain_alias(a, b):
+    x, y = plain_key(a), plain_key(b)
+    if x == y:
+        return True
+    if min(len(x), len(y)) < 3:
+        return False
+    same = next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+    return x in y or y in x or same >= min(len(x), len(y)) * 0.85
+
+
+def edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def plain_similarity(a, b):
+    x, y = a.strip().lower(), b.strip().lower()
+    near = 1 if x == y else 0 if not x or not y else 1 - edit(x, y) / max(len(x), len(y))
+    u, v = ({w for w in re.split(" +", re.sub("[^a-z0-9 ]", " ", s)) if len(w) > 1} for s in (x, y))
+    return 0.4 * near + 0.6 * (len(u & v) / len(u | v) if u | v else 1)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_cascade(spark, seed):
+    from tidemark.operators import cascade
+
+    rng = random.Random(seed)
+    words = ["Northern", "Harbour", "Supply", "Tea", "Works", "and", "Sons", "Co", "Ltd", "x"]
+    name = lambda: " ".join(rng.sample(words, rng.randint(1, 6)))
+    known = sorted({name() for _ in range(40)})
+    asked = set()
+    for k in known:
+        asked |= {k, k.upper(), k + " Ltd", k[:-1], " ".join(rng.sample(k.split(), len(k.split()))), k.replace("a", "e", 1), name()}
+        w = k.split()
+        asked |= {" ".join([*w[:1], *w[2:3], *w[1:2], *w[3:]]), " ".join([*w[:-2], *w[-1:], *w[-2:-1]])}
+    asked |= {"", "a", "Zz top"}
+    want = {}
+    for a in asked:
+        if len(plain_key(a)) < 2:
+            continue
+        for level, test in (("exact", lambda a, k: plain_key(a) == plain_key(k)), ("alias", plain_alias), ("similar", lambda a, k: plain_similarity(a, k) >= 0.85)):
+            hit = next((k for k in known if plain_key(k) and test(a, k)), None)
+            if hit:
+                want[a] = (hit, level)
+                break
+    frame = lambda names: spark.createDataFrame([(n,) for n in sorted(names)], "name string")
+    got = {r["name"]: (r["known_name"], r["level"]) for r in cascade.matched(frame(asked), frame(known)).collect()}
+    assert got == want
+    assert {x for _, x in want.values()} == {"exact", "alias", "similar"}
