@@ -84,7 +84,7 @@ def test_cascade(spark, seed):
     rng = random.Random(seed)
     words = ["Northern", "Harbour", "Supply", "Tea", "Works", "and", "Sons", "Co", "Ltd", "x"]
     name = lambda: " ".join(rng.sample(words, rng.randint(1, 6)))
-    known = sorted({name() for _ in range(40)})
+    known = sorted({" ".join(rng.sample(words, rng.randint(4, 6))) for _ in range(30)})
     asked = set()
     for k in known:
         asked |= {k, k.upper(), k + " Ltd", k[:-1], " ".join(rng.sample(k.split(), len(k.split()))), k.replace("a", "e", 1), name()}
