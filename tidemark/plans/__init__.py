@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES: list[str] = ["state", "profiles", "reports", "matching", "network", "forecast", "ingest", "streams", "labels", "canonical", "reconcile", "priors", "tuning", "inheritance", "texts", "regimes"]
+MODULES: list[str] = ["state", "profiles", "reports", "matching", "network", "forecast", "ingest", "streams", "labels", "canonical", "reconcile", "priors", "tuning", "inheritance", "texts", "regimes", "months"]
 
 
 def load() -> None:
