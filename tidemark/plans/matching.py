@@ -151,12 +151,14 @@ _AR = _pairs_sql("inflow", "ar", 45, "x = y OR (length(x) >= 8 AND length(y) >=
 _AP = _pairs_sql("outflow", "ap", 14, "contains(x, y) OR contains(y, x) OR len(list_intersect(string_split(x, ' '), string_split(y, ' '))) >= 2")
 
 
-def scored_pairs(m: DataFrame, e: DataFrame, days: int, names_match) -> DataFrame:  # noqa: ANN001
+def scored_pairs(m: DataFrame, e: DataFrame, days: int, names_match, least: float = 0.0) -> DataFrame:  # noqa: ANN001
     """Payments (movement_id, entity_id, name, amount, date) with expectations (event_id, entity_id, name, due, expected_date) within ``days`` and five percent, scored.
 
     Resolved payments meet their entity's expectations. Unresolved ones meet all of like amount: an equi-join on bins of five percent
     (and both neighbours) and of ``days``. The score is the mean of amount, date and entity (1, by name 0.85, else 0.5).
+    Pairs below ``least`` may be left out: unresolved payments look only at dates so near that a matching name can still reach it.
     """
+    nearest = min(days, math.floor(days * max(0.0, 2.85 - 3 * least) + 1e-9))
     m = m.withColumn("name", F.when(F.col("entity_id").isNull(), labels.name_parts(F.col("name"))))
     e = e.withColumn("name", labels.name_parts(F.col("name"))).withColumnsRenamed({"name": "other", "entity_id": "owner"})
     known = range_join(m.filter("entity_id is not null"), e.withColumn("entity_id", F.col("owner")), ["entity_id"], "date", "expected_date", days).drop("entity_id").withColumn("who", F.lit(1.0))
@@ -164,7 +166,7 @@ def scored_pairs(m: DataFrame, e: DataFrame, days: int, names_match) -> DataFram
     loose = m.filter("entity_id is null and amount > 0").drop("entity_id").withColumn("scale", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: scale("amount") + i)))
     limit = lambda x: F.col("due") * F.lit(x).cast("decimal(3,2)")
     near = (F.col("amount") >= limit("0.95")) & (F.col("amount") <= limit("1.05"))
-    open_ = range_join(loose, e.filter("due > 0").withColumn("scale", scale("due")), ["scale"], "date", "expected_date", days).drop("scale").filter(near)
+    open_ = range_join(loose, e.filter("due > 0").withColumn("scale", scale("due")), ["scale"], "date", "expected_date", nearest).drop("scale").filter(near)
     open_ = open_.withColumn("who", F.when(names_match(F.col("name"), F.col("other")), 0.85).otherwise(0.5))
     both = known.filter(near).unionByName(open_)
     ratio, gap = F.col("amount").cast("double") / F.col("due").cast("double"), F.abs(F.datediff("date", "expected_date"))
@@ -174,10 +176,10 @@ def scored_pairs(m: DataFrame, e: DataFrame, days: int, names_match) -> DataFram
     })
 
 
-def candidates(spark: SparkSession, sf: str, direction: str, event: str, days: int, names_match) -> DataFrame:  # noqa: ANN001
+def candidates(spark: SparkSession, sf: str, direction: str, event: str, days: int, names_match, least: float = 0.0) -> DataFrame:  # noqa: ANN001
     m = d.movements(spark, sf).filter(F.col("direction") == direction).select("movement_id", F.expr(_RESOLVED).alias("entity_id"), F.col("counterparty").alias("name"), "amount", "date")
     e = d.cash_events(spark, sf).filter(F.col("event_type") == event).select("event_id", "entity_id", F.col("amount").alias("due"), "expected_date")
-    return scored_pairs(m, e.join(d.entities(spark, sf).select("entity_id", F.col("display_name").alias("name")), "entity_id"), days, names_match)
+    return scored_pairs(m, e.join(d.entities(spark, sf).select("entity_id", F.col("display_name").alias("name")), "entity_id"), days, names_match, least).filter(F.col("confidence") >= least)
 
 
 _BEST = "QUALIFY row_number() OVER (PARTITION BY movement_id ORDER BY round(confidence, 9) DESC, event_id) = 1"
@@ -189,7 +191,7 @@ _BEST = "QUALIFY row_number() OVER (PARTITION BY movement_id ORDER BY round(conf
 )
 def ar_best_match(spark: SparkSession, sf: str) -> DataFrame:
     """The best receivable of each receipt from 0.7 on, with what it applies."""
-    c = candidates(spark, sf, "inflow", "ar", 45, labels.receivable_parts_match).filter("confidence >= 0.7")
+    c = candidates(spark, sf, "inflow", "ar", 45, labels.receivable_parts_match, 0.7)
     best = first_per_key(c, ["movement_id"], [F.round("confidence", 9).desc(), F.col("event_id")])
     return best.select("movement_id", "event_id", F.round("confidence", 6).alias("confidence"), F.col("gross").alias("gross_applied"), F.round("fee", 2).alias("fee_amount"), F.col("method").alias("match_method"))
 
@@ -207,7 +209,7 @@ FROM s WHERE confidence >= 0.3 QUALIFY rank <= 5""",
 def ar_suggestions(spark: SparkSession, sf: str) -> DataFrame:
     """Up to five suggestions for each receipt."""
     w = Window.partitionBy("movement_id").orderBy(F.round("confidence", 9).desc(), "event_id")
-    c = candidates(spark, sf, "inflow", "ar", 45, labels.receivable_parts_match).filter("confidence >= 0.3")
+    c = candidates(spark, sf, "inflow", "ar", 45, labels.receivable_parts_match, 0.3)
     return c.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("movement_id", "event_id", "rank", rules.at_least(F.col("confidence"), [(0.8, "high"), (0.5, "medium")], "low").alias("level"))
 
 
@@ -217,7 +219,7 @@ def ar_suggestions(spark: SparkSession, sf: str) -> DataFrame:
 )
 def ap_best_match(spark: SparkSession, sf: str) -> DataFrame:
     """The best payable of each payment from 0.8 on."""
-    c = candidates(spark, sf, "outflow", "ap", 14, labels.payable_parts_match).filter("confidence >= 0.8")
+    c = candidates(spark, sf, "outflow", "ap", 14, labels.payable_parts_match, 0.8)
     best = first_per_key(c, ["movement_id"], [F.round("confidence", 9).desc(), F.col("event_id")])
     return best.select("movement_id", "event_id", F.round("confidence", 6).alias("confidence"), F.when(F.col("close"), "exact").otherwise("tolerance").alias("match_method"))
 
