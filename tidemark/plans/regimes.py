@@ -213,3 +213,76 @@ def month_transitions(spark: SparkSession, sf: str) -> DataFrame:
     signal(SIGNALS[5], lambda x: above(x, SETTLEMENT, "low", True), "settled", half, lambda _, moved: moved)
     signal(SIGNALS[6], lambda x: above(x, OPERATED, "high", True), "operated", half, lambda *_: c("operated") < 60)
     return w.select("month", F.explode(F.array_compact(F.array(*rows))).alias("x")).select("month", "x.*")
+
+
+# Fixed values of the five risks: days of buffer, shares of the largest customer and vendor, operating and other shares, recurring and other spend, lags, confidence, with their scores; weights; levels.
+BUFFER, REGIME_SHIFT = ((7, 85), (14, 60), (30, 35), (None, 15)), {"tightening": 15, "strong": -10}
+CUSTOMER, VENDOR, SPREAD = ((50, 80), (15, 50)), ((50, 75), (15, 45)), 10
+OPERATED_SHARE, OWNED, MOVED = ((0.5, 85), (0.7, 55), (None, 15)), (0.15, 15), (0.3, 10)
+FIXED_COSTS, LAGGING, OTHER_SPEND, QUIET = (0.8, 55), (5, 50), (0.4, 45), 10
+CONFIDENT = ((70, 80), (85, 50), (95, 25), (None, 10))
+WEIGHTS = {"liquidity": 0.30, "concentration": 0.20, "dependency": 0.25, "anomaly": 0.10, "uncertainty": 0.15}
+LEVELS = ((70, "high"), (40, "medium"))
+
+
+def below(x: Column, steps) -> Column:  # noqa: ANN001
+    """The score of the first limit that ``x`` is below."""
+    return F.coalesce(*(F.lit(score) if limit is None else F.when(x < limit, score) for limit, score in steps))
+
+
+def _below(x: str, steps) -> str:  # noqa: ANN001
+    return "CASE " + " ".join(f"WHEN {x} < {limit} THEN {score}" for limit, score in steps[:-1]) + f" ELSE {steps[-1][1]} END"
+
+
+def _share(x: str, steps) -> str:  # noqa: ANN001
+    return "CASE " + " ".join(f"WHEN {x} > {limit} THEN {score}" for limit, score in steps) + " ELSE 0 END"
+
+
+def _risk_sql() -> str:
+    from tidemark.plans import state  # noqa: F401  registers the queries that this one stands on
+    from tidemark.registry import _SQL as known
+
+    part = {n: f"({known[n]})" for n in ("revenue_state", "state_confidence", "spend_breakdown", "liquidity_breakdown")}
+    lag = d.with_tables(f"WITH {_FLOWS} SELECT coalesce(avg(lag), 0) AS lag FROM f WHERE {_COUNTS} AND inflow AND cls = 'customer_receipt'", "tagged", "cash_events")
+    spike = f"greatest(CASE WHEN recurring > {FIXED_COSTS[0]} THEN {FIXED_COSTS[1]} ELSE 0 END, CASE WHEN lag > {LAGGING[0]} THEN {LAGGING[1]} ELSE 0 END, CASE WHEN other > {OTHER_SPEND[0]} THEN {OTHER_SPEND[1]} ELSE 0 END)"
+    share = f"greatest({_share('top', CUSTOMER)}, {_share('top_vendor', VENDOR)})"
+    return f"""WITH v AS (SELECT rv.top_customer_pct AS top, sp.top_vendor_pct AS top_vendor, CASE WHEN lq.total_outflows > 0 THEN (lq.total_inflows - lq.total_outflows) / (lq.total_outflows / lq.period_days) ELSE 1e9 END AS buffer, lq.regime, lq.operating_ratio, lq.owner_ratio, lq.transfer_ratio,
+  CASE WHEN sp.total_spend > 0 THEN sp.recurring_obligations / sp.total_spend ELSE 0 END AS recurring, CASE WHEN sp.total_spend > 0 THEN sp.non_recurring_spend / sp.total_spend ELSE 0 END AS other, lg.lag, cf.confidence
+  FROM {part["revenue_state"]} rv, {part["spend_breakdown"]} sp, {part["liquidity_breakdown"]} lq, ({lag}) lg, (SELECT avg(confidence) AS confidence FROM {part["state_confidence"]}) cf),
+s AS (SELECT least(100, greatest(0, {_below("buffer", BUFFER)} + CASE regime WHEN 'tightening' THEN 15 WHEN 'strong' THEN -10 ELSE 0 END)) AS liquidity, CASE WHEN {share} = 0 THEN {SPREAD} ELSE {share} END AS concentration,
+  least(100, {_below("operating_ratio", OPERATED_SHARE)} + CASE WHEN owner_ratio > {OWNED[0]} THEN {OWNED[1]} ELSE 0 END + CASE WHEN transfer_ratio > {MOVED[0]} THEN {MOVED[1]} ELSE 0 END) AS dependency, CASE WHEN {spike} = 0 THEN {QUIET} ELSE {spike} END AS anomaly, {_below("confidence", CONFIDENT)} AS uncertainty FROM v),
+r AS ({" UNION ALL ".join(f"SELECT '{n}' AS dimension, {n}::DOUBLE AS score, {w}::DOUBLE AS weight FROM s" for n, w in WEIGHTS.items())}),
+o AS (SELECT * FROM r UNION ALL SELECT 'overall', floor(sum(score * weight) + 0.5), 1.0 FROM r)
+SELECT dimension, score, weight, {_above("score", LEVELS, "low", True)} AS level FROM o"""
+
+
+@query("risk_state", _risk_sql())
+def risk_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The five risks of the period by their published scores, and all of them by weight: buffer and regime, the largest customer and vendor, what is not operating, oddities of spend and settlement, doubtful data. The states that it stands on are one row each."""
+    from tidemark.plans import state
+
+    rv, sp, lq = state.revenue_state(spark, sf), spend_breakdown(spark, sf), liquidity_breakdown(spark, sf)
+    cf = state.state_confidence(spark, sf).agg(F.avg("confidence").alias("confidence"))
+    lg = flows(spark, sf).filter(f"{_COUNTS} and inflow and cls = 'customer_receipt'").agg(F.coalesce(F.avg("lag"), F.lit(0.0)).alias("lag"))
+    sp = sp.select("top_vendor_pct", "total_spend", "recurring_obligations", "non_recurring_spend")
+    lq = lq.select("total_inflows", "total_outflows", "period_days", "regime", "operating_ratio", "owner_ratio", "transfer_ratio")
+    v = rv.select("top_customer_pct").crossJoin(sp).crossJoin(lq).crossJoin(cf).crossJoin(lg)
+    c = F.col
+    out, spent = c("total_outflows"), c("total_spend")
+    buffer = F.when(out > 0, F.try_divide(c("total_inflows") - out, out / c("period_days"))).otherwise(1e9)
+    shift = F.coalesce(*(F.when(c("regime") == k, x) for k, x in REGIME_SHIFT.items()), F.lit(0))
+    over = lambda x, *steps: F.coalesce(*(F.when(x > limit, score) for limit, score in steps), F.lit(0))
+    share = F.greatest(over(c("top_customer_pct"), *CUSTOMER), over(c("top_vendor_pct"), *VENDOR))
+    of_spend = lambda x: F.coalesce(F.try_divide(c(x), spent), F.lit(0.0))
+    odd = F.greatest(over(of_spend("recurring_obligations"), FIXED_COSTS), over(c("lag"), LAGGING), over(of_spend("non_recurring_spend"), OTHER_SPEND))
+    scores = {
+        "liquidity": F.least(F.lit(100), F.greatest(F.lit(0), below(buffer, BUFFER) + shift)),
+        "concentration": F.when(share == 0, SPREAD).otherwise(share),
+        "dependency": F.least(F.lit(100), below(c("operating_ratio"), OPERATED_SHARE) + over(c("owner_ratio"), OWNED) + over(c("transfer_ratio"), MOVED)),
+        "anomaly": F.when(odd == 0, QUIET).otherwise(odd),
+        "uncertainty": below(c("confidence"), CONFIDENT),
+    }
+    rows = [F.struct(F.lit(n).alias("dimension"), s.cast("double").alias("score"), F.lit(WEIGHTS[n]).alias("weight")) for n, s in scores.items()]
+    overall = F.floor(sum((s * WEIGHTS[n] for n, s in scores.items()), F.lit(0.0)) + 0.5).cast("double")
+    found = v.select(F.explode(F.array(*rows, F.struct(F.lit("overall").alias("dimension"), overall.alias("score"), F.lit(1.0).alias("weight")))).alias("x")).select("x.*")
+    return found.withColumn("level", above(c("score"), LEVELS, "low", at_least=True))
