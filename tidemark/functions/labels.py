@@ -20,9 +20,10 @@ DELETED = r"(?i)\s*\(deleted\)\s*$"
 BRANDS = [(r"(?i)\bQuick\s+Books\b", "QuickBooks"), (r"(?i)\bDocu\s*Sign\b", "DocuSign"), (r"(?i)\bMac\s+Lean\b", "MacLean"), (r"(?i)\bHuman\s+N\s+Professional\b", "Human N Professional")]
 #: Words that say nothing about who a counterparty is.
 STOPWORDS = (
-    "inc llc ltd corp co company the and of for services service solutions group international global consulting management enterprises holdings partners "
-    "city team west east north south tech data home care blue state food foods sports sport"
-).split()
+    "inc", "llc", "ltd", "corp", "co", "company", "the", "and", "of",
+    "for", "services", "service", "solutions", "group", "international", "global", "consulting", "management", "enterprises", "holdings", "partners",
+    "city", "team", "west", "east", "north", "south", "tech", "data", "home", "care", "blue", "state", "food", "foods", "sports", "sport",
+)
 
 
 def split_camel(s: Column) -> Column:
@@ -113,14 +114,14 @@ def _plain(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(s, F.lit(""))), r"[^\w\s]", " "), r"\s+", " "))
 
 
-def _words(plain: Column, longer_than: int, stop: list[str]) -> Column:
+def _words(plain: Column, longer_than: int, stop: tuple[str, ...]) -> Column:
     return F.array_except(F.array_distinct(F.filter(F.split(plain, " "), lambda w: F.length(w) > longer_than)), F.array(*map(F.lit, stop)) if stop else F.array().cast("array<string>"))
 
 
 def name_parts(s: Column) -> Column:
     """A name without punctuation, its telling words, and all its words of more than a letter: what both rules compare, worked out once a row."""
     plain = _plain(s)
-    return F.struct(plain.alias("plain"), _words(plain, 2, STOPWORDS).alias("telling"), _words(plain, 1, []).alias("words"))
+    return F.struct(plain.alias("plain"), _words(plain, 2, STOPWORDS).alias("telling"), _words(plain, 1, ()).alias("words"))
 
 
 def receivable_parts_match(a: Column, b: Column) -> Column:

@@ -11,14 +11,14 @@ from tidemark.sources import domain as d
 
 #: Texts as banks and people write them, one for each style, from an entity's name and number.
 _RAW = """raw AS (SELECT entity_id, seq, display_name, style, CASE style WHEN 0 THEN display_name WHEN 1 THEN upper(display_name) || ' TEAM12/Payment ' || seq || ' PERF' WHEN 2 THEN 'INV-' || seq WHEN 3 THEN display_name || ' test'
-  WHEN 4 THEN 'mail' || seq || '@shop.example.com' WHEN 5 THEN 'BlueRiver' || display_name || ' (deleted)' WHEN 6 THEN 'Quick  Books ' || display_name || ' invoice #' || seq WHEN 7 THEN NULL ELSE 'NadiaPELLCo ' || seq END AS raw
+  WHEN 4 THEN 'mail' || seq || '@shop.example.com' WHEN 5 THEN 'GreyHeron' || display_name || ' (deleted)' WHEN 6 THEN 'Quick  Books ' || display_name || ' invoice #' || seq WHEN 7 THEN NULL ELSE 'OrsolVINTCo ' || seq END AS raw
   FROM entities, range(9) t(style))"""
 
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
     n, s = F.col("display_name"), F.col("seq").cast("string")
     j = lambda *x: F.concat(*[y if isinstance(y, Column) else F.lit(y) for y in x])
-    texts = [n, j(F.upper(n), " TEAM12/Payment ", s, " PERF"), j("INV-", s), j(n, " test"), j("mail", s, "@shop.example.com"), j("BlueRiver", n, " (deleted)"), j("Quick  Books ", n, " invoice #", s), F.lit(None).cast("string"), j("NadiaPELLCo ", s)]
+    texts = [n, j(F.upper(n), " TEAM12/Payment ", s, " PERF"), j("INV-", s), j(n, " test"), j("mail", s, "@shop.example.com"), j("GreyHeron", n, " (deleted)"), j("Quick  Books ", n, " invoice #", s), F.lit(None).cast("string"), j("OrsolVINTCo ", s)]
     return d.entities(spark, sf).select("entity_id", "seq", "display_name", F.posexplode(F.array(*texts)).alias("style", "raw"))
 
 
@@ -58,7 +58,7 @@ _OWNS = lambda x: f"(length({_form(x)}) >= 2 AND (contains({_form(x)}, {_form('o
 @query(
     "display_labels",
     d.with_tables(
-        f"""WITH {_RAW}, o AS (SELECT *, CASE WHEN seq % 5 = 0 THEN display_name ELSE 'Nadia Pell Co' END AS owner, CASE WHEN seq % 3 = 0 THEN raw END AS preferred FROM raw)
+        f"""WITH {_RAW}, o AS (SELECT *, CASE WHEN seq % 5 = 0 THEN display_name ELSE 'Orsol Vint Co' END AS owner, CASE WHEN seq % 3 = 0 THEN raw END AS preferred FROM raw)
 SELECT entity_id, style::INTEGER AS style, CASE WHEN preferred IS NOT NULL AND {_CLEAN} THEN CASE WHEN {_OWNS('preferred')} THEN 'Owner' ELSE {_clean('preferred')} END
   WHEN raw IS NULL OR {_TEST} OR {_SLUDGE} THEN '—' WHEN {_OWNS('raw')} THEN 'Owner' ELSE {_clean('raw')} END AS label FROM o""",
         "entities",
@@ -66,7 +66,7 @@ SELECT entity_id, style::INTEGER AS style, CASE WHEN preferred IS NOT NULL AND {
 )
 def display_labels(spark: SparkSession, sf: str) -> DataFrame:
     """What is shown for a counterparty; here each fifth entity is an owner's, and each third text is preferred."""
-    o = _raw(spark, sf).withColumns({"owner": F.when(F.col("seq") % 5 == 0, F.col("display_name")).otherwise("Nadia Pell Co"), "preferred": F.when(F.col("seq") % 3 == 0, F.col("raw"))})
+    o = _raw(spark, sf).withColumns({"owner": F.when(F.col("seq") % 5 == 0, F.col("display_name")).otherwise("Orsol Vint Co"), "preferred": F.when(F.col("seq") % 3 == 0, F.col("raw"))})
     return o.select("entity_id", "style", labels.display_label(F.col("raw"), F.col("preferred"), F.col("owner")).alias("label"))
 
 
@@ -151,7 +151,7 @@ def entity_name_match(spark: SparkSession, sf: str) -> DataFrame:
     return d.movements(spark, sf).select("movement_id", found).select("movement_id", F.col("m.match").alias("matches"), F.round("m.score", 6).alias("score"), F.col("m.method").alias("method"))
 
 
-_ACCOUNTS = """a AS (SELECT entity_id, seq, CASE seq % 4 WHEN 0 THEN 'Chase Parent Account:J. ' || display_name || ' (6515) - 2' WHEN 1 THEN 'First Bank:' || display_name || ' (' || (1000 + seq % 9000) || ')' WHEN 2 THEN 'Personal ' || display_name ELSE '  ' END AS raw,
+_ACCOUNTS = """a AS (SELECT entity_id, seq, CASE seq % 4 WHEN 0 THEN 'Union Parent Account:J. ' || display_name || ' (4821) - 2' WHEN 1 THEN 'First Bank:' || display_name || ' (' || (1000 + seq % 9000) || ')' WHEN 2 THEN 'Personal ' || display_name ELSE '  ' END AS raw,
   CASE seq % 3 WHEN 0 THEN 'depository' WHEN 1 THEN 'credit' END AS kind, CASE seq % 5 WHEN 0 THEN 'checking' WHEN 1 THEN 'savings' WHEN 2 THEN 'credit card' WHEN 3 THEN 'money market' END AS subtype FROM entities)"""
 
 
@@ -170,7 +170,7 @@ def account_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Names of bank accounts for people."""
     n, k = F.col("display_name"), F.col("seq")
     raw = (
-        F.when(k % 4 == 0, F.concat(F.lit("Chase Parent Account:J. "), n, F.lit(" (6515) - 2"))).when(k % 4 == 1, F.concat(F.lit("First Bank:"), n, F.lit(" ("), (1000 + k % 9000).cast("string"), F.lit(")")))
+        F.when(k % 4 == 0, F.concat(F.lit("Union Parent Account:J. "), n, F.lit(" (4821) - 2"))).when(k % 4 == 1, F.concat(F.lit("First Bank:"), n, F.lit(" ("), (1000 + k % 9000).cast("string"), F.lit(")")))
         .when(k % 4 == 2, F.concat(F.lit("Personal "), n)).otherwise("  ")
     )
     kind = F.when(k % 3 == 0, "depository").when(k % 3 == 1, "credit")
