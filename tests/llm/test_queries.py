@@ -12,8 +12,10 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
+from tests.llm.fixtures import documents  # noqa: E402
 from tests.llm.test_decontamination import brute as hits  # noqa: E402
-from tidemark.llm import decontamination, encoding, queries, warc  # noqa: E402
+from tests.llm.test_models import brute_base  # noqa: E402
+from tidemark.llm import decontamination, encoding, pii, queries, warc  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,6 +60,22 @@ def test_classifier_columns(spark, tmp_path):
         assert 0 <= r["score"] <= 1
 
 
+def test_personal_data_counts_are_those_of_base_spans(spark, tmp_path, monkeypatch):
+    seen = [f"words come here {d} and go there again" for d in ("call +1 (743) 555-3824 now", "mail ab.cd@mail7.example.com ok", "host 10.2.33.4 up", "on 2024-05-06 at 12:30 for 1,299.00")] * 5
+    model = pii.fit(documents(spark, seen))
+    monkeypatch.setattr(pii, "fit", lambda *_: model)
+    rows = ["ring (743) 555-3824 today please", "mail x@y.zz or 10.0.0.1, 4111 1111 1111 1111, +1 (743) 555-3824", "none", None]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op3_pii(spark, str(tmp_path)).collect()}
+    assert got[0]["spans"] == "phone:5:19"  # the model's alone
+    for i, text in enumerate(rows):
+        base = brute_base(text or "")
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [len(some) for some in base]
+        want = ",".join(f"{k}:{a}:{b}" for k, some in zip(pii.KINDS, base, strict=True) for a, b in some)
+        assert got[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+        assert set(filter(None, want.split(","))) <= set(got[i]["spans"].split(","))
+
+
 def test_benchmark_items_without_ids(spark):
     words = " ".join(f"word{chr(97 + i)}" for i in range(12))
     items = spark.createDataFrame([(None, words), (None, "other text"), (3, words)], "item_id long, text string")

@@ -312,6 +312,11 @@ def redacted(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
     return "".join(out) + text[at:]
 
 
+def base_count(kind: str, column: str = "pii_spans") -> Column:
+    """The number of base spans of a kind."""
+    return F.size(F.filter(column, lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+
+
 def digest(column: str = "pii_spans", base_only: bool = False) -> Column:
     """kind:start:end of the spans, joined by commas."""
     some = F.filter(column, lambda s: s["base"]) if base_only else F.col(column)
