@@ -101,3 +101,18 @@ def test_longest_common_lines(seed):
 def test_too_many_equal_lines(monkeypatch):
     monkeypatch.setattr(main_text, "MOST_PAIRS", 10)
     assert main_text.common_lines([1, 0, 0, 0, 0, 2], [3, 0, 0, 0, 0, 0, 4]) == [1, 2, 3, 4]
+
+
+def test_alignments_are_the_same_at_any_size(monkeypatch):
+    """Pairs and rows of bits give the same places, and lines that repeat by the thousand are aligned in full."""
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ([rng.randint(0, rng.choice([1, 4, 30])) for _ in range(rng.randint(0, 60))] for _ in range(2))
+        monkeypatch.setattr(main_text, "MOST_PAIRS", 10**6)
+        want = main_text.common_lines(a, b)
+        monkeypatch.setattr(main_text, "MOST_PAIRS", -1)
+        assert main_text.common_lines(a, b) == want
+    monkeypatch.undo()
+    # Lines that met their like by number alone (the k-th with the k-th) would be 1500.
+    a, b = [3, *[0] * 1500, *[1] * 1400, 4], [5, *[1] * 1400, *[0] * 1500, *[1] * 700, 6]
+    assert main_text.common_lines(a, b) == [*range(1, 1501), *range(2201, 2901)]

@@ -11,7 +11,7 @@
 
 A null html is empty: text '' of no characters. A null or relative url has no host, and its page no partners. Rows that repeat a page_id are pages of their own, with a row each.
 A host's only page, and one whose neighbours within reach are all copies of it, keep all lines that markup leaves. An empty table gives an empty result. Other columns are never read.
-A line is shared by its 64-bit hash. Where two pages repeat lines so often that the alignment has over a million equal pairs, the k-th occurrence of a line in one page meets the k-th in the other only.
+A line is shared by its 64-bit hash. Alignments are exact whatever the pages' sizes and repeated lines; ``MOST_PAIRS`` bounds memory, not results.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from tidemark.llm import common
 from tidemark.llm.page_blocks import lines
 
 BLOCK, REACH, PAIRS = 64, 16, 8
-#: Deleted lines' pages that come by a broadcast (about 50 MB), and equal pairs of lines that an alignment looks at.
+#: Deleted lines' pages that come by a broadcast (about 50 MB), and equal pairs of lines that an alignment holds.
 FEW, MOST_PAIRS = 500_000, 1_000_000
 
 
@@ -71,7 +73,10 @@ def _place(url):
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Places in ``a`` of a longest common subsequence with ``b``, by the longest rising run of matches."""
+    """Places in ``a`` of a longest common subsequence with ``b``: of all, that which ends earliest in ``b``, with the last line of ``a`` that fits each.
+
+    Where lines repeat so often that pairs of equal ones are too many to hold, rows of bits give the same places.
+    """
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         lo += 1
@@ -81,20 +86,18 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     where = defaultdict(list)
     for j in range(lo, len(b) - end):
         where[b[j]].append(j)
-    inner = range(lo, len(a) - end)
-    if sum(len(where[a[i]]) for i in inner if a[i] in where) > MOST_PAIRS:
-        met: Counter = Counter()
-        matches = []
-        for i in inner:
-            k, met[a[i]] = met[a[i]], met[a[i]] + 1
-            if a[i] in where and k < len(where[a[i]]):
-                matches.append((i, [where[a[i]][k]]))
-    else:
-        matches = [(i, where[a[i]][::-1]) for i in inner if a[i] in where]
+    inner = [i for i in range(lo, len(a) - end) if a[i] in where]
+    by_pairs = sum(len(where[a[i]]) for i in inner) <= MOST_PAIRS
+    middle = _by_pairs([(i, where[a[i]]) for i in inner]) if by_pairs else _by_bits([a[i] for i in inner], b[lo : len(b) - end], inner)
+    return [*range(lo), *middle, *range(len(a) - end, len(a))]
+
+
+def _by_pairs(matches: list[tuple[int, list[int]]]) -> list[int]:
+    """Places of the longest rising run of matches: place in a, and rising places of the same line in b."""
     tails: list[int] = []
     ends: list[tuple] = []
     for i, places in matches:
-        for j in places:
+        for j in reversed(places):
             k = bisect_left(tails, j)
             node = (i, ends[k - 1] if k else None)
             if k == len(tails):
@@ -102,12 +105,59 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
                 ends.append(node)
             else:
                 tails[k], ends[k] = j, node
-    middle = []
+    out = []
     node = ends[-1] if ends else None
     while node:
-        middle.append(node[0])
+        out.append(node[0])
         node = node[1]
-    return [*range(lo), *reversed(middle), *range(len(a) - end, len(a))]
+    return out[::-1]
+
+
+def _by_bits(a: list[int], b: list[int], places: list[int]) -> list[int]:
+    """What :func:`_by_pairs` finds, in time len(a) * len(b) / 64: after i lines of ``a``, bit j is 0 where line j of ``b`` makes the subsequence longer.
+
+    Each ``step``-th row of bits is kept, the rows between are made again on the way back, so memory is that of some 2 * sqrt(len(a)) rows.
+    """
+    met = set(a)
+    b = [x for x in b if x in met]
+    in_a, in_b = defaultdict(list), defaultdict(list)
+    for i, x in enumerate(a):
+        in_a[x].append(i)
+    for j, x in enumerate(b):
+        in_b[x].append(j)
+
+    @lru_cache(256)
+    def mask(x: int) -> int:
+        bits = bytearray(len(b) // 8 + 1)
+        for j in in_b[x]:
+            bits[j >> 3] |= 1 << (j & 7)
+        return int.from_bytes(bits, "little")
+
+    full, step = (1 << len(b)) - 1, isqrt(len(a)) + 1
+
+    def after(row: int, x: int) -> int:
+        same = row & mask(x)
+        return ((row + same) | (row ^ same)) & full
+
+    row, kept = full, [full]
+    for i, x in enumerate(a, 1):
+        row = after(row, x)
+        if i % step == 0:
+            kept.append(row)
+    out, i, j, first, rows = [], len(a), len(b), len(a) + 1, []
+    while True:
+        if i < first:
+            first = i // step * step
+            rows = [kept[i // step]]
+            for x in a[first:i]:
+                rows.append(after(rows[-1], x))
+        longer = (rows[i - first] ^ full) & ((1 << j) - 1)
+        if not longer:
+            return out[::-1]
+        j = longer.bit_length() - 1
+        same = in_a[b[j]]
+        i = same[bisect_left(same, i) - 1]
+        out.append(places[i])
 
 
 class _Entry:
