@@ -205,3 +205,22 @@ def test_language_model_wide_rows(spark, monkeypatch):
     for i, t in enumerate(rows):
         assert got[i]["base_score"] == pytest.approx(sum(log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*t.split(), None]), abs=1e-6)
         assert got[i]["score"] > got[i]["base_score"]
+
+
+def test_language_model_arithmetic():
+    """Sums of runs, softmaxes and logarithms as their plain forms have them, with rows so far apart that exponentials vanish."""
+    rng = np.random.default_rng(4)
+    x, keys = rng.normal(size=(600, 7)).astype(np.float32), np.concatenate([np.zeros(150, np.int64), rng.integers(1, 200, 450)])
+    order = np.argsort(keys)
+    first, n = language_model._starts(keys[order])
+    got = language_model._sums(x, order, first, n)
+    assert np.allclose(got, [x[keys == k].sum(0) for k in np.unique(keys)], atol=1e-4)
+    for scale in (1, 60):
+        table = (rng.normal(size=(50, 9)) * scale).astype(np.float32)
+        rows, target = [np.zeros(300, np.uint16), *(rng.integers(0, 50, 300).astype(np.uint16) for _ in range(4))], rng.integers(0, 9, 300)
+        z = sum(table[r].astype(np.float64) for r in rows)
+        z -= z.max(1, keepdims=True)
+        want = z[np.arange(300), target] - np.log(np.exp(z).sum(1))
+        assert np.allclose(language_model._logs(table, rows, target), want / np.log(10), atol=1e-3)
+        exps, total = language_model._softmax(table, rows)
+        assert np.allclose(exps / total[:, None], np.exp(z) / np.exp(z).sum(1)[:, None], atol=1e-3)

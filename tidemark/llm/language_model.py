@@ -30,6 +30,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from math import isqrt, log, log10
 from typing import NamedTuple
 
@@ -47,6 +48,10 @@ KNOWN, KNOWN_BYTES = 131_072, 256
 #: The end's token: empty, as no word is.
 END = b""
 STEP, RATE, FLUSH = 4096, 0.15, 200_000
+#: Sums of exponentials below this are made again from their own greatest term.
+TINY = 1e-20
+#: Longest run of rows that is added up along with other runs.
+LONG = 12
 
 
 class Shape(NamedTuple):
@@ -141,14 +146,18 @@ def frame(counts: DataFrame) -> dict:
     for token, c in known[: shape.head]:  # head tokens are in no tail class
         k = _tail_class(token[-2:], shape.tails)
         n[k], v[k] = n[k] - c, v[k] - 1
-    return {"shape": shape, "n": int(total["n"]), "v": int(total["v"]), "tokens": [t for t, _ in known], "c": np.array([c for _, c in known], np.float64), "tail_n": n, "tail_v": v}
+    return {"shape": shape, "n": int(total["n"]), "v": int(total["v"]), "tokens": [t for t, _ in known], "tails": np.array([_tail_class(t[-2:], shape.tails) for t, _ in known], np.int64), "c": np.array([c for _, c in known], np.float64), "tail_n": n, "tail_v": v}
 
 
-class Words(dict):
-    """Ranks of known tokens; -1 for others."""
+class TailClasses(dict):
+    """Tail classes by the last two bytes, each made when it is first asked for."""
 
-    def __missing__(self, token: bytes) -> int:
-        return -1
+    def __init__(self, tails: int) -> None:
+        self.tails = tails
+
+    def __missing__(self, last: bytes) -> int:
+        self[last] = _tail_class(last, self.tails)
+        return self[last]
 
 
 class Reader:
@@ -156,18 +165,11 @@ class Reader:
 
     def __init__(self, f: dict) -> None:
         self.shape = shape = f["shape"]
-        self.rank = Words(zip(f["tokens"], range(len(f["tokens"])), strict=True))
+        self.rank = dict(zip(f["tokens"], range(len(f["tokens"])), strict=True))
         ranks = np.arange(len(f["tokens"]))
-        tails = np.array([_tail_class(t[-2:], shape.tails) for t in f["tokens"]], np.int64) if len(ranks) else np.zeros(0, np.int64)
-        self.klass = np.where(ranks < shape.head, ranks // shape.side, shape.side + tails)
-        self.symbol = np.where(ranks < shape.head, ranks, shape.head + tails)
-        self.last: dict[bytes, int] = {}
-
-    def _tail(self, token: bytes) -> int:
-        key = token[-2:]
-        if key not in self.last:
-            self.last[key] = _tail_class(key, self.shape.tails)
-        return self.last[key]
+        self.klass = np.where(ranks < shape.head, ranks // shape.side, shape.side + f["tails"])
+        self.symbol = np.where(ranks < shape.head, ranks, shape.head + f["tails"])
+        self.tail = TailClasses(shape.tails)
 
     def read(self, texts: list[bytes]) -> dict:
         words: list[bytes] = []
@@ -176,12 +178,12 @@ class Reader:
             words += t.lower().split()
             words.append(END)
             ends.append(len(words))
-        rank = np.fromiter(map(self.rank.__getitem__, words), np.int64, len(words))
+        rank = np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
         klass, symbol = (x[rank] if len(x) else np.zeros(len(words), np.int64) for x in (self.klass, self.symbol))
         missing = np.flatnonzero(rank < 0)
         unknown = [words[i] for i in missing]
         if unknown:
-            tails = np.fromiter(map(self._tail, unknown), np.int64, len(unknown))
+            tails = np.fromiter(map(self.tail.__getitem__, [w[-2:] for w in unknown]), np.int64, len(unknown))
             klass[missing], symbol[missing] = self.shape.side + tails, self.shape.head + tails
         ends_at = np.array(ends)
         starts = np.concatenate([[0], ends_at[:-1]])
@@ -226,13 +228,20 @@ def start(f: dict) -> dict[str, np.ndarray]:
 
 
 def _softmax(table: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials of the summed rows, and their sums."""
-    z = table[rows[0]]
-    for r in rows[1:]:
-        z += table[r]
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    return z, z.sum(1)
+    """Exponentials of the summed rows, each up to a factor, and their sums."""
+    none, first, *others = rows
+    z = table.take(first, axis=0)
+    for r in others:
+        z += table.take(r, axis=0)
+    z += table.take(none, axis=0) if none.any() else table[0]
+    top = z.max()
+    exps = np.exp(z - top)
+    total = np.einsum("ij->i", exps)
+    far = np.flatnonzero(total < TINY)  # rows far below the highest of the step are taken by themselves
+    if len(far):
+        exps[far] = np.exp(z[far] - z[far].max(1, keepdims=True))
+        total[far] = exps[far].sum(1)
+    return exps, total
 
 
 class Trainer:
@@ -244,14 +253,20 @@ class Trainer:
         self.met = np.zeros(len(table), np.int64)
 
     def _update(self, u: np.ndarray, g: np.ndarray, n: np.ndarray) -> None:
-        self.g2[u] += g * g
-        self.w[u] -= RATE * g / np.sqrt(self.g2[u])
+        x = g * g
+        x += self.g2.take(u, axis=0)
+        self.g2[u] = x
+        np.sqrt(x, out=x)
+        np.divide(g, x, out=x)
+        x *= -RATE
+        x += self.w.take(u, axis=0)
+        self.w[u] = x
         self.met[u] += n
 
     def step(self, rows: list[np.ndarray], target: np.ndarray) -> None:
         """One step; the last row of ``rows`` refines the second (n-gram and last token), so one order serves both."""
         p, total = _softmax(self.w, rows)
-        p /= total[:, None]
+        p *= (1 / total)[:, None]
         p[np.arange(len(target)), target] -= 1
         none, last, *skips, both = rows
         if none[0] == 0 and not none.any():
@@ -262,15 +277,15 @@ class Trainer:
         key = last.astype(wide) << wide(8 * both.itemsize) | both
         order = np.argsort(key)
         first, n = _starts(key[order])
-        g = _sums(p[order], first, n)
+        g = _sums(p, order, first, n)
         upper = last[order][first]
         top, m = _starts(upper)
-        self._update(upper[top], _sums(g, top, m), np.add.reduceat(n, top))
+        self._update(upper[top], _sums(g, np.arange(len(g)), top, m), np.add.reduceat(n, top))
         self._update(both[order][first], g, n)
         for r in skips:
             order = np.argsort(r, kind="stable")
             first, n = _starts(r[order])
-            self._update(r[order][first], _sums(p[order], first, n), n)
+            self._update(r[order][first], _sums(p, order, first, n), n)
 
     def changes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         u = np.flatnonzero(self.met)
@@ -283,15 +298,21 @@ def _starts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(x)))
 
 
-def _sums(x: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The sum of each run of rows: short runs row by row, all at once; long ones by themselves."""
-    out = x[first]
-    for k in range(1, 8):
-        some = np.flatnonzero((n > k) & (n <= 8))
-        out[some] += x[first[some] + k]
-    for i in np.flatnonzero(n > 8).tolist():
-        out[i] = x[first[i] : first[i] + n[i]].sum(0)
-    return out
+def _sums(x: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sum of each run of rows of ``x`` in an order: runs by falling length, so that the k-th rows of all that have one are added at once; long runs by themselves."""
+    by = np.argsort(-n, kind="stable")
+    at, runs = first[by], np.searchsorted(-n[by], -np.arange(1, LONG + 2), side="right")
+    out = x.take(order[at], axis=0)
+    long, ones = runs[LONG], np.ones(len(x), x.dtype)
+    for k in range(1, LONG):
+        if (some := runs[k]) == long:
+            break
+        out[long:some] += x.take(order[at[long:some] + k], axis=0)
+    for i, (a, m) in enumerate(zip(at[:long].tolist(), n[by[:long]].tolist(), strict=True)):
+        np.dot(ones[:m], x.take(order[a : a + m], axis=0), out=out[i])
+    back = np.empty(len(by), np.int64)
+    back[by] = np.arange(len(by))
+    return out.take(back, axis=0)
 
 
 #: Changes of a block of rows, in half floats: they are small beside the weights that they are added to.
@@ -371,13 +392,32 @@ def trained(texts: DataFrame, f: dict) -> dict:
     return tables
 
 
-def _logs(table: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> np.ndarray:
-    """log10 of each target's softmax, in blocks."""
-    out = np.empty(len(target))
+def _powers(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest weight of each row, and the exponentials of the others against it."""
+    top = table.max(1)
+    return top, np.exp(table - top[:, None])
+
+
+def _logs(table: np.ndarray, rows: list[np.ndarray], target: np.ndarray, powers: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """log10 of each target's softmax, in blocks; exponentials of sums are products of the rows' own, which are made once."""
+    top, exps = powers or _powers(table)
+    out, flat = np.empty(len(target)), table.ravel()
     for a in range(0, len(target), STEP):
-        part = slice(a, a + STEP)
-        z, total = _softmax(table, [r[part] for r in rows])
-        out[part] = np.log(z[np.arange(len(z)), target[part]] / total + 1e-30)
+        none, first, *others = part = [r[a : a + STEP] for r in rows]
+        z = exps.take(first, axis=0)
+        for r in others:
+            z *= exps.take(r, axis=0)
+        z *= exps.take(none, axis=0) if none.any() else exps[0]
+        total = np.einsum("ij->i", z)
+        to = target[a : a + STEP]
+        own = sum((flat.take(r * np.int64(table.shape[1]) + to) - top.take(r)).astype(np.float64) for r in part)
+        far = np.flatnonzero(total < TINY)
+        with np.errstate(divide="ignore"):
+            out[a : a + STEP] = own - np.log(total)
+        if len(far):
+            z = sum(table[r[far]].astype(np.float64) for r in part)
+            z -= z.max(1, keepdims=True)
+            out[a + far] = z[np.arange(len(far)), to[far]] - np.log(np.exp(z).sum(1))
     return out / log(10)
 
 
@@ -391,6 +431,7 @@ def _first_scores(docs: DataFrame, f: dict, tables: dict) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, tables = sent.value
         reader, shape = Reader(f), f["shape"]
+        powers = {k: _powers(t) for k, t in tables.items()}
         logs = np.append(np.log10(f["c"] + 0.5), 0.0)  # the last for tokens that the join will add
         tail = np.log10(f["tail_n"] + 0.5 * (f["tail_v"] + 1))
         for b in batches:
@@ -400,10 +441,10 @@ def _first_scores(docs: DataFrame, f: dict, tables: dict) -> DataFrame:
                 r = reader.read(texts[x:y])
                 rank, klass, before = r["rank"], r["class"], r["before"]
                 own = logs[rank]
-                model = _logs(tables["class"], class_rows(before, shape), klass)
+                model = _logs(tables["class"], class_rows(before, shape), klass, powers["class"])
                 is_head = (rank >= 0) & (rank < shape.head)
                 head = np.flatnonzero(is_head)
-                model[head] += _logs(tables["word"], word_rows([s[head] for s in before], klass[head], shape), rank[head] % shape.side)
+                model[head] += _logs(tables["word"], word_rows([s[head] for s in before], klass[head], shape), rank[head] % shape.side, powers["word"])
                 others = np.flatnonzero(~is_head)
                 model[others] += own[others] - tail[klass[others] - shape.side]
                 begin = r["starts"]
