@@ -421,11 +421,11 @@ def _logs(table: np.ndarray, rows: list[np.ndarray], target: np.ndarray, powers:
     return out / log(10)
 
 
-_SCORED = "n_tokens long, n_known long, known_log double, model_log double, rest array<binary>"
+_SCORED = "n_tokens long, n_known long, known_log double, model_log double, rest array<binary>, times array<long>"
 
 
 def _first_scores(docs: DataFrame, f: dict, tables: dict) -> DataFrame:
-    """What the broadcast counts and the model give; ``rest``: tokens whose counts are not broadcast."""
+    """What the broadcast counts and the model give; ``rest``: the tokens whose counts are not broadcast, ``times``: how often the text has each."""
     sent = docs.sparkSession.sparkContext.broadcast((f, tables))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,7 +436,7 @@ def _first_scores(docs: DataFrame, f: dict, tables: dict) -> DataFrame:
         tail = np.log10(f["tail_n"] + 0.5 * (f["tail_v"] + 1))
         for b in batches:
             texts = common.utf8(b.column("text"))
-            columns: list[list] = [[], [], [], [], []]
+            columns: list[list] = [[], [], [], [], [], []]
             for x, y in common.by_bytes(texts, 1 << 20):
                 r = reader.read(texts[x:y])
                 rank, klass, before = r["rank"], r["class"], r["before"]
@@ -453,9 +453,11 @@ def _first_scores(docs: DataFrame, f: dict, tables: dict) -> DataFrame:
                 columns[2] += np.add.reduceat(own, begin).tolist()
                 columns[3] += np.add.reduceat(model, begin).tolist()
                 cut = np.searchsorted(r["missing"], r["ends"]).tolist()
-                columns[4] += [r["unknown"][p:q] for p, q in zip([0, *cut[:-1]], cut, strict=True)]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "n_tokens", "n_known", "known_log", "model_log", "rest"])
+                rest = [Counter(r["unknown"][p:q]) for p, q in zip([0, *cut[:-1]], cut, strict=True)]
+                columns[4] += [list(c) for c in rest]
+                columns[5] += [list(c.values()) for c in rest]
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "n_tokens", "n_known", "known_log", "model_log", "rest", "times"])
 
     return docs.select("id", "text").mapInArrow(score, f"id {dict(docs.dtypes)['id']}, {_SCORED}")
 
@@ -469,12 +471,12 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     tables = trained(training, f)
     first = common.written(_first_scores(texts, f, tables).withColumn("row", F.monotonically_increasing_id()), "first")
     # ``rest`` holds only tokens below the known ones in frequency, so no token is hot.
-    rest = first.select("row", F.explode("rest").alias("token")).groupBy("row", "token").agg(F.count("*").alias("n"))
+    rest = first.select("row", F.inline(F.arrays_zip("rest", "times"))).toDF("row", "token", "n")
     logs = rest.join(counts, "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     added = logs.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("rest_log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rest_known"))
     base = F.lit(log10(f["n"] + 0.5 * (f["v"] + 1)))
     rest_log = F.coalesce("rest_log", F.lit(0.0))
-    return first.drop("rest").join(added, "row", "left").select(
+    return first.drop("rest", "times").join(added, "row", "left").select(
         F.col("id").alias(id_col), F.coalesce(~is_training(), F.lit(False)).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
         F.lit(f["n"]).cast("long").alias("train_tokens"), (F.col("known_log") + rest_log - F.col("n_tokens") * base).alias("base_score"), (F.col("model_log") + rest_log).alias("score"),
     )
