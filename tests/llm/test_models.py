@@ -7,6 +7,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.fixtures import documents, texts
@@ -224,3 +225,38 @@ def test_language_model_arithmetic():
         assert np.allclose(language_model._logs(table, rows, target), want / np.log(10), atol=1e-3)
         exps, total = language_model._softmax(table, rows)
         assert np.allclose(exps / total[:, None], np.exp(z) / np.exp(z).sum(1)[:, None], atol=1e-3)
+
+
+def test_language_model_steps():
+    """A step as plain AdaGrad takes it: a row that several histories share gets the sum of their gradients, and counts each."""
+    rng = np.random.default_rng(6)
+    table = rng.normal(size=(12, 5)).astype(np.float32)
+    for none in (np.zeros(90, np.uint16), rng.integers(10, 12, 90).astype(np.uint16)):
+        # Rows of each feature apart, so that the order of features does not matter; last tokens meet in the same n-gram rows.
+        rows = [none, *(rng.integers(a, b, 90).astype(np.uint16) for a, b in ((1, 4), (4, 6), (6, 8), (8, 10)))]
+        target = rng.integers(0, 5, 90)
+        trainer = language_model.Trainer(table)
+        trainer.step(rows, target)
+        z = sum(table[r].astype(np.float64) for r in rows)
+        p = np.exp(z) / np.exp(z).sum(1)[:, None]
+        p[np.arange(90), target] -= 1
+        g = sum(np.array([p[r == k].sum(0) for k in range(12)]) for r in rows)
+        want = -language_model.RATE * g / np.sqrt(1e-2 + g * g)
+        u, change, met = trainer.changes()
+        assert u.tolist() == sorted(set(np.concatenate(rows).tolist())) and met.tolist() == [sum(int((r == k).sum()) for r in rows) for k in u]
+        assert np.allclose(change, want[u], atol=1e-3)
+
+
+def test_language_model_reads():
+    """Tokens, ranks and tail classes as words of bytes give them, with awkward white space and signs."""
+    texts = ["".join(map(chr, range(128))), "", " \t\n\x0b\x0c\r ", " A b  a\x1cB\x85c ", "Éa\u00a0b É a\u2028b\n", "x" * 300, "a", None]
+    want = [[*(t or "").encode().lower().split(), b""] for t in texts]
+    words, ends = language_model.split(pa.array(["no", *texts]).slice(1))
+    assert words.to_pylist() == [w for ws in want for w in ws] and ends.tolist() == np.cumsum([len(ws) for ws in want]).tolist()
+    shape = language_model.Shape(2, 2)
+    known = [b"a", b"", b"b", "éa".encode(), b"c", b"abc"]
+    f = {"shape": shape, "tokens": known, "tails": np.array([language_model._tail_class(t[-2:], shape.tails) for t in known])}
+    r = language_model.Reader(f).read(pa.array(texts))
+    rank = {t: k for k, t in enumerate(known)}
+    assert r["rank"].tolist() == [rank.get(w, -1) for w in words.to_pylist()] and r["unknown"].to_pylist() == [w for w in words.to_pylist() if w not in rank]
+    assert r["class"].tolist() == [rank[w] // 2 if rank.get(w, 9) < 4 else 2 + language_model._tail_class(w[-2:], shape.tails) for w in words.to_pylist()]

@@ -30,13 +30,13 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 from math import isqrt, log, log10
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +48,10 @@ KNOWN, KNOWN_BYTES = 131_072, 256
 #: The end's token: empty, as no word is.
 END = b""
 STEP, RATE, FLUSH = 4096, 0.15, 200_000
-#: Sums of exponentials below this are made again from their own greatest term.
-TINY = 1e-20
+#: Bytes of text that are looked up together.
+CHUNK = 4 << 20
+#: Sums of exponentials below this are made again from their own greatest term, and exponentials are at least ``LEAST``.
+TINY, LEAST = 1e-20, 1e-37
 #: Longest run of rows that is added up along with other runs.
 LONG = 12
 
@@ -91,8 +93,12 @@ class Shape(NamedTuple):
         return np.min_scalar_type(self.rows - 1)
 
 
-def tokens(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), END]
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of all texts in a row, and where those of each text end."""
+    t = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    # What follows the last space is empty, and so is the end.
+    found = pc.ascii_split_whitespace(pc.if_else(pc.equal(t, ""), "", pc.binary_join_element_wise(t, "", " ")))
+    return found.flatten().cast(pa.binary()), np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False), dtype=np.int64)
 
 
 def is_training(id_col: str = "id"):  # noqa: ANN201
@@ -112,10 +118,13 @@ def token_counts(texts: DataFrame) -> DataFrame:
             return b
 
         for b in batches:
-            for t in common.utf8(b.column("text")):
-                held.update(tokens(t))
-                if len(held) > FLUSH:
-                    yield out()
+            words, _ = split(b.column("text"))
+            coded = words.dictionary_encode()
+            n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+            for t, c in zip(coded.dictionary.to_numpy(zero_copy_only=False), n.tolist(), strict=True):
+                held[t] += c
+            if len(held) > FLUSH:
+                yield out()
         yield out()
 
     return texts.select("text").mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
@@ -149,43 +158,30 @@ def frame(counts: DataFrame) -> dict:
     return {"shape": shape, "n": int(total["n"]), "v": int(total["v"]), "tokens": [t for t, _ in known], "tails": np.array([_tail_class(t[-2:], shape.tails) for t, _ in known], np.int64), "c": np.array([c for _, c in known], np.float64), "tail_n": n, "tail_v": v}
 
 
-class TailClasses(dict):
-    """Tail classes by the last two bytes, each made when it is first asked for."""
-
-    def __init__(self, tails: int) -> None:
-        self.tails = tails
-
-    def __missing__(self, last: bytes) -> int:
-        self[last] = _tail_class(last, self.tails)
-        return self[last]
-
-
 class Reader:
     """Texts to arrays: rank (or -1), class and symbol of each token, and those of its history."""
 
     def __init__(self, f: dict) -> None:
         self.shape = shape = f["shape"]
-        self.rank = dict(zip(f["tokens"], range(len(f["tokens"])), strict=True))
+        self.known = pa.array(f["tokens"], pa.binary())
         ranks = np.arange(len(f["tokens"]))
         self.klass = np.where(ranks < shape.head, ranks // shape.side, shape.side + f["tails"])
         self.symbol = np.where(ranks < shape.head, ranks, shape.head + f["tails"])
-        self.tail = TailClasses(shape.tails)
-
-    def read(self, texts: list[bytes]) -> dict:
-        words: list[bytes] = []
-        ends = []
-        for t in texts:
-            words += t.lower().split()
-            words.append(END)
-            ends.append(len(words))
-        rank = np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
+
+    def tail(self, words: pa.Array) -> np.ndarray:
+        """The tail class of each word."""
+        last = pc.binary_slice(words, -2, None).dictionary_encode()
+        tails, one = self.shape.tails, last.dictionary.to_pylist()
+        return np.array([_tail_class(x, tails) for x in one], np.int64)[last.indices.to_numpy()]
+
+    def read(self, texts: pa.Array) -> dict:
+        words, ends_at = split(texts)
+        rank = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         klass, symbol = (x[rank] if len(x) else np.zeros(len(words), np.int64) for x in (self.klass, self.symbol))
         missing = np.flatnonzero(rank < 0)
-        unknown = [words[i] for i in missing]
-        if unknown:
-            tails = np.fromiter(map(self.tail.__getitem__, [w[-2:] for w in unknown]), np.int64, len(unknown))
-            klass[missing], symbol[missing] = self.shape.side + tails, self.shape.head + tails
-        ends_at = np.array(ends)
+        unknown = words.take(pa.array(missing))
+        tails = self.tail(unknown)
+        klass[missing], symbol[missing] = self.shape.side + tails, self.shape.head + tails
         starts = np.concatenate([[0], ends_at[:-1]])
         place = np.arange(len(words)) - np.repeat(starts, ends_at - starts)
         before = []
@@ -228,91 +224,147 @@ def start(f: dict) -> dict[str, np.ndarray]:
 
 
 def _softmax(table: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials of the summed rows, each up to a factor, and their sums."""
-    none, first, *others = rows
-    z = table.take(first, axis=0)
-    for r in others:
-        z += table.take(r, axis=0)
-    z += table.take(none, axis=0) if none.any() else table[0]
-    top = z.max()
-    exps = np.exp(z - top)
-    total = np.einsum("ij->i", exps)
-    far = np.flatnonzero(total < TINY)  # rows far below the highest of the step are taken by themselves
-    if len(far):
-        exps[far] = np.exp(z[far] - z[far].max(1, keepdims=True))
-        total[far] = exps[far].sum(1)
-    return exps, total
+    """Exponentials of the summed rows, each up to a factor, and their sums, in the plain way."""
+    z = sum(table[r].astype(np.float64) for r in rows)
+    exps = np.exp(z - z.max(1, keepdims=True))
+    return exps, exps.sum(1)
+
+
+class Histories:
+    """Runs of equal histories up to the token before the last: of the rows that they ask for only the skip to the token before varies in a run."""
+
+    def __init__(self, rows: list[np.ndarray]) -> None:
+        none, last, skip, further, both = rows
+        order = np.argsort(last, kind="stable")
+        self.order = order = order[np.argsort(both[order], kind="stable")]
+        new = np.zeros(len(order), bool)
+        new[::STEP] = True  # so that blocks of tokens are whole runs
+        parts = [r[order] for r in (none, last, skip, both)]
+        for r in parts:
+            new[1:] |= r[1:] != r[:-1]
+        self.first = np.flatnonzero(new)
+        self.n = np.diff(np.append(self.first, len(order)))
+        self.rows, self.further = [r[self.first] for r in parts], further[order]
+
+    def products(self, exps: np.ndarray, a: int = 0, b: int | None = None) -> np.ndarray:
+        """The product of the rows of the runs ``a`` to ``b``, for each of their tokens."""
+        one, *others = (r[a:b] for r in self.rows)
+        z = exps.take(one, axis=0)
+        for r in others:
+            z *= exps.take(r, axis=0)
+        return z.repeat(self.n[a:b], axis=0)
 
 
 class Trainer:
-    """AdaGrad steps on one table."""
+    """AdaGrad steps on one table, which is held as exponentials of weights, each row up to a factor."""
 
     def __init__(self, table: np.ndarray) -> None:
-        self.w, self.was = table.copy(), table
+        self.was = table
+        self.top, self.exps = _powers(table)
         self.g2 = np.full(table.shape, 1e-2, np.float32)
         self.met = np.zeros(len(table), np.int64)
+        self.at = np.zeros(len(table), np.int64)
 
     def _update(self, u: np.ndarray, g: np.ndarray, n: np.ndarray) -> None:
+        """Weights change by d = -RATE * g / sqrt(g2), exponentials by exp(d) as (2 + d) / (2 - d), which at these d differ by 3e-4 at most."""
         x = g * g
         x += self.g2.take(u, axis=0)
-        self.g2[u] = x
+        _whole(self.g2)[u] = _whole(x)
         np.sqrt(x, out=x)
-        np.divide(g, x, out=x)
-        x *= -RATE
-        x += self.w.take(u, axis=0)
-        self.w[u] = x
-        self.met[u] += n
+        g = g * np.float32(RATE / 2)
+        y = x - g
+        x += g
+        y /= x
+        y *= self.exps.take(u, axis=0)
+        _whole(self.exps)[u] = _whole(y)
+        np.add.at(self.met, u, n)
 
     def step(self, rows: list[np.ndarray], target: np.ndarray) -> None:
         """One step; the last row of ``rows`` refines the second (n-gram and last token), so one order serves both."""
-        p, total = _softmax(self.w, rows)
-        p *= (1 / total)[:, None]
-        p[np.arange(len(target)), target] -= 1
-        none, last, *skips, both = rows
-        if none[0] == 0 and not none.any():
-            self._update(np.zeros(1, np.int64), p.sum(0, keepdims=True), np.array([len(p)]))
+        order = np.argsort(rows[-1], kind="stable")
+        order = order[np.argsort(rows[1][order], kind="stable")]
+        none, last, *skips, both = rows = [r[order] for r in rows]
+        first, n = _starts(last, both)
+        top, m = _starts(last[first])
+        met = np.add.reduceat(n, top)
+        z = self.exps.take(last[first[top]], axis=0)
+        single = none[0] == none[-1] and not (none != none[0]).any()
+        if single:
+            z *= self.exps[none[0]]
         else:
-            skips = [none, *skips]
-        wide = np.dtype(f"u{2 * both.itemsize}").type
-        key = last.astype(wide) << wide(8 * both.itemsize) | both
-        order = np.argsort(key)
-        first, n = _starts(key[order])
-        g = _sums(p, order, first, n)
-        upper = last[order][first]
-        top, m = _starts(upper)
-        self._update(upper[top], _sums(g, np.arange(len(g)), top, m), np.add.reduceat(n, top))
-        self._update(both[order][first], g, n)
+            skips.append(none)
+        p = z.repeat(met, axis=0)
+        for r in (both, *skips):
+            p *= self.exps.take(r, axis=0)
+        total = p @ np.ones(p.shape[1], np.float32)
+        far = np.flatnonzero(~((total > TINY) & (total < 1 / TINY)))
+        if len(far):  # rows that vanish, or would not be finite, are made from their own greatest term
+            part = [r[far] for r in rows]
+            used = np.unique(np.concatenate(part))
+            p[far], total[far] = _softmax(np.log(np.maximum(self.exps[used], LEAST)), [np.searchsorted(used, r) for r in part])
+        p *= (1 / total)[:, None]
+        p[np.arange(len(p)), target[order]] -= 1
+        g = _sums(p, None, first, n)
+        upper = _sums(g, None, top, m)
+        self._update(last[first[top]], upper, met)
+        if single:
+            self._update(none[:1], upper.sum(0, keepdims=True), np.array([len(p)]))
+        u = both[first]
+        self.at[u] = np.arange(len(u))  # of runs that share a row the last counts
+        at = self.at[u]
+        again = np.flatnonzero(at != np.arange(len(u)))
+        while len(again):
+            to, one = np.unique(at[again], return_index=True)
+            g[to] += g[again[one]]
+            n[to] += n[again[one]]
+            n[again[one]] = 0
+            again = np.delete(again, one)
+        self._update(u, g, n)
         for r in skips:
             order = np.argsort(r, kind="stable")
-            first, n = _starts(r[order])
-            self._update(r[order][first], _sums(p, order, first, n), n)
+            r = r[order]
+            first, n = _starts(r)
+            self._update(r[first], _sums(p, order, first, n), n)
 
     def changes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         u = np.flatnonzero(self.met)
-        return u, (self.w - self.was)[u], self.met[u]
+        return u, np.log(np.maximum(self.exps[u], LEAST)) + self.top[u, None] - self.was[u], self.met[u]
+
 
+def _whole(x: np.ndarray) -> np.ndarray:
+    """The rows of a table, each as one value that is copied whole."""
+    return x.view(f"V{x.itemsize * x.shape[1]}").ravel()
 
-def _starts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each run of equal values starts, and its length."""
-    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-    return first, np.diff(np.append(first, len(x)))
 
+def _starts(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values in all columns starts, and its length."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(new)))
 
-def _sums(x: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The sum of each run of rows of ``x`` in an order: runs by falling length, so that the k-th rows of all that have one are added at once; long runs by themselves."""
-    by = np.argsort(-n, kind="stable")
-    at, runs = first[by], np.searchsorted(-n[by], -np.arange(1, LONG + 2), side="right")
-    out = x.take(order[at], axis=0)
+
+def _sums(x: np.ndarray, order: np.ndarray | None, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sum of each run of rows of ``x`` in an order (None: its own): runs by falling length, so that the k-th rows of all that have one are added at once; long runs by themselves."""
+    out = x.take(first if order is None else order[first], axis=0)
+    more = np.flatnonzero(n > 1)
+    by = more[np.argsort(-n[more], kind="stable")]
+    if not len(by):
+        return out
+    at, sums = first[by], out.take(by, axis=0)
+    runs = np.searchsorted(-n[by], -np.arange(1, LONG + 2), side="right")
     long, ones = runs[LONG], np.ones(len(x), x.dtype)
     for k in range(1, LONG):
         if (some := runs[k]) == long:
             break
-        out[long:some] += x.take(order[at[long:some] + k], axis=0)
+        a = at[long:some] + k
+        sums[long:some] += x.take(a if order is None else order[a], axis=0)
     for i, (a, m) in enumerate(zip(at[:long].tolist(), n[by[:long]].tolist(), strict=True)):
-        np.dot(ones[:m], x.take(order[a : a + m], axis=0), out=out[i])
-    back = np.empty(len(by), np.int64)
-    back[by] = np.arange(len(by))
-    return out.take(back, axis=0)
+        np.dot(ones[:m], x[a : a + m] if order is None else x.take(order[a : a + m], axis=0), out=sums[i])
+    _whole(out)[by] = _whole(sums)
+    return out
 
 
 #: Changes of a block of rows, in half floats: they are small beside the weights that they are added to.
@@ -334,8 +386,8 @@ def _round(texts: DataFrame, f: dict, tables: dict) -> dict:
         seen = 0
         for b in batches:
             all_texts = common.utf8(b.column("text"))
-            for x, y in common.by_bytes(all_texts, 1 << 20):
-                r = reader.read(all_texts[x:y])
+            for x, y in common.by_bytes(all_texts, CHUNK):
+                r = reader.read(b.column("text").slice(x, y - x))
                 for a in range(0, len(r["rank"]), STEP):
                     part = slice(a, a + STEP)
                     before, klass, rank = [s[part] for s in r["before"]], r["class"][part], r["rank"][part]
@@ -400,24 +452,27 @@ def _powers(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _logs(table: np.ndarray, rows: list[np.ndarray], target: np.ndarray, powers: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """log10 of each target's softmax, in blocks; exponentials of sums are products of the rows' own, which are made once."""
-    top, exps = powers or _powers(table)
-    out, flat = np.empty(len(target)), table.ravel()
-    for a in range(0, len(target), STEP):
-        none, first, *others = part = [r[a : a + STEP] for r in rows]
-        z = exps.take(first, axis=0)
-        for r in others:
-            z *= exps.take(r, axis=0)
-        z *= exps.take(none, axis=0) if none.any() else exps[0]
-        total = np.einsum("ij->i", z)
-        to = target[a : a + STEP]
-        own = sum((flat.take(r * np.int64(table.shape[1]) + to) - top.take(r)).astype(np.float64) for r in part)
-        far = np.flatnonzero(total < TINY)
-        with np.errstate(divide="ignore"):
-            out[a : a + STEP] = own - np.log(total)
+    _, exps = powers or _powers(table)
+    out = np.empty(len(target))
+    if not len(target):
+        return out
+    h = Histories(rows)
+    to = target[h.order]
+    cuts = np.searchsorted(h.first, np.arange(0, len(to) + STEP, STEP)).tolist()
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        block = slice(k * STEP, (k + 1) * STEP)
+        z, further = h.products(exps, a, b), exps.take(h.further[block], axis=0)
+        total = np.einsum("ij,ij->i", z, further)
+        at = np.arange(len(z)), to[block]
+        own = z[at] * further[at]
+        far = np.flatnonzero((total < TINY) | (own < TINY))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            found = np.log(own.astype(np.float64) / total)
         if len(far):
-            z = sum(table[r[far]].astype(np.float64) for r in part)
-            z -= z.max(1, keepdims=True)
-            out[a + far] = z[np.arange(len(far)), to[far]] - np.log(np.exp(z).sum(1))
+            z, total = _softmax(table, [r[h.order[block][far]] for r in rows])
+            with np.errstate(divide="ignore"):
+                found[far] = np.log(z[np.arange(len(far)), at[1][far]]) - np.log(total)
+        out[h.order[block]] = found
     return out / log(10)
 
 
@@ -437,8 +492,8 @@ def _first_scores(docs: DataFrame, f: dict, tables: dict) -> DataFrame:
         for b in batches:
             texts = common.utf8(b.column("text"))
             columns: list[list] = [[], [], [], [], [], []]
-            for x, y in common.by_bytes(texts, 1 << 20):
-                r = reader.read(texts[x:y])
+            for x, y in common.by_bytes(texts, CHUNK):
+                r = reader.read(b.column("text").slice(x, y - x))
                 rank, klass, before = r["rank"], r["class"], r["before"]
                 own = logs[rank]
                 model = _logs(tables["class"], class_rows(before, shape), klass, powers["class"])
@@ -453,7 +508,8 @@ def _first_scores(docs: DataFrame, f: dict, tables: dict) -> DataFrame:
                 columns[2] += np.add.reduceat(own, begin).tolist()
                 columns[3] += np.add.reduceat(model, begin).tolist()
                 cut = np.searchsorted(r["missing"], r["ends"]).tolist()
-                rest = [Counter(r["unknown"][p:q]) for p, q in zip([0, *cut[:-1]], cut, strict=True)]
+                unknown = r["unknown"].to_numpy(zero_copy_only=False)
+                rest = [Counter(unknown[p:q]) for p, q in zip([0, *cut[:-1]], cut, strict=True)]
                 columns[4] += [list(c) for c in rest]
                 columns[5] += [list(c.values()) for c in rest]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
