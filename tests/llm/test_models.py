@@ -247,12 +247,14 @@ def test_language_model_steps():
         assert np.allclose(change, want[u], atol=1e-3)
 
 
-def test_language_model_reads():
+def test_language_model_reads(monkeypatch):
     """Tokens, ranks and tail classes as words of bytes give them, with awkward white space and signs."""
     texts = ["".join(map(chr, range(128))), "", " \t\n\x0b\x0c\r ", " A b  a\x1cB\x85c ", "Éa\u00a0b É a\u2028b\n", "x" * 300, "a", None]
     want = [[*(t or "").encode().lower().split(), b""] for t in texts]
     words, ends = language_model.split(pa.array(["no", *texts]).slice(1))
     assert words.to_pylist() == [w for ws in want for w in ws] and ends.tolist() == np.cumsum([len(ws) for ws in want]).tolist()
+    monkeypatch.setattr(language_model, "CHUNK", 130)
+    assert [len(c) for c in language_model.chunks(pa.array(texts))] == [2, 3, 1, 2] and not list(language_model.chunks(pa.array([], pa.string())))
     shape = language_model.Shape(2, 2)
     known = [b"a", b"", b"b", "éa".encode(), b"c", b"abc"]
     f = {"shape": shape, "tokens": known, "tails": np.array([language_model._tail_class(t[-2:], shape.tails) for t in known])}

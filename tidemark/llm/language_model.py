@@ -49,7 +49,7 @@ KNOWN, KNOWN_BYTES = 131_072, 256
 END = b""
 STEP, RATE, FLUSH = 4096, 0.15, 200_000
 #: Bytes of text that are looked up together.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Sums of exponentials below this are made again from their own greatest term, and exponentials are at least ``LEAST``.
 TINY, LEAST = 1e-20, 1e-37
 #: Longest run of rows that is added up along with other runs.
@@ -101,6 +101,16 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return found.flatten().cast(pa.binary()), np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False), dtype=np.int64)
 
 
+def chunks(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of consecutive texts that hold about ``CHUNK`` bytes at the most; a longer text stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < len(texts):
+        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, side="right"))
+        yield texts.slice(a, max(b, a + 1) - a)
+        a = max(b, a + 1)
+
+
 def is_training(id_col: str = "id"):  # noqa: ANN201
     """Training texts: crc32 of the id's text modulo 5 is not 1."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) != 1
@@ -385,9 +395,8 @@ def _round(texts: DataFrame, f: dict, tables: dict) -> dict:
         reader, trainers = Reader(f), {k: Trainer(t) for k, t in tables.items()}
         seen = 0
         for b in batches:
-            all_texts = common.utf8(b.column("text"))
-            for x, y in common.by_bytes(all_texts, CHUNK):
-                r = reader.read(b.column("text").slice(x, y - x))
+            for some_texts in chunks(b.column("text")):
+                r = reader.read(some_texts)
                 for a in range(0, len(r["rank"]), STEP):
                     part = slice(a, a + STEP)
                     before, klass, rank = [s[part] for s in r["before"]], r["class"][part], r["rank"][part]
@@ -395,7 +404,7 @@ def _round(texts: DataFrame, f: dict, tables: dict) -> dict:
                     head = np.flatnonzero((rank >= 0) & (rank < shape.head))
                     if len(head):
                         trainers["word"].step(word_rows([s[head] for s in before], klass[head], shape), rank[head] % shape.side)
-                seen += y - x
+                seen += len(some_texts)
         out = []
         own = TaskContext.get().partitionId() % fan
         for k, t in enumerate(trainers.values()):
@@ -490,10 +499,9 @@ def _first_scores(docs: DataFrame, f: dict, tables: dict) -> DataFrame:
         logs = np.append(np.log10(f["c"] + 0.5), 0.0)  # the last for tokens that the join will add
         tail = np.log10(f["tail_n"] + 0.5 * (f["tail_v"] + 1))
         for b in batches:
-            texts = common.utf8(b.column("text"))
             columns: list[list] = [[], [], [], [], [], []]
-            for x, y in common.by_bytes(texts, CHUNK):
-                r = reader.read(b.column("text").slice(x, y - x))
+            for texts in chunks(b.column("text")):
+                r = reader.read(texts)
                 rank, klass, before = r["rank"], r["class"], r["before"]
                 own = logs[rank]
                 model = _logs(tables["class"], class_rows(before, shape), klass, powers["class"])
