@@ -230,14 +230,18 @@ def test_language_model_arithmetic():
 def test_language_model_steps():
     """A step as plain AdaGrad takes it: a row that several histories share gets the sum of their gradients, and counts each."""
     rng = np.random.default_rng(6)
-    table = rng.normal(size=(12, 5)).astype(np.float32)
-    for none in (np.zeros(90, np.uint16), rng.integers(10, 12, 90).astype(np.uint16)):
+    plain = rng.normal(size=(12, 5)).astype(np.float32)
+    low = plain.copy()
+    low[3, 2] = -200  # its exponential vanishes
+    zero = np.zeros(90, np.uint16)
+    for table, none in ((plain, zero), (plain, rng.integers(10, 12, 90).astype(np.uint16)), (low, zero), (plain * 15, zero)):
         # Rows of each feature apart, so that the order of features does not matter; last tokens meet in the same n-gram rows.
         rows = [none, *(rng.integers(a, b, 90).astype(np.uint16) for a, b in ((1, 4), (4, 6), (6, 8), (8, 10)))]
         target = rng.integers(0, 5, 90)
         trainer = language_model.Trainer(table)
         trainer.step(rows, target)
         z = sum(table[r].astype(np.float64) for r in rows)
+        z -= z.max(1, keepdims=True)
         p = np.exp(z) / np.exp(z).sum(1)[:, None]
         p[np.arange(90), target] -= 1
         g = sum(np.array([p[r == k].sum(0) for k in range(12)]) for r in rows)

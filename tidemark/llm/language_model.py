@@ -270,11 +270,14 @@ class Trainer:
 
     def __init__(self, table: np.ndarray) -> None:
         self.was = table
-        self.top, self.exps = _powers(table)
+        self.exps = self._start()
         self.g2 = np.full(table.shape, 1e-2, np.float32)
         self.met = np.zeros(len(table), np.int64)
         self.at = np.zeros(len(table), np.int64)
 
+    def _start(self) -> np.ndarray:
+        return np.maximum(_powers(self.was)[1], np.float32(LEAST))
+
     def _update(self, u: np.ndarray, g: np.ndarray, n: np.ndarray) -> None:
         """Weights change by d = -RATE * g / sqrt(g2), exponentials by exp(d) as (2 + d) / (2 - d), which at these d differ by 3e-4 at most."""
         x = g * g
@@ -338,7 +341,8 @@ class Trainer:
 
     def changes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         u = np.flatnonzero(self.met)
-        return u, np.log(np.maximum(self.exps[u], LEAST)) + self.top[u, None] - self.was[u], self.met[u]
+        now, before = (np.log(np.maximum(x[u], np.float32(LEAST))) for x in (self.exps, self._start()))
+        return u, now - before, self.met[u]
 
 
 def _whole(x: np.ndarray) -> np.ndarray:
