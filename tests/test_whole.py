@@ -147,3 +147,11 @@ def test_one_entity_meets_without_pairs(spark, monkeypatch):
             if left[0][1] == 0:
                 left.pop(0)
     assert {(r["movement_id"], r["event_id"]): r["applied"] for r in matching.fifo_application(spark, "").collect()} == want
+
+
+def test_amounts_on_a_bands_edge_score_as_money(spark, monkeypatch):
+    """1130.00 and 1128.87 are just a thousandth apart, though their doubles are further."""
+    rows = [("plaid", "a", "1130.00"), ("qbo", "b", "1128.87"), ("xero", "c", "1130.00")]
+    frame = spark.createDataFrame(rows, "source string, source_id string, amount string").withColumns({"entity_id": F.lit("C1"), "direction": F.lit("inflow"), "amount": F.col("amount").cast("decimal(18,2)"), "date": F.to_date(F.lit("2024-01-01")), "counterparty": F.lit("x")})
+    monkeypatch.setattr(domain, "observations", lambda *_: frame)
+    assert {(r["a_id"], r["b_id"]): r["score"] for r in matching.cross_source_duplicates(spark, "").collect()} == {("a", "b"): 1.0, ("a", "c"): 1.0, ("b", "c"): 1.0}
