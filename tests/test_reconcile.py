@@ -299,3 +299,27 @@ def test_fusion(spark, seed):
         if method == "fusion":
             paid[event] += net
     assert all(n <= 100 * next(x["outstanding"] for x in events if x["id"] == k) for k, n in paid.items())
+
+
+@pytest.mark.parametrize("hot", [0, 150, 20_000])
+def test_clusters_of_common_amounts(spark, monkeypatch, hot):
+    """Amounts that are scanned by kinds give what lists give, and the tables behind the sources are read once."""
+    monkeypatch.setattr(coalescing, "HOT", hot)
+    rng = random.Random(5)
+    rows = [(rng.choice(["plaid", "qbo", "stripe"]), f"s{i:03}", Decimal(rng.choice([500, 500, 250])), DAY + datetime.timedelta(rng.randint(0, 60)), rng.choice(["acme", "acmeworks", None, " "]), rng.choice([None, None, "o1"]), rng.choice([None, "A", "B"]), f"t{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "source string, source_id string, amount decimal(18,2), date date, counterparty string, order_id string, account string, raw_description string")
+    plain = [dict(zip(df.columns, r, strict=True)) | {"counterparty": (r[4] or "").strip() or None} for r in rows]
+    members = coalescing.coalesced(df)
+    assert sorted((r["source"], r["source_id"], r["cluster"]) for r in members.collect()) == plain_clusters(plain)
+    lists, others = coalescing.parts(df)
+    assert (others.count() == 0) == (hot == 20_000)
+    assert (lists.count() == 0) == (hot == 0)
+    got = coalescing.canonical_lists(lists).unionByName(coalescing.canonical(others))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, coalescing.canonical(members).collect()))
+
+
+def test_sources_are_read_once(spark):
+    from tidemark.sources import domain
+
+    plan = domain.source_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_extendedprice") and plan.count("Relation [l_orderkey") == 1

@@ -73,7 +73,7 @@ members AS (SELECT p.*, s.source || ':' || s.source_id AS cluster FROM placed p
 @query("canonical_evidence", _recursive(f"{_CLUSTERS} SELECT source, source_id, cluster FROM members", "source_rows"))
 def canonical_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Every observation with the seed of its cluster."""
-    return coalescing.coalesced(d.source_rows(spark, sf)).select("source", "source_id", "cluster")
+    return coalescing.coalesced(d.source_rows(spark, sf).drop("account", "raw_description")).select("source", "source_id", "cluster")
 
 
 @query(
@@ -88,5 +88,6 @@ def canonical_evidence(spark: SparkSession, sf: str) -> DataFrame:
 )
 def canonical_movements(spark: SparkSession, sf: str) -> DataFrame:
     """One movement a cluster, with merged evidence and its provenance."""
-    found = coalescing.canonical(coalescing.coalesced(d.source_rows(spark, sf)))
+    lists, hot = coalescing.parts(d.source_rows(spark, sf))
+    found = coalescing.canonical_lists(lists).unionByName(coalescing.canonical(hot))
     return found.withColumns({"amount": found["amount"].cast("double")})
