@@ -155,3 +155,20 @@ def test_amounts_on_a_bands_edge_score_as_money(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "source string, source_id string, amount string").withColumns({"entity_id": F.lit("C1"), "direction": F.lit("inflow"), "amount": F.col("amount").cast("decimal(18,2)"), "date": F.to_date(F.lit("2024-01-01")), "counterparty": F.lit("x")})
     monkeypatch.setattr(domain, "observations", lambda *_: frame)
     assert {(r["a_id"], r["b_id"]): r["score"] for r in matching.cross_source_duplicates(spark, "").collect()} == {("a", "b"): 1.0, ("a", "c"): 1.0, ("b", "c"): 1.0}
+
+
+def test_near_pairs_repeat_only_inflows(spark):
+    k = F.col("id")
+    side = lambda way, n, step: spark.range(n).select(F.concat(F.lit(way[0]), k).alias("movement_id"), F.lit(way).alias("direction"), F.lit("A").alias("account"), (k * step % 5000).cast("decimal(18,2)").alias("amount"), F.date_add(F.lit("1969-12-20").cast("date"), (k % 23).cast("int")).alias("date"))
+    m = side("outflow", 150, 37).unionByName(side("inflow", 120, 53))
+    got = matching.near_pairs(m, ["account"], "900", 3)
+    rows = m.collect()
+    want = sorted((o["movement_id"], i["movement_id"]) for o in rows for i in rows if o["direction"] == "outflow" and i["direction"] == "inflow" and abs(o["amount"] - i["amount"]) < 900 and abs((o["date"] - i["date"]).days) <= 3)
+    assert sorted((r["outflow_id"], r["inflow_id"]) for r in got.collect()) == want
+    plan = matching.near_pairs(domain.movements(spark, SF), ["account"], "900", 3)._jdf.queryExecution().analyzed().toString()
+    assert "Generate" not in plan[: plan.index("= outflow")]
+
+
+def test_similarities_are_worked_out_once(spark):
+    plan = registry.queries()["entity_name_match"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("levenshtein(") == 2

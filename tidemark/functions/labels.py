@@ -148,13 +148,16 @@ def payable_names_match(a: Column, b: Column) -> Column:
 
 
 def entity_match(description: Column, name: Column, aliases: Column, threshold: float = 0.80) -> Column:
-    """match, score and method: direct similarity, the first alias that reaches the threshold, or one name within the other."""
-    direct = name_similarity(description, name)
-    scored = F.filter(F.transform(aliases, lambda a: name_similarity(description, a)), lambda s: s >= threshold)
+    """match, score and method: direct similarity, the first alias that reaches the threshold, or one name within the other.
+
+    Equal names are wholly alike. Each similarity is worked out once (a list of one value stands for a name given to it), and aliases only where the name does not do.
+    """
+    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
     x, y = F.trim(F.lower(description)), F.trim(F.lower(name))
     out = lambda ok, score, how: F.struct(F.lit(ok).alias("match"), score.cast("double").alias("score"), F.lit(how).alias("method"))
-    return (
-        F.when(direct >= threshold, out(True, direct, "direct")).when(F.size(scored) > 0, out(True, F.get(scored, F.lit(0)), "alias"))
-        .when((F.length(y) >= 4) & x.contains(y), out(True, F.lit(0.88), "contains")).when((F.length(y) >= 4) & y.contains(x), out(True, F.lit(0.85), "contains_reverse"))
-        .otherwise(out(False, direct, "none"))
-    )
+    inside = lambda direct: (
+        F.when((F.length(y) >= 4) & x.contains(y), out(True, F.lit(0.88), "contains")).when((F.length(y) >= 4) & y.contains(x), out(True, F.lit(0.85), "contains_reverse")).otherwise(out(False, direct, "none"))
+    )
+    first = F.get(F.filter(F.transform(aliases, lambda a: name_similarity(description, a)), lambda s: s >= threshold), F.lit(0))
+    by_alias = lambda direct: once(first, lambda s: F.when(s.isNotNull(), out(True, s, "alias")).otherwise(inside(direct)))
+    return F.when(x == y, out(True, F.lit(1.0), "direct")).otherwise(once(name_similarity(description, name), lambda direct: F.when(direct >= threshold, out(True, direct, "direct")).otherwise(by_alias(direct))))
