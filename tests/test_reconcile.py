@@ -323,3 +323,23 @@ def test_sources_are_read_once(spark):
 
     plan = domain.source_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_extendedprice") and plan.count("Relation [l_orderkey") == 1
+
+
+def test_names_are_never_looked_for_by_short_grams(spark, monkeypatch):
+    """Short grams are common to all names, so that the pairs to compare grew as the square of the names."""
+    used, plain = [], containment.grams
+    monkeypatch.setattr(containment, "grams", lambda key, n=containment.LEAST: used.append(n) or plain(key, n))
+    rng = random.Random(2)
+    keys = lambda k: sorted({"".join(rng.choice("ab") for _ in range(rng.randint(1, 12))) for _ in range(k)})
+    left, right = keys(120), keys(120)
+    frame = lambda x: spark.createDataFrame([(k,) for k in x], "key string")
+    for n in (1, 3):
+        got = sorted((r["a"], r["b"]) for r in containment.within(frame(left), frame(right), n).collect())
+        assert got == sorted((a, b) for a in left for b in right if a == b or (len(a) >= n and len(b) >= n and (a in b or b in a)))
+    assert min(used) >= 8
+
+
+def test_only_movements_with_links_meet_events_by_id(spark):
+    m = spark.createDataFrame([("a", "e1", "ar"), ("b", None, "ar"), ("c", "e9", "ar")], "id string, link string, component string")
+    linked = spark.createDataFrame([("e1", "ar", "C1")], "link string, component string, linked_entity string")
+    assert {(r["id"], r["linked_entity"]) for r in waterfall.with_links(m, linked).collect()} == {("a", "C1"), ("b", None), ("c", None)}
